@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, sharding
+from . import bpe, decontam, minhash, secrets, sharding
 from ._runtime import load
 
 
@@ -18,6 +18,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(load(spark, sf_dir, "documents")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, sf_dir, "documents")).drop("found")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 8)
 
@@ -27,7 +31,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op6_sharding, op8_decontam)}
+    return {f.__name__: f for f in (op1_minhash, op3_bpe, op4_secrets, op6_sharding, op8_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
