@@ -27,9 +27,7 @@ SLOTS, ROWS = 256, 8
 #: similarity as a whole percentage of the union
 PERCENT = 85
 #: Blocks over which the pairs of one hub are dealt when they are verified.
-SALTS = 64
-#: Rounds in which a bucket's most central unlinked set is compared with the rest before all remaining pairs are.
-HUB_ROUNDS = 3
+SALTS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,7 +117,8 @@ def _as_long(x: np.ndarray) -> np.ndarray:
 
 def _nodes(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit identity of each set."""
-    return np.array([mix(np.asarray([mix(s).sum() ^ (mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() * np.uint64(3)) ^ np.uint64(len(s))]))[0] if len(s) else 0 for s in sets], dtype=np.uint64)
+    sums = np.array([(mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(), len(s)) for s in sets], dtype=np.uint64).reshape(-1, 3)
+    return mix(sums[:, 0] ^ mix(sums[:, 1] ^ mix(sums[:, 2])))
 
 
 def _sign(batches):
@@ -165,48 +164,49 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of all nodes that have a link.
 
     Buckets that two or more sets share are searched from their most central set (the one whose buckets are
-    largest): a star of comparisons joins a group of near copies without its pairs. Sets that the star leaves
-    in other components are searched from the next hubs, and in the end compared with every set of their
-    bucket that is not yet in their component, so no pair that shares a band and could change a component
-    goes unseen.
+    largest): a star of comparisons joins a group of near copies without its pairs. Sets of buckets that still
+    hold several components then go through ``_rest``, which misses no pair of them, so no pair of sets that
+    share a band and could change a component goes unseen.
     """
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     members = written(exploded.join(shared, "key"), "members")
     mass = members.groupBy("node").agg(F.sum("c").alias("mass"))
-    members = written(members.select("key", "node", "n").join(mass, "node"), "central")
-    need = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+    central = written(members.select("key", "node", "n").join(mass, "node"), "central")
+    need = mass.select("node").join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     texts = docs.withColumn("hash", F.xxhash64("text"))
     sets = written(texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").mapInArrow(_make_sets, "node long, items array<long>"), "sets")
 
-    labelled = members.withColumn("label", F.col("node"))
-    edges: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
-        last = turn == HUB_ROUNDS
-        top = F.max(F.struct("mass", "n", "node", "label")).alias("top")
-        if turn == 0:
-            hubs = labelled.groupBy("key").agg(top).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.label").alias("hub_label"))
-        else:
-            mixed = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("mass", "n", "node", "label"))["label"].alias("main")).where("x <> y").select("key", "main"), "mixed")
-            if not mixed.limit(1).count():
-                break
-            labelled = written(labelled.join(mixed, "key"), "unsettled")
-            rest = labelled.where("label <> main")
-            hubs = rest.groupBy("key").agg(top).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n"), F.col("top.label").alias("hub_label"))
-            if last:
-                hubs = rest.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-            labelled = labelled.drop("main")
-        hubs = written(hubs, "hubs")
-        met = labelled.join(hubs, "key").where((F.col("node") != F.col("hub")) & ((F.col("label") != F.col("hub_label")) if turn else F.lit(True)) & _possible("n", "hub_n"))
-        pairs = met.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        if last:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = _verified(pairs.distinct(), sets)
-        edges = written(found if edges is None else edges.unionByName(found), "edges")
-        roots = written(components(edges), "roots")
-        labelled = labelled.drop("label").join(roots.select("node", "root"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        labelled = written(labelled, "labelled")
-    return roots
+    hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs")
+    met = central.join(hubs, "key").where((F.col("node") != F.col("hub")) & _possible("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    edges = written(_verified(met.distinct(), sets), "edges")
+    roots = written(components(edges), "roots")
+    labelled = central.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+    labelled = written(labelled, "labelled")
+    mixed = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
+    open_ = labelled.join(mixed, "key", "left_semi").select("node", "label").distinct()
+    more = written(_verified(_rest(open_, sets), sets), "more_edges")
+    if not more.limit(1).count():
+        return roots
+    return written(components(edges.unionByName(more)), "roots")
+
+
+def _rest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """All (a, b) pairs of open sets of different labels that can be similar enough, by prefix filtering.
+
+    Items are ordered rarest first. Two sets as similar as asked share an item among the first
+    n - ceil(0.85 n) + 1 of either, so only sets that share a rare item meet: sets that have nothing but a
+    common passage in common don't.
+    """
+    items = written(sets.join(open_, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    often = written(items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    ranked = items.join(often, "item", "left").select("node", "label", "n", "item", F.coalesce("c", F.lit(1)).alias("c"))
+    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
+    first = ranked.groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("o")).select("node", "label", "n", F.explode(F.slice("o", F.lit(1), length)).alias("o"))
+    first = written(first.where("o.c > 1").select("node", "label", "n", F.col("o.item").alias("item")), "prefixes")
+    other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item")
+    met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m"))
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
