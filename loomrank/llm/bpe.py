@@ -2,8 +2,9 @@
 
 Texts are split into the pre-tokens of the byte-level tokenizer, every distinct pre-token of the corpus is
 encoded once, and its ids are joined back to the places where it stands. Decoding joins ids to the pieces
-of the vocabulary. Exploding every position would shuffle the corpus many times over, so a document travels
-as the packed word numbers of its chunk (one to two bytes a word) and a word travels once a chunk.
+of the vocabulary (a table of fixed size). One row for each position would shuffle the corpus many times
+over, so a document travels as the packed word numbers of its chunk (one to two bytes a word), and a chunk's
+words travel once, packed by hash bucket; all packs of a bucket meet where its distinct words are encoded.
 
 Results for odd input: a null text counts as empty, has no ids and decodes to the empty text; strings of
 added tokens in a text become their ids, as the tokenizers library does; repeated rows are encoded each;
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -93,46 +95,68 @@ class Splitter:
         return out + self._plain(text[upto:])
 
 
-def pieces(spark, tokenizer_path: str) -> DataFrame:
-    """(id, piece binary): one row for each entry of the vocabulary; its size is fixed by the tokenizer file."""
+def piece_rows(tokenizer_path: str) -> list[tuple[int, bytearray]]:
+    """(id, bytes of its piece) for each entry of the vocabulary."""
     with open(tokenizer_path, encoding="utf-8") as f:
         data = json.load(f)
     alphabet = _byte_alphabet()
     added = {t["id"]: t["content"] for t in data["added_tokens"]}
     rows = [(i, bytearray(alphabet[c] for c in token)) for token, i in data["model"]["vocab"].items() if i not in added]
-    rows += [(i, bytearray(content.encode())) for i, content in added.items()]
-    return spark.createDataFrame(rows, "id int, piece binary")
+    return rows + [(i, bytearray(content.encode())) for i, content in added.items()]
+
+
+def pieces(spark, tokenizer_path: str) -> DataFrame:
+    """(id, piece binary); its number of rows is fixed by the tokenizer file."""
+    return spark.createDataFrame(piece_rows(tokenizer_path), "id int, piece binary")
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Word numbers by byte planes, compressed; frequent words have small numbers."""
+    """Unsigned 32-bit numbers by byte planes, compressed; small numbers cost about a byte."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _unpack(packed: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=4 * n + 1), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
 
 
-def _split(tokenizer_path: str, chunk_bytes: int, key_type: pa.DataType):
-    schema = pa.schema([("chunk", pa.int64()), ("slot", pa.int32()), ("word", pa.string()), ("doc_id", key_type), ("n_words", pa.int32()), ("payload", pa.binary())])
+def _unpack_words(packed: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    stops = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+    return [raw[i:j] for i, j in zip([4 * (n + 1), *stops], stops)]
 
-    def chunk_rows(chunk: int, ids: list, docs: list[list[int]], vocab: dict[str, int]):
-        words = list(vocab)
-        flat = np.fromiter((x for d in docs for x in d), dtype=np.int64, count=sum(map(len, docs)))
+
+def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.DataType):
+    """Rows of two kinds a chunk: a document with its word numbers, and the words of a hash bucket.
+
+    Words are numbered by falling frequency within the chunk. A bucket row holds the numbers of its words
+    (as differences, rising) and the words in that order.
+    """
+    schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("slots", pa.binary()), ("words", pa.binary()), ("doc_id", key_type), ("payload", pa.binary())])
+
+    def chunk_rows(chunk: int, ids: list, docs: list[np.ndarray], vocab: dict[str, int]):
+        words = [w.encode("utf-8", "replace") for w in vocab]
+        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         rank = np.empty(len(words), dtype=np.int64)
         order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank[order] = np.arange(len(words))
-        flat, at, payload = rank[flat], 0, []
-        for d in docs:
-            payload.append(_pack(flat[at : at + len(d)]))
-            at += len(d)
-        for a in range(0, len(words), 50_000):
-            n = len(part := order[a : a + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array([words[i] for i in part], pa.string()), pa.nulls(n, key_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+        payload = [_pack(rank[d]) for d in docs]
+        home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))[order]
+        by_bucket = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[by_bucket], prepend=-1, append=buckets))
+        parts = [by_bucket[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+        slots = [_pack(np.diff(p, prepend=0)) for p in parts]
+        blobs = [_pack_words([words[order[i]] for i in p]) for p in parts]
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array([int(home[p[0]]) for p in parts], pa.int32()), pa.array(slots, pa.binary()), pa.array(blobs, pa.binary()), pa.nulls(n, key_type), pa.nulls(n, pa.binary())], schema=schema)
         n = len(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(ids, key_type), pa.array(list(map(len, docs)), pa.int32()), pa.array(payload, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(ids, key_type), pa.array(payload, pa.binary())], schema=schema)
 
     def split(batches):
         splitter = Splitter(tokenizer_path)
@@ -140,11 +164,10 @@ def _split(tokenizer_path: str, chunk_bytes: int, key_type: pa.DataType):
         ids, docs, size, vocab = [], [], 0, defaultdict()
         vocab.default_factory = vocab.__len__
         for batch in batches:
-            for i in range(batch.num_rows):
-                text = batch.column(1)[i].as_py() or ""
-                ids.append(batch.column(0)[i].as_py())
-                docs.append(list(map(vocab.__getitem__, splitter.words(text))))
-                size += len(text)
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(key)
+                docs.append(np.array(list(map(vocab.__getitem__, splitter.words(text or ""))), dtype=np.int64))
+                size += len(text or "")
                 if size >= chunk_bytes:
                     yield from chunk_rows(chunk, ids, docs, vocab)
                     chunk += 1
@@ -156,28 +179,38 @@ def _split(tokenizer_path: str, chunk_bytes: int, key_type: pa.DataType):
     return split
 
 
-def _encode_words(tokenizer_path: str):
-    def encode(batches):
+class WordTable:
+    """The distinct words that one task meets, each encoded once."""
+
+    def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids = [np.asarray(e.ids, dtype="<i4").tobytes() for e in tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(ids))), batch.column(0), pa.array(ids, pa.binary())], ["word_id", "word", "packed"])
-            number += len(ids)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.ids: dict[bytes, tuple[int, ...]] = {}
 
-    return encode
+    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        fresh = [w for w in words if w not in self.ids]
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)):
+            self.ids[w] = tuple(e.ids)
+        return [self.ids[w] for w in words]
 
 
-def _unpack_ids(batches):
-    for batch in batches:
-        packed = batch.column(2).to_pylist()
-        stops = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
-        ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["word_id", "ids"])
+def _encode_words(tokenizer_path: str):
+    """Bucket rows to (chunk, slots, counts, ids). All rows of a bucket meet in one task, so a word is encoded once."""
+
+    def encode(batches):
+        table = WordTable(tokenizer_path)
+        for batch in batches:
+            counts, ids = [], []
+            for blob in batch.column(2).to_pylist():
+                found = table.encode(_unpack_words(blob))
+                counts.append(_pack(np.array(list(map(len, found)))))
+                ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "slots", "counts", "ids"])
+
+    return encode
 
 
 def decode_ids(rows: DataFrame, table: DataFrame, key: str = "word_id", ids: str = "ids") -> DataFrame:
@@ -191,22 +224,27 @@ def decode_ids(rows: DataFrame, table: DataFrame, key: str = "word_id", ids: str
     return joined.select(key, F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("decoded"))
 
 
-def _assemble(key_type: pa.DataType):
+def _assemble(key_type: pa.DataType, spelling: list[bytes]):
+    """Join ids back by position: a chunk's documents with the ids of its words; decode by the piece of each id."""
+
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("slot").to_numpy())
-        packed = words.column("packed").to_pylist()
-        spelled = words.column("decoded").to_pylist()
-        packed, spelled = [packed[i] for i in order], [spelled[i] or b"" for i in order]
-        width = np.array([len(x) // 4 for x in packed], dtype=np.int64)
-        start = np.concatenate([[0], np.cumsum(width)])
-        table = np.frombuffer(b"".join(packed), dtype="<i4")
+        cols = [[_unpack(x) for x in words.column(c).to_pylist()] for c in ("slots", "counts", "ids")]
+        slots = np.concatenate([np.cumsum(x, dtype=np.int64) for x in cols[0]] or [np.zeros(0, np.int64)])
+        counts = np.concatenate(cols[1] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        table = np.concatenate(cols[2] or [np.zeros(0, np.uint32)]).astype(np.int32)
+        width, start = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+        width[slots] = counts
+        ends = np.cumsum(counts)
+        start[slots] = ends - counts
+        written_as = list(map(spelling.__getitem__, table.tolist()))
+        spelled = [b"".join(written_as[a : a + n]) for a, n in zip(start.tolist(), width.tolist())]
         ids, stops, decoded = [], [0], []
-        for payload, n in zip(docs.column("payload").to_pylist(), docs.column("n_words").to_pylist(), strict=True):
-            numbers = _unpack(payload, n) if n else np.zeros(0, np.uint32)
+        for payload in docs.column("payload").to_pylist():
+            numbers = _unpack(payload)
             each = width[numbers]
-            ends = np.cumsum(each)
-            total = int(ends[-1]) if n else 0
-            ids.append(table[np.arange(total) + np.repeat(start[numbers] - (ends - each), each)])
+            upto = np.cumsum(each)
+            total = int(upto[-1]) if len(upto) else 0
+            ids.append(table[np.arange(total) + np.repeat(start[numbers] - (upto - each), each)])
             stops.append(stops[-1] + total)
             decoded.append(b"".join(map(spelled.__getitem__, numbers.tolist())).decode("utf-8", "replace"))
         lists = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
@@ -219,19 +257,21 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
     """(doc_id, ids array<int>, decoded string) for every row; decoded is what the ids decode to."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    spark = docs.sparkSession
     path = tokenizer_path or default_tokenizer()
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_type(kind)
-    schema = f"chunk long, slot int, word string, doc_id {kind.simpleString()}, n_words int, payload binary"
+    buckets = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spelling = [b""] * (max(i for i, _ in piece_rows(path)) + 1)
+    for i, piece in piece_rows(path):
+        spelling[i] = bytes(piece)
+    schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    split = written(rows.mapInArrow(_split(path, chunk_bytes, arrow), schema), "split", "zstd")
-    places = split.where("slot is not null").select("chunk", "slot", "word")
-    encoded = written(places.select("word").distinct().mapInArrow(_encode_words(path), "word_id long, word string, packed binary"), "encoded", "zstd")
-    spelled = decode_ids(encoded.mapInArrow(_unpack_ids, "word_id long, ids array<int>"), pieces(docs.sparkSession, path))
-    table = written(encoded.join(spelled, "word_id", "left").drop("word_id"), "word_table", "zstd")
-    found = places.join(table, "word").select("chunk", "slot", "packed", "decoded")
-    texts = split.where("slot is null").select(F.col("chunk").alias("home"), "doc_id", "n_words", "payload")
-    return texts.groupBy("home").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(arrow), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
+    split = written(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split")
+    table = split.where("bucket is not null").select("bucket", "chunk", "slots", "words").repartition("bucket").select("chunk", "slots", "words")
+    found = table.mapInArrow(_encode_words(path), "chunk long, slots binary, counts binary, ids binary")
+    texts = split.where("bucket is null").select(F.col("chunk").alias("home"), "doc_id", "payload")
+    return texts.groupBy("home").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(arrow, spelling), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
