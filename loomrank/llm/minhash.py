@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -123,7 +123,7 @@ def _nodes(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sign(batches):
     for batch in batches:
-        for a, b, data, offsets in string_slices(batch.column(1), 1 << 19):
+        for a, b, data, offsets in string_slices(batch.column(1), 1 << 18):
             sets = shingle_sets(data, offsets)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             keys = _band_keys(superminhash(sets))
@@ -135,7 +135,7 @@ def _sign(batches):
 
 def _make_sets(batches):
     for batch in batches:
-        for a, b, data, offsets in string_slices(batch.column(1), 1 << 19):
+        for a, b, data, offsets in string_slices(batch.column(1), 1 << 18):
             sets = shingle_sets(data, offsets)
             stops = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = pa.array(_as_long(np.concatenate(sets)))
@@ -202,8 +202,8 @@ def _rest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     often = written(items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1"), "often")
     ranked = items.join(often, "item", "left").select("node", "label", "n", "item", F.coalesce("c", F.lit(1)).alias("c"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
-    first = ranked.groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("o")).select("node", "label", "n", F.explode(F.slice("o", F.lit(1), length)).alias("o"))
-    first = written(first.where("o.c > 1").select("node", "label", "n", F.col("o.item").alias("item")), "prefixes")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "item"))
+    first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item"), "prefixes")
     other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item")
     met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m"))
     return met.select(F.col("node").alias("a"), "b").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, minhash, secrets, sharding
+from . import bpe, decontam, minhash, quality, secrets, sharding
 from ._runtime import load
 
 
@@ -26,12 +26,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 8)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_weights(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op4_secrets, op6_sharding, op8_decontam)}
+    return {f.__name__: f for f in (op1_minhash, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
