@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, minhash, quality, secrets, sharding
+from . import ann, bpe, decontam, minhash, quality, secrets, sharding
 from ._runtime import load
 
 
@@ -14,6 +15,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(load(spark, sf_dir, "documents")))
 
@@ -35,7 +40,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam)}
+    return {f.__name__: f for f in (op1_minhash, op2_ann, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
