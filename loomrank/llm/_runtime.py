@@ -49,6 +49,16 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As ``written``, with rows placed in ``buckets`` by the hash of ``key``: a later grouping by it moves none of them."""
+    spark = df.sparkSession
+    path = table_path(spark, name)
+    table = f"loomrank_{path.rsplit('-', 1)[1]}"
+    df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table, format="parquet")
+    atexit.register(_forget, spark, path)
+    return spark.table(table)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files below a DataFrame that ``written`` returned, once nothing reads it."""
     paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import written
+from ._runtime import written_by
 
 #: UTF-8 bytes of text that one chunk gathers; bounds the memory of every task
 CHUNK_BYTES = 16 << 20
@@ -142,7 +142,7 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
 
     def chunk_rows(chunk: int, ids: list, docs: list[np.ndarray], vocab: dict[str, int]):
         words = [w.encode("utf-8", "replace") for w in vocab]
-        flat = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
         rank = np.empty(len(words), dtype=np.int64)
         order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
         rank[order] = np.arange(len(words))
@@ -166,7 +166,7 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(key)
-                docs.append(np.array(list(map(vocab.__getitem__, splitter.words(text or ""))), dtype=np.int64))
+                docs.append(np.array(list(map(vocab.__getitem__, splitter.words(text or ""))), dtype=np.int32))
                 size += len(text or "")
                 if size >= chunk_bytes:
                     yield from chunk_rows(chunk, ids, docs, vocab)
@@ -198,7 +198,7 @@ class WordTable:
 
 
 def _encode_words(tokenizer_path: str):
-    """Bucket rows to (chunk, slots, counts, ids). All rows of a bucket meet in one task, so a word is encoded once."""
+    """Bucket rows to (home chunk, slots, counts, ids). All rows of a bucket meet in one task, so a word is encoded once."""
 
     def encode(batches):
         table = WordTable(tokenizer_path)
@@ -208,7 +208,7 @@ def _encode_words(tokenizer_path: str):
                 found = table.encode(_unpack_words(blob))
                 counts.append(_pack(np.array(list(map(len, found)))))
                 ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "slots", "counts", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["home", "slots", "counts", "ids"])
 
     return encode
 
@@ -267,11 +267,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
         spelling[i] = bytes(piece)
     schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    split = written(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split")
+    split = written_by(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split", "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = split.where("bucket is not null").select("bucket", "chunk", "slots", "words").repartition("bucket").select("chunk", "slots", "words")
-    found = table.mapInArrow(_encode_words(path), "chunk long, slots binary, counts binary, ids binary")
-    texts = split.where("bucket is null").select(F.col("chunk").alias("home"), "doc_id", "payload")
-    return texts.groupBy("home").cogroup(found.groupBy("chunk")).applyInArrow(_assemble(arrow, spelling), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
+    found = table.mapInArrow(_encode_words(path), "home long, slots binary, counts binary, ids binary")
+    texts = split.where("bucket is null").select("chunk", "doc_id", "payload")
+    return texts.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_assemble(arrow, spelling), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
