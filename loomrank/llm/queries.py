@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, minhash, quality, secrets, sharding, toxicity
+from . import ann, bpe, decontam, lm, minhash, quality, secrets, sharding, toxicity
 from ._runtime import load
 
 
@@ -39,12 +39,16 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_ann, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_ann, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam, op9_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
