@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of a thousand where the session keeps Spark's default of ten thousand.
+
+    Rows here are whole texts; smaller batches keep the buffers on both sides of a worker small.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomrank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -43,6 +53,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = table_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
@@ -68,4 +79,5 @@ def drop_written(df: DataFrame) -> None:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
