@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._runtime import drop_written, written
 
+#: Edges of a partition; they bound the memory of a task.
+EDGES = 500_000
+
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) for every node of the edges (a, b)."""
@@ -48,11 +51,15 @@ def _local(batches):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two long columns); root is the component's smallest node.
 
-    Every round contracts each partition's edges by union-find and then hooks the roots that different
-    partitions gave to one node. A node has one row a partition at most, so a hub with any number of
-    edges is never gathered; no edge or label reaches the driver.
+    Edges are held in partitions of about ``EDGES``. Every round contracts each partition by union-find and
+    then hooks the roots that different partitions gave to one node; with one partition the first round is
+    the last. A node has one row a partition at most, so a hub with any number of edges is never gathered;
+    no edge or label reaches the driver.
     """
-    found = edges.toDF("a", "b").mapInArrow(_local, "node long, root long")
+    parts = edges.count() // EDGES + 1
+    found = edges.toDF("a", "b").coalesce(parts).mapInArrow(_local, "node long, root long")
+    if parts == 1:
+        return found
     before = None
     while True:
         least = F.min("root").over(Window.partitionBy("node"))
@@ -62,5 +69,5 @@ def components(edges: DataFrame) -> DataFrame:
         if not state.where("root <> least").limit(1).count():
             return state.select("node", F.col("least").alias("root")).distinct()
         hooks = state.where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b"))
-        found = state.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(hooks).distinct().mapInArrow(_local, "node long, root long")
+        found = state.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(hooks).distinct().coalesce(parts).mapInArrow(_local, "node long, root long")
         before = state

@@ -26,8 +26,6 @@ SHINGLE = 5
 SLOTS, ROWS = 256, 8
 #: similarity as a whole percentage of the union
 PERCENT = 85
-#: Blocks over which the pairs of one hub are dealt when they are verified.
-SALTS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,13 +141,12 @@ def _make_sets(batches):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the (a, b) pairs whose full sets are similar enough. ``a`` may be a hub of any number of pairs.
+    """Those of the written (a, b) pairs whose full sets are similar enough.
 
-    A hub's set is copied once for each block of its pairs, so its pairs meet in many tasks.
+    ``a`` may be a hub of any number of pairs: both sides of its join are plain exchanges of written tables,
+    which adaptive execution splits where they are skewed.
     """
-    pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "pairs")
-    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(left, ["a", "salt"])
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     sized = both.select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).alias("sum"))
     return sized.where(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * (F.col("sum") - F.col("shared"))).select("a", "b")
@@ -170,22 +167,25 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
-    members = written(exploded.join(shared, "key"), "members")
-    mass = members.groupBy("node").agg(F.sum("c").alias("mass"))
-    central = written(members.select("key", "node", "n").join(mass, "node"), "central")
-    need = mass.select("node").join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
+    mass = F.sum("c").over(Window.partitionBy("node")).alias("mass")  # a node has one row a band
+    central = written(exploded.join(shared, "key").select("key", "node", "n", mass), "central")
+    need = central.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     texts = docs.withColumn("hash", F.xxhash64("text"))
     sets = written(texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").mapInArrow(_make_sets, "node long, items array<long>"), "sets")
 
     hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs")
-    met = central.join(hubs, "key").where((F.col("node") != F.col("hub")) & _possible("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    edges = written(_verified(met.distinct(), sets), "edges")
+    met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
+    pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n").alias("fits")).distinct(), "pairs")
+    edges = written(_verified(pairs.where("fits").select("a", "b"), sets), "edges")
     roots = written(components(edges), "roots")
-    labelled = central.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+
+    # a bucket is settled when all of it lies in its hub's component; the sets of all others are open
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    labelled = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("label_a"), F.coalesce("root_b", "b").alias("label_b"))
     labelled = written(labelled, "labelled")
-    mixed = written(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "mixed")
-    open_ = labelled.join(mixed, "key", "left_semi").select("node", "label").distinct()
-    more = written(_verified(_rest(open_, sets), sets), "more_edges")
+    hot = written(labelled.where("label_a <> label_b").select("a", "label_a").distinct(), "unsettled")
+    open_ = labelled.join(hot.select("a"), "a", "left_semi").select(F.col("b").alias("node"), F.col("label_b").alias("label")).unionByName(hot.toDF("node", "label")).distinct()
+    more = written(_verified(written(_rest(open_, sets), "rest"), sets), "more_edges")
     if not more.limit(1).count():
         return roots
     return written(components(edges.unionByName(more)), "roots")
@@ -203,9 +203,11 @@ def _rest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     ranked = items.join(often, "item", "left").select("node", "label", "n", "item", F.coalesce("c", F.lit(1)).alias("c"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "item"))
-    first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item"), "prefixes")
-    other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item")
-    met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m"))
+    first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item", (F.col("n") - F.col("place") + 1).alias("left")), "prefixes")
+    other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item", F.col("left").alias("left_b"))
+    # what the first common item and all behind it can give must be enough: 185 |a and b| >= 85 (|a| + |b|)
+    enough = F.lit(100 + PERCENT) * F.least("left", "left_b") >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
+    met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m") & enough)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
