@@ -14,7 +14,9 @@ its own.
 
 from __future__ import annotations
 
+import ctypes
 import json
+import os
 import unicodedata
 import zlib
 from collections import defaultdict
@@ -110,6 +112,14 @@ def pieces(spark, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(piece_rows(tokenizer_path), "id int, piece binary")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system between chunks; a worker process lives through many tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed; small numbers cost about a byte."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
@@ -173,8 +183,11 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
                     chunk += 1
                     ids, docs, size, vocab = [], [], 0, defaultdict()
                     vocab.default_factory = vocab.__len__
+                    _give_back()
         if ids:
             yield from chunk_rows(chunk, ids, docs, vocab)
+        ids, docs, vocab = [], [], None
+        _give_back()
 
     return split
 
@@ -183,6 +196,7 @@ class WordTable:
     """The distinct words that one task meets, each encoded once."""
 
     def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -209,6 +223,8 @@ def _encode_words(tokenizer_path: str):
                 counts.append(_pack(np.array(list(map(len, found)))))
                 ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["home", "slots", "counts", "ids"])
+        table = None
+        _give_back()
 
     return encode
 
