@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, lm, minhash, quality, secrets, sharding, toxicity
+from . import ann, bpe, decontam, lm, minhash, quality, secrets, sharding, suffix_dedup, toxicity
 from ._runtime import load
 
 
@@ -27,6 +27,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents")).drop("found")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"), 8)
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_ann, op3_bpe, op4_secrets, op6_sharding, op7_quality, op8_decontam, op9_lm, op10_toxicity)}
+    return {f.__name__: f for f in (op1_minhash, op2_ann, op3_bpe, op4_secrets, op5_suffix_dedup, op6_sharding, op7_quality, op8_decontam, op9_lm, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
