@@ -318,7 +318,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
 
     spark = texts.sparkSession
     texts = texts.select(F.col(text_col).alias("text"))
-    least = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), texts.count() // BUCKET_DOCS)
+    least = max(64, texts.count() // BUCKET_DOCS)
     bits = int(np.ceil(np.log2(least)))
     store = SharedArrays(table_path(spark, "model"))
     atexit.register(_forget, spark, store.uri)
