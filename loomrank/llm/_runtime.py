@@ -50,8 +50,17 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def parts_for(rows: int, each: int = 20_000) -> int:
+    """Partitions of a table of so many rows at most: grows with the table, keeps small tables in few files."""
+    return max(6, rows // each)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy", parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``parts`` merges shuffle partitions into so many files where there are more.
+    """
+    df = df.coalesce(parts) if parts else df
     spark = df.sparkSession
     bound_batches(spark)
     path = table_path(spark, name)

@@ -328,7 +328,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         sizes[r["bucket"]] = r["words"]
     words = Words(store, bits, np.concatenate([[0], np.cumsum(sizes)]))
     pairs = texts.mapInArrow(_count_pairs(words), "bucket int, blob binary").groupBy("bucket").applyInArrow(_store_pairs(words), "bucket int, blob binary, tally array<long>")
-    pairs = written(pairs, "contexts")
+    pairs = written(pairs, "contexts", parts=1 << bits)
     tally = np.array([r["tally"] for r in pairs.where("tally is not null").select("tally").collect()] or [[0] * 9]).sum(axis=0)
     kinds = pairs.where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_store_contexts(words), "tally array<long>").collect()
     t = np.array([r["tally"] for r in kinds] or [[0] * 6]).sum(axis=0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._runtime import written
+from ._runtime import parts_for, written
 from ._text import mix, string_slices, word_hashes
 
 SHINGLE = 5
@@ -157,7 +157,7 @@ def _possible(n: str, m: str):
     return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
 
 
-def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(node, root) of all nodes that have a link.
 
     Buckets that two or more sets share are searched from their most central set (the one whose buckets are
@@ -166,44 +166,44 @@ def links(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     share a band and could change a component goes unseen.
     """
     exploded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = written(exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    shared = written(exploded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets", parts=parts)
     mass = F.sum("c").over(Window.partitionBy("node")).alias("mass")  # a node has one row a band
-    central = written(exploded.join(shared, "key").select("key", "node", "n", mass), "central")
+    central = written(exploded.join(shared, "key").select("key", "node", "n", mass), "central", parts=parts)
     need = central.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     texts = docs.withColumn("hash", F.xxhash64("text"))
-    sets = written(texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").mapInArrow(_make_sets, "node long, items array<long>"), "sets")
+    sets = written(texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").mapInArrow(_make_sets, "node long, items array<long>"), "sets", parts=parts)
 
-    hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs")
+    hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs", parts=parts)
     met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
-    pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n").alias("fits")).distinct(), "pairs")
-    edges = written(_verified(pairs.where("fits").select("a", "b"), sets), "edges")
-    roots = written(components(edges), "roots")
+    pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n").alias("fits")).distinct(), "pairs", parts=parts)
+    edges = written(_verified(pairs.where("fits").select("a", "b"), sets), "edges", parts=parts)
+    roots = written(components(edges), "roots", parts=parts)
 
     # a bucket is settled when all of it lies in its hub's component; the sets of all others are open
     named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     labelled = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("label_a"), F.coalesce("root_b", "b").alias("label_b"))
-    labelled = written(labelled, "labelled")
-    hot = written(labelled.where("label_a <> label_b").select("a", "label_a").distinct(), "unsettled")
+    labelled = written(labelled, "labelled", parts=parts)
+    hot = written(labelled.where("label_a <> label_b").select("a", "label_a").distinct(), "unsettled", parts=parts)
     open_ = labelled.join(hot.select("a"), "a", "left_semi").select(F.col("b").alias("node"), F.col("label_b").alias("label")).unionByName(hot.toDF("node", "label")).distinct()
-    more = written(_verified(written(_rest(open_, sets), "rest"), sets), "more_edges")
+    more = written(_verified(written(_rest(open_, sets, parts), "rest", parts=parts), sets), "more_edges", parts=parts)
     if not more.limit(1).count():
         return roots
-    return written(components(edges.unionByName(more)), "roots")
+    return written(components(edges.unionByName(more)), "roots", parts=parts)
 
 
-def _rest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """All (a, b) pairs of open sets of different labels that can be similar enough, by prefix filtering.
 
     Items are ordered rarest first. Two sets as similar as asked share an item among the first
     n - ceil(0.85 n) + 1 of either, so only sets that share a rare item meet: sets that have nothing but a
     common passage in common don't.
     """
-    items = written(sets.join(open_, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
-    often = written(items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    items = written(sets.join(open_, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item")), "items", parts=parts)
+    often = written(items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1"), "often", parts=parts)
     ranked = items.join(often, "item", "left").select("node", "label", "n", "item", F.coalesce("c", F.lit(1)).alias("c"))
     length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "item"))
-    first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item", (F.col("n") - F.col("place") + 1).alias("left")), "prefixes")
+    first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item", (F.col("n") - F.col("place") + 1).alias("left")), "prefixes", parts=parts)
     other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item", F.col("left").alias("left_b"))
     # what the first common item and all behind it can give must be enough: 185 |a and b| >= 85 (|a| + |b|)
     enough = F.lit(100 + PERCENT) * F.least("left", "left_b") >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
@@ -214,16 +214,17 @@ def _rest(open_: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     key = docs.schema[id_col].dataType.simpleString()
+    parts = parts_for(docs.count())
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(
         docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign, f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
     )
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
-    nodes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    roots = links(docs, signed, nodes)
-    placed = written(nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
-    least = written(placed.groupBy("root").agg(F.min("first").alias("component")), "least")
-    owner = written(placed.select("node", "root").join(least, "root").select("node", "component"), "owner")
+    nodes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", parts=parts)
+    roots = links(docs, nodes, parts)
+    placed = written(nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed", parts=parts)
+    least = written(placed.groupBy("root").agg(F.min("first").alias("component")), "least", parts=parts)
+    owner = written(placed.select("node", "root").join(least, "root").select("node", "component"), "owner", parts=parts)
     out = signed.select("doc_id", "n", "node").join(owner, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -232,5 +233,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, rows without an id as they are."""
     named = docs.where(F.col(id_col).isNotNull())
-    kept = written(near_duplicates(named, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct(), "kept")
+    kept = written(near_duplicates(named, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct(), "kept", parts=parts_for(named.count()))
     return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not settled:
         return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     shards = rows.select("text").mapInArrow(_gather(store, bits), "bucket int, head binary, bytes binary")
-    parts = written(shards.groupBy("bucket").applyInArrow(_search(bits), "home int, key long, begin long, end long"), "parts")
+    parts = written(shards.groupBy("bucket").applyInArrow(_search(bits), "home int, key long, begin long, end long"), "parts", parts=1 << bits)
     homes = frozenset(r["bucket"] for r in parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").collect())
     return rows.mapInArrow(_cut(store, bits, homes), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
