@@ -67,7 +67,8 @@ def quantize_roundtrip(spark, sf):
     df = view.corpus(spark, sf).select("id", "unit").withColumn("scale", V.quantize_scale(F.col("unit")))
     df = df.withColumn("q", V.quantize(F.col("unit"), F.col("scale")))
     worst = F.array_max(F.zip_with(V.dequantize(F.col("q"), F.col("scale")), F.col("unit"), lambda a, b: F.abs(a - b)))
-    return df.select("id", r6("scale").alias("scale"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("checksum"), r6(worst).alias("worst"))
+    df = df.withColumn("worst", worst)  # before the rounded scale takes the name
+    return df.select("id", r6("scale").alias("scale"), F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x.cast("long")).alias("checksum"), r6("worst").alias("worst"))
 
 
 @query(f"""WITH {PAIRS}, g AS (SELECT h_id, id, list_transform(list_zip(h_unit, unit), lambda z: abs(z[1] - z[2])) AS gaps FROM pairs)
