@@ -84,7 +84,7 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
 def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """All suffixes in order, induced from the leftmost small ones in the order given."""
     n = len(text)
-    queue = scratch(n, np.int64, -1)
+    queue = scratch(n, np.int32 if n < 1 << 31 else np.int64, -1)
     rank, _, _ = _ranks(text[starts][::-1])
     queue[edges[text[starts].astype(np.int64) + 1] - 1 - rank[::-1]] = starts
     _induce(queue, text, ~small, edges[:-1].copy(), 1)
@@ -106,7 +106,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     small = _types(text)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     edges = np.concatenate([[0], np.cumsum(np.bincount(text))])
@@ -120,6 +120,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) * np.uint64(2) + small + np.uint64(1)) * powers(_BASE, n), out=total[1:])
     value = mix((total[stop] - total[order]) * powers(pow(_BASE, -1, 1 << 64), n)[order]) + (stop - order).astype(np.uint64)
+    del queue, total, stop
     name = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
     if name[-1] + 1 < len(order):
         reduced = np.empty(len(starts), np.int64)

@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 21:
             _powers[base] = have
     return have[:n]
 

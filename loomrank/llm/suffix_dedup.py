@@ -35,7 +35,7 @@ from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
 #: Segments that a task gathers before it packs them, and documents that a bucket is meant for.
-GATHER, BUCKET_DOCS = 400_000, 2_048
+GATHER, BUCKET_DOCS = 400_000, 512
 #: Windows of one text that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 _POSITION = np.uint64(0xFFFFFF)
@@ -212,7 +212,7 @@ def _gather(store: SharedArrays, bits: int):
                     raw = data[first[i] : last[i] + WINDOW].tobytes()
                     held.setdefault(int(home[i]), []).append((whole[i], first[i] - offsets[number[i]], segment[i], twice, raw))
                     size += len(raw)
-                if size >= 32 << 20:
+                if size >= 16 << 20:
                     yield flush()
                     held, size, seen = {}, 0, set()
         if held:
@@ -333,7 +333,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    least = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET_DOCS)
+    least = max(64, docs.count() // BUCKET_DOCS)
     bits = int(np.ceil(np.log2(least)))
     store = SharedArrays(table_path(spark, "repeats"))
     atexit.register(_forget, spark, store.uri)
