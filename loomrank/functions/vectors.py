@@ -79,7 +79,7 @@ def gate(a: Column, b: Column, sigma: float = K.XH_SIGMA) -> Column:
 
 
 def match(a: Column, b: Column, span: float, missing: float = 0.0) -> Column:
-    return F.coalesce(1.0 - F.least(F.lit(1.0), F.abs(a - b) / span), F.lit(missing))
+    return F.when(a.isNotNull() & b.isNotNull(), 1.0 - F.least(F.lit(1.0), F.abs(a - b) / span)).otherwise(F.lit(missing))
 
 
 def lightness(weight: Column) -> Column:

@@ -28,7 +28,7 @@ def per_heading(ranks: DataFrame, k: int) -> DataFrame:
 def upper_median(x: str) -> Column:
     """The element at floor(n / 2) of the sorted values."""
     values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
 def true_median(x: str) -> Column:

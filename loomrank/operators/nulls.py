@@ -31,7 +31,7 @@ def weighted_draws(weights: DataFrame, draws: int) -> DataFrame:
     spans = weights.select("id", "weight").withColumn("stop", run).withColumn("start", F.col("stop") - F.col("weight"))
     total = weights.agg(F.sum("weight").alias("n"))
     drawn = spark.range(draws).join(F.broadcast(total)).select(F.col("id").alias("draw"), draw(F.col("id"), 13, F.col("n")).alias("u"))
-    slots = spans.select("id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("u"))
+    slots = spans.where("weight > 0").select("id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("u"))
     return drawn.join(slots, "u").select("draw", "id")
 
 

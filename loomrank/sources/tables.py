@@ -25,7 +25,7 @@ def load_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def load_vectors_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(id, vector) of lines of tab-separated numbers; the id is the line's place, so the file is read as one text."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.lit("\n"), F.col("value")), "\r?\n")).alias("id", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\s+$", ""), "\r?\n")).alias("id", "line"))
     return lines.select(F.col("id").cast("long"), F.split("line", "\t").cast("array<double>").alias("vector"))
 
 
