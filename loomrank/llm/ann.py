@@ -72,19 +72,23 @@ def estimate(codes: np.ndarray, fit: np.ndarray, query: np.ndarray, turn: np.nda
     return signed / np.sqrt(d) / safe, bound
 
 
+def _running(x: np.ndarray) -> np.ndarray:
+    return np.add.accumulate(x, axis=-1)[..., -1]
+
+
 def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-    """Exact cosines in double precision, the same for equal vectors wherever they stand."""
-    return (vectors * query).sum(axis=1) / (norms * norm)
+    """Exact cosines in double precision, summed from the first component to the last: equal vectors tie exactly."""
+    return _running(vectors * query) / (norms * norm)
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, cosine) of the k nearest of each query within one block of candidates."""
     turn = rotation(vectors.shape[1])
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
+    norms = np.sqrt(_running(vectors * vectors))
     codes, fit = encode(vectors / norms[:, None], turn)
     out: list[tuple[np.ndarray, ...]] = []
     for qid, q in zip(query_ids, queries):
-        qn = np.sqrt((q * q).sum())
+        qn = np.sqrt(_running(q * q))
         guess, bound = estimate(codes, fit, q / qn, turn)
         open_ = ids != qid
         lower = np.where(open_, guess - bound, -np.inf)

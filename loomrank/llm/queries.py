@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, lm, minhash, quality, secrets, sharding, suffix_dedup, toxicity
+from . import ann, bpe, decontam, lm, minhash, quality, secrets, sharding, sql, suffix_dedup, toxicity
 from ._runtime import load
 
 
@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash": sql.OP1, "op2_ann": sql.OP2, "op8_decontam": sql.OP8}
