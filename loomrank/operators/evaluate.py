@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_before
+
 
 def partner_ranks(ranked: DataFrame, partners: DataFrame, missing: bool = True) -> DataFrame:
     """(h_id, partner, rank, pool): rank of each labelled partner id; one that isn't ranked gets pool + 1."""
@@ -51,14 +53,14 @@ def breaks_and_fixes(baseline: DataFrame, candidate: DataFrame, k: int) -> DataF
 
 def folds(headings: DataFrame, order: str = "h_id", parts: int = 2) -> DataFrame:
     """Even and odd headings by position."""
-    return headings.withColumn("fold", (F.row_number().over(Window.orderBy(order)) - 1) % parts)
+    return running_before(headings, order, out="_at").withColumn("fold", F.col("_at") % parts).drop("_at")
 
 
 def z_and_auc(scores: DataFrame) -> DataFrame:
     """z of the mean and the exact AUC of real (label 1) against null (label 0) scores, ties counted half."""
     ordered = scores.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("r"), F.count_if(F.col("label") == 0).alias("m"))
-    below = F.coalesce(F.sum("m").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = ordered.withColumn("w", F.col("r") * (below + F.col("m") / 2)).agg(F.sum("w").alias("w"))
+    placed = running_before(ordered, "score", amount=F.col("m"), out="below")
+    wins = placed.agg(F.sum(F.col("r") * (F.col("below") + F.col("m") / 2)).alias("w"))
     stats = scores.agg(F.count_if(F.col("label") == 1).alias("real"), F.count_if(F.col("label") == 0).alias("nulls"), F.avg(F.expr("case when label = 1 then score end")).alias("rm"), F.avg(F.expr("case when label = 0 then score end")).alias("nm"), F.stddev_pop(F.expr("case when label = 0 then score end")).alias("sd"))
     return stats.join(F.broadcast(wins)).select("real", "nulls", F.round((F.col("rm") - F.col("nm")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), 6).alias("z"), F.round(F.col("w") / (F.col("real") * F.col("nulls")), 6).alias("auc"))
 
@@ -72,12 +74,12 @@ def rank_normalized(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     """(rank - 1) / max(n - 1, 1); ties by order, not averaged. Missing values stay missing."""
     some, none = df.where(F.col(value).isNotNull()), df.where(F.col(value).isNull())
     n = some.count()
-    ranked = some.withColumn(out, (F.row_number().over(Window.orderBy(value, tie)) - 1) / F.lit(float(max(n - 1, 1))))
-    return ranked.unionByName(none.withColumn(out, F.lit(None).cast("double")))
+    placed = running_before(some, value, tie, out="_before").withColumn(out, F.col("_before") / F.lit(float(max(n - 1, 1)))).drop("_before")
+    return placed.unionByName(none.withColumn(out, F.lit(None).cast("double")))
 
 
 def evenly_spaced(df: DataFrame, order: str, k: int) -> DataFrame:
     """k rows at positions int(i * n / k)."""
     n = df.count()
     wanted = sorted({int(i * n / k) for i in range(k)}) if n else []
-    return df.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_at").isin(*wanted) if wanted else F.lit(False)).drop("_at")
+    return running_before(df, order, out="_at").where(F.col("_at").isin(*wanted) if wanted else F.lit(False)).drop("_at")

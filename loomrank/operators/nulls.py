@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running_before
+
 _FACTOR, _PRIME = 48_271, 2_147_483_647
 
 
@@ -16,7 +18,7 @@ def draw(i: Column, salt: int, n: Column) -> Column:
 def uniform_pairs(pool: DataFrame, draws: int) -> DataFrame:
     """(a, b) ids: both ends uniform over the pool; draws of one id twice are left out."""
     spark = pool.sparkSession
-    numbered = pool.select("id").withColumn("at", F.row_number().over(Window.orderBy("id")) - 1)
+    numbered = running_before(pool.select("id"), "id", out="at")
     n = numbered.agg(F.count("*").alias("n"))
     drawn = spark.range(draws).join(F.broadcast(n)).select(draw(F.col("id"), 1, F.col("n")).alias("x"), draw(F.col("id"), 7_919, F.col("n")).alias("y"))
     one = numbered.select(F.col("at").alias("x"), F.col("id").alias("a"))
@@ -27,8 +29,7 @@ def uniform_pairs(pool: DataFrame, draws: int) -> DataFrame:
 def weighted_draws(weights: DataFrame, draws: int) -> DataFrame:
     """Ids in proportion to integer weights: inverse of the running sum, met by equal ranges of its width."""
     spark = weights.sparkSession
-    run = F.sum("weight").over(Window.orderBy("id"))
-    spans = weights.select("id", "weight").withColumn("stop", run).withColumn("start", F.col("stop") - F.col("weight"))
+    spans = running_before(weights.select("id", "weight"), "id", amount=F.col("weight"), out="start").withColumn("stop", F.col("start") + F.col("weight"))
     total = weights.agg(F.sum("weight").alias("n"))
     drawn = spark.range(draws).join(F.broadcast(total)).select(F.col("id").alias("draw"), draw(F.col("id"), 13, F.col("n")).alias("u"))
     slots = spans.where("weight > 0").select("id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("u"))

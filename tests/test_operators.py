@@ -194,3 +194,21 @@ def test_render_features(spark):
     got = {r["id"]: r for r in R.embed_images(rows, R.stub_embedder(16)).collect()}
     assert len(got[1]["embedding"]) == 16 and got[1]["error"] is None and got[2]["embedding"] is None and got[3]["error"]
     assert R.preprocess(np.full((2, 2, 3), 255, np.uint8), "raw01").max() == 1.0
+
+
+def test_running_before(spark):
+    from loomrank.operators.order import running_before
+
+    rows = [(i, (i * 7919) % 50, i % 3) for i in range(500)]
+    got = {r["id"]: r["before"] for r in running_before(spark.createDataFrame(rows, "id long, v long, n long"), "v", "id", F.col("n"), ranges=7).collect()}
+    total = 0
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert got[i] == total
+        total += n
+    assert running_before(spark.createDataFrame([], "id long"), "id").count() == 0
+
+
+def test_evenly_spaced_and_folds(spark):
+    df = spark.range(10)
+    assert sorted(r["id"] for r in E.evenly_spaced(df, "id", 4).collect()) == [0, 2, 5, 7]
+    assert [r["fold"] for r in E.folds(df.withColumnRenamed("id", "h_id")).orderBy("h_id").collect()] == [0, 1] * 5
