@@ -50,7 +50,7 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def parts_for(rows: int, each: int = 20_000) -> int:
+def parts_for(rows: int, each: int = 10_000) -> int:
     """Partitions of a table of so many rows at most: grows with the table, keeps small tables in few files."""
     return max(6, rows // each)
 

@@ -326,6 +326,8 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     sizes = np.zeros(1 << bits, np.int64)
     for r in info:
         sizes[r["bucket"]] = r["words"]
+    if sizes.sum() >= int(UNKNOWN):
+        raise OverflowError(f"{sizes.sum()} distinct words; word numbers have 32 bits")
     words = Words(store, bits, np.concatenate([[0], np.cumsum(sizes)]))
     pairs = texts.mapInArrow(_count_pairs(words), "bucket int, blob binary").groupBy("bucket").applyInArrow(_store_pairs(words), "bucket int, blob binary, tally array<long>")
     pairs = written(pairs, "contexts", parts=1 << bits)
