@@ -557,6 +557,73 @@ def recommendation_overlap(spark, sf):
     return J.recommendation_overlap(P.ranked(pairs, "cn"), P.ranked(pairs, "score")).withColumn("shared", F.col("shared").cast("long"))
 
 
+# --- further operators over the same tables -------------------------------------------------------------------
+
+
+@query(f"""WITH {CATALOG}, w AS (SELECT DISTINCT family, 500 AS weight FROM catalog), m AS (SELECT w.family, c.id, c.weight = w.weight AS named, c.weight AS cw, c.style FROM w JOIN catalog c USING (family)),
+o AS (SELECT *, CASE WHEN named AND style = 'normal' THEN 0 WHEN named THEN 1 WHEN cw = 400 AND style = 'normal' THEN 2 WHEN cw = 400 THEN 3 ELSE 4 END AS o FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY o, id) AS rn FROM o) SELECT family, id, o > 1 AS warned FROM r WHERE rn = 1""")
+def named_cut(spark, sf):
+    cat = view.catalog(spark, sf)
+    wanted = cat.select("family").distinct().select(F.col("family").alias("key"), "family", F.lit(500).alias("weight"), F.lit(None).cast("string").alias("style"))
+    return C.pick_cut(cat, wanted).select("family", "id", "warned")
+
+
+@query(f"""WITH {CATALOG}, r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM catalog) SELECT id FROM r WHERE place IN (SELECT CAST(floor(i * (SELECT max(n) FROM r) / 20) AS BIGINT) FROM range(20) t(i))""")
+def evenly_spaced_sample(spark, sf):
+    return E.evenly_spaced(view.catalog(spark, sf).select("id"), "id", 20)
+
+
+@query("""WITH w AS (SELECT label AS id, count(*) AS weight FROM embeddings GROUP BY 1), s AS (SELECT id, sum(weight) OVER (ORDER BY id) - weight AS a, sum(weight) OVER (ORDER BY id) AS b FROM w), n AS (SELECT sum(weight) AS n FROM w),
+d AS (SELECT i AS draw, ((i + 13) * 48271 % 2147483647 * 16807 % 2147483647) % CAST(n AS BIGINT) AS u FROM range(1000) t(i), n) SELECT draw, id FROM d JOIN s ON u >= a AND u < b""")
+def weighted_null_draws(spark, sf):
+    return U.weighted_draws(load(spark, sf, "embeddings").groupBy(F.col("label").alias("id")).agg(F.count("*").alias("weight")), 1_000)
+
+
+@query(f"WITH {CATALOG} SELECT id, family, 'google' AS source FROM catalog WHERE id % 3 = 0 UNION ALL SELECT id + (SELECT max(id) + 1 FROM catalog WHERE id % 3 = 0), family, 'private' FROM catalog WHERE id % 3 = 1")
+def merged_ids(spark, sf):
+    cat = view.catalog(spark, sf).select("id", "family")
+    return C.merge(cat.where("id % 3 = 0"), cat.where("id % 3 = 1"))
+
+
+@query(f"""WITH {TRIPLES}, s AS (SELECT *, least(hb, ha, ba) + CAST(0.25 AS DOUBLE) * b_leg AS score FROM o),
+ref AS (SELECT h_id, arg_min(score, b_ord * 1000 + a_ord) AS r FROM s GROUP BY 1) SELECT h_id, count(*) FILTER (score > r) AS better, count(*) AS total FROM s JOIN ref USING (h_id) GROUP BY 1""")
+def triples_better(spark, sf):
+    found = triples(spark, sf).withColumn("_score", J.objective())
+    first = found.groupBy("h_id").agg(F.min_by("_score", F.col("b_ord") * 1000 + F.col("a_ord")).alias("objective"))
+    return J.triples_above(found.drop("_score"), first)
+
+
+@query(f"""WITH {ROLE}, c AS (
+  SELECT h_id, id, 'xh' AS candidate, CASE WHEN h_xh IS NULL OR xh IS NULL THEN -1 ELSE 1 - least(CAST(1 AS DOUBLE), abs(h_xh - xh) / CAST(0.15 AS DOUBLE)) END AS score FROM scored
+  UNION ALL SELECT h_id, id, 'weight', 1 - least(CAST(1 AS DOUBLE), abs(h_weight - weight) / CAST(400 AS DOUBLE)) FROM scored
+  UNION ALL SELECT h_id, id, 'category', CASE WHEN h_category <> category THEN CAST(1 AS DOUBLE) ELSE 0 END FROM scored
+  UNION ALL SELECT h_id, id, 'skeleton', gate * (1 - CAST(0.3 AS DOUBLE) * least(CAST(1 AS DOUBLE), coalesce(abs(h_width - width), 0) / CAST(0.3 AS DOUBLE))) * (CAST(0 AS DOUBLE) + cn * CAST(0.7 AS DOUBLE) + serif_split * CAST(0.3 AS DOUBLE)) FROM scored),
+r AS (SELECT *, row_number() OVER (PARTITION BY candidate, h_id ORDER BY score DESC, id) AS rank FROM c) SELECT candidate, h_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def axis_candidates(spark, sf):
+    h, c = F.col("h_weight"), F.col("weight")
+    axis = V.axis_metric(F.col("gate"), F.coalesce(F.abs(F.col("h_width") - F.col("width")), F.lit(0.0)), {"contrast": (F.col("cn"), 0.7), "serif": (F.col("serif_split"), 0.3)})
+    candidates = {
+        "xh": V.match(F.col("h_xh"), F.col("xh"), K.XH_SPAN, -1.0), "weight": V.match(h.cast("double"), c.cast("double"), K.WEIGHT_SPAN),
+        "category": F.when(F.col("h_category") != F.col("category"), 1.0).otherwise(0.0), "skeleton": axis,
+    }
+    return P.swept(view.role_pairs(spark, sf), candidates).where("rank <= 10").select("candidate", "h_id", "id", r6("score").alias("score"), "rank")
+
+
+@query(f"WITH {GRAPH} SELECT round(avg(CASE WHEN r.h_id IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS cold FROM (SELECT DISTINCT h_id FROM cand) c LEFT JOIN (SELECT DISTINCT h_id FROM reach) r USING (h_id)")
+def graph_cold_rate(spark, sf):
+    c, heads, edges = graph_edges(spark, sf)
+    candidates = C.pool(heads.select("id", "family"), c.select("id", "family", "eligible")).where("id % 7 = 0").select("h_id", "id")
+    return G.cold_rate(candidates, G.graph_partners(heads, edges, c.select("id", "unit")))
+
+
+@query(f"""WITH {CATALOG} SELECT id, family || ' ' || CAST(weight AS VARCHAR) || CASE WHEN style = 'italic' THEN ' Italic' ELSE '' END AS label, CAST(round_even(xh, 4) AS DOUBLE) AS xh, CAST(round_even(width, 4) AS DOUBLE) AS width, lower(family || ' ' || CAST(weight AS VARCHAR) || ' ' || style || ' ' || category) AS search FROM catalog""")
+def served_catalog(spark, sf):
+    from ..sources.sinks import catalog_rows
+
+    return catalog_rows(view.catalog(spark, sf)).select("id", "label", "xh", "width", "search")
+
+
 # --- learned parts without SQL --------------------------------------------------------------------------------
 
 
