@@ -36,15 +36,18 @@ def _types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrences before each entry of the same symbol, distinct symbols, their counts)."""
-    order = np.argsort(symbols, kind="stable")
+def _ranks(symbols: np.ndarray) -> np.ndarray:
+    """Occurrences before each entry of the same symbol."""
+    order = symbols.argsort(kind="stable")
     run = symbols[order]
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    counts = np.diff(np.append(first, len(run)))
-    rank = np.empty(len(symbols), np.int64)
-    rank[order] = np.arange(len(run)) - np.repeat(first, counts)
-    return rank, run[first], counts
+    first = np.empty(len(run), bool)
+    first[:1] = True
+    np.not_equal(run[1:], run[:-1], out=first[1:])
+    place = np.arange(len(run))
+    begin = np.maximum.accumulate(np.where(first, place, 0))
+    rank = np.empty(len(run), np.int64)
+    rank[order] = place - begin
+    return rank
 
 
 def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.ndarray, step: int) -> None:
@@ -66,26 +69,23 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
             size *= 2
             continue
         symbol = text[before]
-        rank, _, _ = _ranks(symbol)
-        target = places[symbol] + step * rank
+        target = places[symbol] + step * _ranks(symbol)
         reach = int((target if step == 1 else n - 1 - target).min()) - done
         if reach < size:
             part = np.searchsorted(at, reach)
             target, before, symbol = target[:part], before[:part], symbol[:part]
             size = reach
         queue[target] = before
-        if len(symbol):
-            _, seen, counts = _ranks(symbol)
-            places[seen] += step * counts
+        places[symbol] = target + step  # of a symbol's targets the last one stays
         done += size
-        size = max(1024, size * 2)
+        size = max(96, size * 2)
 
 
 def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """All suffixes in order, induced from the leftmost small ones in the order given."""
     n = len(text)
     queue = scratch(n, np.int32 if n < 1 << 31 else np.int64, -1)
-    rank, _, _ = _ranks(text[starts][::-1])
+    rank = _ranks(text[starts][::-1])
     queue[edges[text[starts].astype(np.int64) + 1] - 1 - rank[::-1]] = starts
     _induce(queue, text, ~small, edges[:-1].copy(), 1)
     known = np.flatnonzero(queue >= 0)
