@@ -362,20 +362,19 @@ def ladder_expand(spark, sf):
     return C.expand_ladder(families)
 
 
-@query(f"""WITH {CATALOG}, served AS (SELECT DISTINCT family, weight, style FROM catalog WHERE id % 3 = 0)
+@query(f"""WITH {CATALOG}, served AS (SELECT DISTINCT family, weight, style FROM catalog WHERE source = 'local')
 SELECT count(*) AS kept, (SELECT count(*) FROM catalog) - count(*) AS dropped FROM catalog c WHERE EXISTS (SELECT 1 FROM served s WHERE s.family = c.family AND s.weight = c.weight AND s.style = c.style)""")
 def served_counts(spark, sf):
     cat = view.catalog(spark, sf)
-    served = cat.where("id % 3 = 0").select("family", "weight", "style").distinct()
+    served = cat.where("source = 'local'").select("family", "weight", "style").distinct()
     marked = cat.join(served.withColumn("_s", F.lit(True)), ["family", "weight", "style"], "left")
     return marked.agg(F.count_if(F.col("_s").isNotNull()).alias("kept"), F.count_if(F.col("_s").isNull()).alias("dropped"))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_name AS family FROM part WHERE p_size = 7), b AS (SELECT DISTINCT p_name AS family FROM part WHERE p_size = 11)
+@query("""WITH a AS (SELECT DISTINCT p_type AS family FROM part), b AS (SELECT DISTINCT c_mktsegment AS family FROM customer)
 SELECT 'local_only' AS side, family FROM a WHERE family NOT IN (SELECT family FROM b) UNION ALL SELECT 'published_only', family FROM b WHERE family NOT IN (SELECT family FROM a)""")
 def cross_check(spark, sf):
-    part = load(spark, sf, "part").withColumn("family", F.col("p_name"))
-    return C.cross_check(part.where("p_size = 7"), part.where("p_size = 11"))
+    return C.cross_check(load(spark, sf, "part").select(F.col("p_type").alias("family")), load(spark, sf, "customer").select(F.col("c_mktsegment").alias("family")))
 
 
 @query("SELECT p_partkey, p_name AS family, lower(p_type) AS category, CAST(p_size AS BIGINT) AS weight, p_size % 2 = 0 AS variable FROM part")
@@ -460,19 +459,19 @@ def overlap_at_k(spark, sf):
     return N.overlap(N.knn(a, 10), N.knn(b, 10), 10)
 
 
-@query(f"WITH {HALVES} SELECT round(corr(ca, cb), 6) AS r FROM s WHERE id < near AND id % 5 = 0 AND near % 5 = 0")
+@query(f"WITH {HALVES} SELECT round(corr(ca, cb), 6) AS r FROM s WHERE id < near")
 def pearson_pairwise(spark, sf):
     a, b = halves(spark, sf)
-    both = a.select("id", F.col("unit").alias("a")).join(b.select("id", F.col("unit").alias("b")), "id").where("id % 5 = 0")
+    both = a.select("id", F.col("unit").alias("a")).join(b.select("id", F.col("unit").alias("b")), "id")
     other = both.select(F.col("id").alias("near"), F.col("a").alias("c"), F.col("b").alias("d"))
     return both.join(other, F.col("id") < F.col("near")).select(V.dot(F.col("a"), F.col("c")).alias("x"), V.dot(F.col("b"), F.col("d")).alias("y")).agg(r6(F.corr("x", "y")).alias("r"))
 
 
-@query(f"""WITH {CORPUS}, k AS (SELECT id, topic, id % 4 AS text, unit FROM corpus WHERE id % 5 = 0),
+@query(f"""WITH {CORPUS}, k AS (SELECT id, topic, id % 4 AS text, unit FROM corpus),
 s AS (SELECT a.topic = b.topic AS same_font, a.text = b.text AS same_text, list_sum(list_transform(list_zip(a.unit, b.unit), lambda z: z[1] * z[2])) AS cos FROM k a JOIN k b ON a.id < b.id)
 SELECT round(avg(cos) FILTER (same_font AND NOT same_text), 6) AS font, round(avg(cos) FILTER (same_text AND NOT same_font), 6) AS text, round(avg(cos) FILTER (same_font AND NOT same_text) - avg(cos) FILTER (same_text AND NOT same_font), 6) AS bias FROM s""")
 def style_content_stats(spark, sf):
-    k = view.corpus(spark, sf).where("id % 5 = 0").select("id", "topic", (F.col("id") % 4).alias("text"), "unit")
+    k = view.corpus(spark, sf).select("id", "topic", (F.col("id") % 4).alias("text"), "unit")
     other = k.select(F.col("id").alias("id2"), F.col("topic").alias("topic2"), F.col("text").alias("text2"), F.col("unit").alias("unit2"))
     s = k.join(other, F.col("id") < F.col("id2")).select((F.col("topic") == F.col("topic2")).alias("f"), (F.col("text") == F.col("text2")).alias("t"), V.dot(F.col("unit"), F.col("unit2")).alias("cos"))
     font, text = F.avg(F.when(F.col("f") & ~F.col("t"), F.col("cos"))), F.avg(F.when(F.col("t") & ~F.col("f"), F.col("cos")))
@@ -486,7 +485,7 @@ edges AS (SELECT h.id AS heading, p.id AS partner FROM labels_ l JOIN canonical
 gs AS (SELECT h.id AS h_id, g.id AS g, list_sum(list_transform(list_zip(h.unit, g.unit), lambda z: z[1] * z[2])) AS weight FROM canonical h JOIN canonical g ON h.id <> g.id WHERE g.id IN (SELECT heading FROM edges)),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h_id ORDER BY weight DESC, g) AS rn FROM gs) WHERE rn <= 10),
 reach AS (SELECT h_id, g, partner, weight FROM near JOIN edges ON heading = g),
-cand AS (SELECT h_id, id FROM scored WHERE id % 7 = 0),
+cand AS (SELECT h_id, id FROM scored),
 sim AS (SELECT c.h_id, c.id, r.g, r.partner, r.weight, list_sum(list_transform(list_zip(p.unit, q.unit), lambda z: z[1] * z[2])) AS sim FROM cand c JOIN reach r USING (h_id) JOIN corpus p ON p.id = r.partner JOIN corpus q ON q.id = c.id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h_id, id ORDER BY sim DESC, partner, g) AS rn FROM sim) WHERE rn <= 10),
 ds AS (SELECT h_id, id, avg(sim * weight) AS dsknn FROM best GROUP BY 1, 2)"""
@@ -504,7 +503,7 @@ def graph_edges(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 def dsknn_scores(spark, sf):
     c, heads, edges = graph_edges(spark, sf)
     units = c.select("id", "unit")
-    candidates = C.pool(heads.select("id", "family"), c.select("id", "family", "eligible")).where("id % 7 = 0").select("h_id", "id")
+    candidates = C.pool(heads.select("id", "family"), c.select("id", "family", "eligible")).select("h_id", "id")
     return G.graph_scores(G.graph_partners(heads, edges, units), candidates, units).select("h_id", "id", r6("dsknn").alias("dsknn"), "has_graph")
 
 
@@ -580,10 +579,10 @@ def weighted_null_draws(spark, sf):
     return U.weighted_draws(load(spark, sf, "embeddings").groupBy(F.col("label").alias("id")).agg(F.count("*").alias("weight")), 1_000)
 
 
-@query(f"WITH {CATALOG} SELECT id, family, 'google' AS source FROM catalog WHERE id % 3 = 0 UNION ALL SELECT id + (SELECT max(id) + 1 FROM catalog WHERE id % 3 = 0), family, 'private' FROM catalog WHERE id % 3 = 1")
+@query(f"WITH {CATALOG} SELECT id, family, 'google' AS source FROM catalog WHERE source = 'google' UNION ALL SELECT id + (SELECT max(id) + 1 FROM catalog WHERE source = 'google'), family, 'private' FROM catalog WHERE source = 'local'")
 def merged_ids(spark, sf):
-    cat = view.catalog(spark, sf).select("id", "family")
-    return C.merge(cat.where("id % 3 = 0"), cat.where("id % 3 = 1"))
+    cat = view.catalog(spark, sf).select("id", "family", "source")
+    return C.merge(cat.where("source = 'google'").drop("source"), cat.where("source = 'local'").drop("source"))
 
 
 @query(f"""WITH {TRIPLES}, s AS (SELECT *, least(hb, ha, ba) + CAST(0.25 AS DOUBLE) * b_leg AS score FROM o),
@@ -613,7 +612,7 @@ def axis_candidates(spark, sf):
 @query(f"WITH {GRAPH} SELECT round(avg(CASE WHEN r.h_id IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS cold FROM (SELECT DISTINCT h_id FROM cand) c LEFT JOIN (SELECT DISTINCT h_id FROM reach) r USING (h_id)")
 def graph_cold_rate(spark, sf):
     c, heads, edges = graph_edges(spark, sf)
-    candidates = C.pool(heads.select("id", "family"), c.select("id", "family", "eligible")).where("id % 7 = 0").select("h_id", "id")
+    candidates = C.pool(heads.select("id", "family"), c.select("id", "family", "eligible")).select("h_id", "id")
     return G.cold_rate(candidates, G.graph_partners(heads, edges, c.select("id", "unit")))
 
 
