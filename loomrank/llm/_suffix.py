@@ -10,6 +10,8 @@ from ._text import mix, powers
 
 #: Bytes of one scratch array that stay in memory; larger ones are maps of unnamed temporary files.
 MEMORY = 256 << 20
+#: Slots that one run pops at most.
+RUN = 1 << 16
 _BASE = 0xD1342543DE82EF95
 
 
@@ -66,7 +68,7 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
         at, before = at[keep], before[keep]
         if not len(at):
             done += size
-            size *= 2
+            size = min(size * 2, RUN)
             continue
         symbol = text[before]
         target = places[symbol] + step * _ranks(symbol)
@@ -78,7 +80,7 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
         queue[target] = before
         places[symbol] = target + step  # of a symbol's targets the last one stays
         done += size
-        size = max(96, size * 2)
+        size = min(max(96, size * 2), RUN)
 
 
 def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> np.ndarray:
