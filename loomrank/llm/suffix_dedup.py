@@ -38,6 +38,8 @@ WINDOW, ANCHOR = 200, 128
 GATHER, BUCKET_DOCS = 400_000, 512
 #: Windows of one text that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
+#: Bytes of text that a worker hashes at once; its working arrays take about a hundred times as many.
+SLICE = 1 << 18
 _POSITION = np.uint64(0xFFFFFF)
 
 
@@ -136,7 +138,7 @@ def _count(bits: int):
     def count(batches):
         parts, size = [], 0
         for batch in batches:
-            for _, _, data, offsets in string_slices(batch.column(0)):
+            for _, _, data, offsets in string_slices(batch.column(0), SLICE):
                 _, _, anchor, segment, _, _ = segments(data, offsets)
                 parts.append((anchor, segment))
                 size += len(anchor)
@@ -199,7 +201,7 @@ def _gather(store: SharedArrays, bits: int):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "head", "bytes"])
 
         for batch in batches:
-            for _, _, data, offsets in string_slices(batch.column(0)):
+            for _, _, data, offsets in string_slices(batch.column(0), SLICE):
                 first, last, anchor, segment, whole, number = segments(data, offsets)
                 home = _top(anchor, bits)
                 open_ = np.flatnonzero(_member(store, "mixed", bits, home, anchor))
@@ -306,7 +308,7 @@ def covered(data: np.ndarray, offsets: np.ndarray, store: SharedArrays, bits: in
 def _cut(store: SharedArrays, bits: int, homes: frozenset[int]):
     def cut(batches):
         for batch in batches:
-            for a, b, data, offsets in string_slices(batch.column(1)):
+            for a, b, data, offsets in string_slices(batch.column(1), SLICE):
                 gone = covered(data, offsets, store, bits, homes)
                 upto = np.concatenate([[0], np.cumsum(gone)])
                 enter = gone.copy()
