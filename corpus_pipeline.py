@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from loomrank.llm import bpe, decontam, minhash, quality, secrets
 from loomrank.llm._runtime import load, written
 
+#: Similarity of near duplicates, as a whole percentage of the union of two documents' 5-word shingles.
+NEAR_PERCENT = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality selection rejects go."""
@@ -21,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document's set holds the distinct 5-word shingles of its lower-cased (A-Z) white-space words; a text of
 fewer words has one shingle, the whole sequence. Two documents are linked when
-100 * |intersection| >= 85 * |union|; links found by banding are confirmed on the full sets.
+100 * |intersection| >= percent * |union|; links found by banding are confirmed on the full sets.
 
 Results for odd input: a null, empty or wordless text has an empty set, is linked with nothing and is its
 own component; equal sets are one node whatever their number; rows that repeat a doc_id share its
@@ -22,8 +22,8 @@ from ._runtime import parts_for, written
 from ._text import mix, string_slices, word_hashes
 
 SHINGLE = 5
-#: Signature length and rows of a band: 32 bands of 8. At similarity 0.85 all bands miss with probability 4e-5.
-SLOTS, ROWS = 256, 8
+#: Signature length, and the most that all bands may miss at the similarity asked for.
+SLOTS, MISS = 256, 1e-4
 #: similarity as a whole percentage of the union
 PERCENT = 85
 
@@ -99,12 +99,23 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return sig.reshape(total, slots)
 
 
-def _band_keys(sig: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Rows of a band: the most with which all bands miss a pair of this similarity with probability ``MISS`` at most.
+
+    32 bands of 8 at 85 (4e-5), 42 bands of 6 at 80 (3e-6).
+    """
+    for rows in range(SLOTS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (SLOTS // rows) <= MISS:
+            return rows
+    return 1
+
+
+def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each band of each signature; equal keys of different bands don't meet."""
-    bands = sig.shape[1] // ROWS
-    parts = sig.reshape(len(sig), bands, ROWS)
+    bands = sig.shape[1] // rows
+    parts = sig[:, : bands * rows].reshape(len(sig), bands, rows)
     keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(sig), bands)).copy()
-    for r in range(ROWS):
+    for r in range(rows):
         keys = mix(keys ^ parts[:, :, r])
     return keys
 
@@ -119,16 +130,21 @@ def _nodes(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums[:, 0] ^ mix(sums[:, 1] ^ mix(sums[:, 2])))
 
 
-def _sign(batches):
-    for batch in batches:
-        for a, b, data, offsets in string_slices(batch.column(1), 1 << 18):
-            sets = shingle_sets(data, offsets)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            keys = _band_keys(superminhash(sets))
-            flat = pa.array(_as_long(keys.ravel()))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, keys.shape[1]), pa.int32()), flat)
-            nodes = pa.array(_as_long(_nodes(sets)), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), nodes, bands], ["doc_id", "text_hash", "n", "node", "bands"])
+def _sign(percent: int):
+    rows = band_rows(percent)
+
+    def sign(batches):
+        for batch in batches:
+            for a, b, data, offsets in string_slices(batch.column(1), 1 << 18):
+                sets = shingle_sets(data, offsets)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                keys = _band_keys(superminhash(sets), rows)
+                flat = pa.array(_as_long(keys.ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, keys.shape[1]), pa.int32()), flat)
+                nodes = pa.array(_as_long(_nodes(sets)), mask=sizes == 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sizes), nodes, bands], ["doc_id", "text_hash", "n", "node", "bands"])
+
+    return sign
 
 
 def _make_sets(batches):
@@ -140,7 +156,7 @@ def _make_sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat)], ["node", "items"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the written (a, b) pairs whose full sets are similar enough.
 
     ``a`` may be a hub of any number of pairs: both sides of its join are plain exchanges of written tables,
@@ -149,15 +165,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     sized = both.select("a", "b", shared.alias("shared"), (F.size("items_a") + F.size("items_b")).alias("sum"))
-    return sized.where(F.lit(100) * F.col("shared") >= F.lit(PERCENT) * (F.col("sum") - F.col("shared"))).select("a", "b")
+    return sized.where(F.lit(100) * F.col("shared") >= F.lit(percent) * (F.col("sum") - F.col("shared"))).select("a", "b")
 
 
-def _possible(n: str, m: str):
+def _possible(n: str, m: str, percent: int):
     """Set sizes that allow the similarity."""
-    return F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m)
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def links(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all nodes that have a link.
 
     Buckets that two or more sets share are searched from their most central set (the one whose buckets are
@@ -175,8 +191,8 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
 
     hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs", parts=parts)
     met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
-    pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n").alias("fits")).distinct(), "pairs", parts=parts)
-    edges = written(_verified(pairs.where("fits").select("a", "b"), sets), "edges", parts=parts)
+    pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n", percent).alias("fits")).distinct(), "pairs", parts=parts)
+    edges = written(_verified(pairs.where("fits").select("a", "b"), sets, percent), "edges", parts=parts)
     roots = written(components(edges), "roots", parts=parts)
 
     # a bucket is settled when all of it lies in its hub's component; the sets of all others are open
@@ -185,43 +201,43 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     labelled = written(labelled, "labelled", parts=parts)
     hot = written(labelled.where("label_a <> label_b").select("a", "label_a").distinct(), "unsettled", parts=parts)
     open_ = labelled.join(hot.select("a"), "a", "left_semi").select(F.col("b").alias("node"), F.col("label_b").alias("label")).unionByName(hot.toDF("node", "label")).distinct()
-    more = written(_verified(written(_rest(open_, sets, parts), "rest", parts=parts), sets), "more_edges", parts=parts)
+    more = written(_verified(written(_rest(open_, sets, parts, percent), "rest", parts=parts), sets, percent), "more_edges", parts=parts)
     if not more.limit(1).count():
         return roots
     return written(components(edges.unionByName(more)), "roots", parts=parts)
 
 
-def _rest(open_: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _rest(open_: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFrame:
     """All (a, b) pairs of open sets of different labels that can be similar enough, by prefix filtering.
 
     Items are ordered rarest first. Two sets as similar as asked share an item among the first
-    n - ceil(0.85 n) + 1 of either, so only sets that share a rare item meet: sets that have nothing but a
+    n - ceil(n * percent / 100) + 1 of either, so only sets that share a rare item meet: sets that have nothing but a
     common passage in common don't.
     """
     items = written(sets.join(open_, "node").select("node", "label", F.size("items").alias("n"), F.explode("items").alias("item")), "items", parts=parts)
     often = written(items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1"), "often", parts=parts)
     ranked = items.join(often, "item", "left").select("node", "label", "n", "item", F.coalesce("c", F.lit(1)).alias("c"))
-    length = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("int") + 1
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     place = F.row_number().over(Window.partitionBy("node").orderBy("c", "item"))
     first = written(ranked.withColumn("place", place).where((F.col("place") <= length) & (F.col("c") > 1)).select("node", "label", "n", "item", (F.col("n") - F.col("place") + 1).alias("left")), "prefixes", parts=parts)
     other = first.select(F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("m"), "item", F.col("left").alias("left_b"))
-    # what the first common item and all behind it can give must be enough: 185 |a and b| >= 85 (|a| + |b|)
-    enough = F.lit(100 + PERCENT) * F.least("left", "left_b") >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
-    met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m") & enough)
+    # what the first common item and all behind it can give must be enough: (100 + percent) |a and b| >= percent (|a| + |b|)
+    enough = F.lit(100 + percent) * F.least("left", "left_b") >= F.lit(percent) * (F.col("n") + F.col("m"))
+    met = first.join(other, "item").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _possible("n", "m", percent) & enough)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     key = docs.schema[id_col].dataType.simpleString()
     parts = parts_for(docs.count())
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign, f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign(percent), f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
     )
     rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
     nodes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", parts=parts)
-    roots = links(docs, nodes, parts)
+    roots = links(docs, nodes, parts, percent)
     placed = written(nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed", parts=parts)
     least = written(placed.groupBy("root").agg(F.min("first").alias("component")), "least", parts=parts)
     owner = written(placed.select("node", "root").join(least, "root").select("node", "component"), "owner", parts=parts)
@@ -230,8 +246,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, rows without an id as they are."""
     named = docs.where(F.col(id_col).isNotNull())
-    kept = written(near_duplicates(named, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct(), "kept", parts=parts_for(named.count()))
+    kept = written(near_duplicates(named, id_col, text_col, percent).where("kept").select(F.col("doc_id").alias(id_col)).distinct(), "kept", parts=parts_for(named.count()))
     return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
