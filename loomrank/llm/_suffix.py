@@ -9,7 +9,9 @@ import numpy as np
 from ._text import mix, powers
 
 #: Bytes of one scratch array that stay in memory; larger ones are maps of unnamed temporary files.
-MEMORY = 256 << 20
+MEMORY = 16 << 20
+#: Entries of scratch arrays that are worked on at once.
+CHUNK = 1 << 17
 #: Slots that one run pops at most.
 RUN = 1 << 16
 _BASE = 0xD1342543DE82EF95
@@ -21,20 +23,90 @@ def scratch(n: int, dtype, fill=None) -> np.ndarray:
         out = np.empty(n, dtype)
     else:
         with tempfile.TemporaryFile() as file:
-            out = np.memmap(file, dtype=dtype, mode="w+", shape=(n,))
+            out = np.asarray(np.memmap(file, dtype=dtype, mode="w+", shape=(n,)))
     if fill is not None:
         out[:] = fill
     return out
 
 
+class Spool:
+    """An array of unknown length, put together from pieces; what passes the memory bound goes to an unnamed file."""
+
+    def __init__(self, dtype):
+        self.dtype, self.parts, self.held, self.n, self.file = np.dtype(dtype), [], 0, 0, None
+
+    def add(self, piece: np.ndarray) -> None:
+        piece = np.ascontiguousarray(piece, self.dtype)
+        if len(piece):
+            self.parts.append(piece)
+            self.held += piece.nbytes
+            self.n += len(piece)
+            if self.held > MEMORY:
+                self._flush()
+
+    def _flush(self) -> None:
+        self.file = self.file or tempfile.TemporaryFile()
+        for piece in self.parts:
+            self.file.write(piece.data.cast("B"))
+        self.parts, self.held = [], 0
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate([np.empty(0, self.dtype), *self.parts])
+        self._flush()
+        self.file.flush()
+        with self.file as file:
+            return np.asarray(np.memmap(file, dtype=self.dtype, mode="r+", shape=(self.n,)))
+
+
+def chunks(n: int) -> list[tuple[int, int]]:
+    return [(a, min(a + CHUNK, n)) for a in range(0, n, CHUNK)]
+
+
+def index_type(n: int):
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last symbol is the smallest and unique."""
     n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    ahead = differs[np.searchsorted(differs, np.arange(n - 1))]
-    out = np.empty(n, bool)
-    out[:-1] = text[ahead] < text[ahead + 1]
-    out[-1] = True
+    out = scratch(n, bool)
+    out[n - 1] = True
+    for a, b in reversed(chunks(n - 1)):
+        here, after = text[a:b], text[a + 1 : b + 1]
+        differs = np.flatnonzero(here != after)
+        known = np.append(here[differs] < after[differs], out[b])  # a run up to the end of the chunk goes on behind it
+        out[a:b] = known[np.searchsorted(differs, np.arange(b - a))]
+    return out
+
+
+def _starts(small: np.ndarray) -> np.ndarray:
+    """Positions of the leftmost small suffixes."""
+    out = Spool(index_type(len(small)))
+    for a, b in chunks(len(small) - 1):
+        out.add(np.flatnonzero(small[a + 1 : b + 1] & ~small[a:b]) + (a + 1))
+    return out.array()
+
+
+def _edges(text: np.ndarray) -> np.ndarray:
+    """Where each symbol's suffixes begin in the order of all, and the end."""
+    top = max(int(text[a:b].max()) for a, b in chunks(len(text)))
+    out = scratch(top + 2, np.int64, 0)
+    for a, b in chunks(len(text)):
+        if top < CHUNK:
+            out[1:] += np.bincount(text[a:b], minlength=top + 1)
+        else:
+            symbols, times = np.unique(text[a:b], return_counts=True)
+            out[symbols.astype(np.int64) + 1] += times
+    for a, b in chunks(len(out)):
+        out[a:b] = np.cumsum(out[a:b]) + (out[a - 1] if a else 0)
+    return out
+
+
+def _shifted(edges: np.ndarray, by: int) -> np.ndarray:
+    out = scratch(len(edges), np.int64)
+    for a, b in chunks(len(edges)):
+        out[a:b] = edges[a:b] + by
     return out
 
 
@@ -52,7 +124,7 @@ def _ranks(symbols: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.ndarray, step: int) -> None:
+def _induce(queue: np.ndarray, text: np.ndarray, small: np.ndarray, wanted: bool, places: np.ndarray, step: int) -> None:
     """Pop suffixes in order and push their predecessors of the wanted type behind (step 1) or before (-1).
 
     The queue is laid out by first symbol; ``places`` has the next free slot of each symbol. A run of slots is
@@ -64,7 +136,7 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
         block = queue[done : done + size] if step == 1 else queue[n - done - size : n - done][::-1]
         at = np.flatnonzero(block > 0)
         before = block[at] - 1
-        keep = wanted[before]
+        keep = small[before] == wanted
         at, before = at[keep], before[keep]
         if not len(at):
             done += size
@@ -86,56 +158,88 @@ def _induce(queue: np.ndarray, text: np.ndarray, wanted: np.ndarray, places: np.
 def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """All suffixes in order, induced from the leftmost small ones in the order given."""
     n = len(text)
-    queue = scratch(n, np.int32 if n < 1 << 31 else np.int64, -1)
-    rank = _ranks(text[starts][::-1])
-    queue[edges[text[starts].astype(np.int64) + 1] - 1 - rank[::-1]] = starts
-    _induce(queue, text, ~small, edges[:-1].copy(), 1)
-    known = np.flatnonzero(queue >= 0)
-    queue[known[small[queue[known]]]] = -1
+    queue = scratch(n, index_type(n), -1)
+    places = _shifted(edges[1:], -1)
+    for a, b in reversed(chunks(len(starts))):
+        block = starts[a:b][::-1]
+        symbol = text[block]
+        target = places[symbol] - _ranks(symbol)
+        queue[target] = block
+        places[symbol] = target - 1
+    _induce(queue, text, small, False, _shifted(edges[:-1], 0), 1)
+    for a, b in chunks(n):
+        part = queue[a:b]
+        part[(part >= 0) & small[part]] = -1
     queue[0] = n - 1
-    places = edges[1:] - 1
+    places = _shifted(edges[1:], -1)
     places[text[n - 1]] = 0
-    _induce(queue, text, small, places, -1)
+    _induce(queue, text, small, True, places, -1)
     return queue
 
 
+def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Each start's name and the number of names: equal substrings from one start to the next get one name."""
+    n = len(text)
+    total, back = scratch(n + 1, np.uint64), scratch(n, np.uint64)
+    inverse = pow(_BASE, -1, 1 << 64)
+    step, step_back = powers(_BASE, min(n, CHUNK)), powers(inverse, min(n, CHUNK))
+    total[0] = 0
+    for a, b in chunks(n):
+        up, down = np.uint64(pow(_BASE, a, 1 << 64)), np.uint64(pow(inverse, a, 1 << 64))
+        total[a + 1 : b + 1] = np.cumsum((text[a:b].astype(np.uint64) * np.uint64(2) + small[a:b] + np.uint64(1)) * (step[: b - a] * up)) + total[a]
+        back[a:b] = step_back[: b - a] * down
+    out = scratch(len(starts), index_type(len(starts)))
+    name, last = 0, None
+    for a, b in chunks(len(order)):
+        at = order[a:b].astype(np.int64)
+        number = np.searchsorted(starts, order[a:b])
+        stop = np.where(number + 1 < len(starts), starts[np.minimum(number + 1, len(starts) - 1)], n - 1).astype(np.int64) + 1
+        value = mix((total[stop] - total[at]) * back[at]) + (stop - at).astype(np.uint64)
+        fresh = np.concatenate([[last is not None and value[0] != last], value[1:] != value[:-1]])
+        own = name + np.cumsum(fresh)
+        out[number] = own
+        name, last = int(own[-1]), value[-1]
+    return out, name + 1
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order.
 
     ``text`` holds small non-negative integers; its last symbol must be 0 and stand nowhere else. Leftmost
     small suffixes are sorted by one round of induction, named, and ordered by recursion on their names; a
-    second round induces the rest.
+    second round induces the rest. All arrays of the text's length are scratch, worked on in chunks.
     """
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
     small = _types(text)
-    starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    edges = np.concatenate([[0], np.cumsum(np.bincount(text))])
+    starts = _starts(small)
+    edges = _edges(text)
     queue = _sorted_from(text, small, starts, edges)
-    is_start = np.zeros(n, bool)
-    is_start[starts] = True
-    order = queue[is_start[queue]]
-    # equal substrings from one leftmost small suffix to the next get one name
-    number = np.searchsorted(starts, order)
-    stop = np.append(starts[1:], n - 1)[number] + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) * np.uint64(2) + small + np.uint64(1)) * powers(_BASE, n), out=total[1:])
-    value = mix((total[stop] - total[order]) * powers(pow(_BASE, -1, 1 << 64), n)[order]) + (stop - order).astype(np.uint64)
-    del queue, total, stop
-    name = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
-    if name[-1] + 1 < len(order):
-        reduced = np.empty(len(starts), np.int64)
-        reduced[number] = name
-        order = starts[suffix_array(reduced)]
+    found = Spool(index_type(n))
+    for a, b in chunks(n):
+        at = queue[a:b][queue[a:b] > 0]
+        found.add(at[small[at] & ~small[at - 1]])
+    del queue
+    order = found.array()
+    del found
+    reduced, names = _names(text, small, starts, order)
+    if names < len(order):
+        inner = suffix_array(reduced)
+        order = scratch(len(starts), index_type(n))
+        for a, b in chunks(len(starts)):
+            order[a:b] = starts[inner[a:b]]
+        del inner
+    del reduced
     return _sorted_from(text, small, order, edges)
 
 
 def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` bytes from a and from b agree, eight at a time; both must have as many bytes left."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+    """Whether the ``length`` bytes (eight at least) from a and from b agree, eight at a time; both must have as many bytes left."""
     same = np.ones(len(a), bool)
+    if not len(a):
+        return same
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
     for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
         open_ = np.flatnonzero(same)
         if not len(open_):

@@ -7,9 +7,10 @@ windows have equal anchors. Runs of windows with one anchor make a segment.
 1. Every task sends its (anchor, segment) hashes with counts in packed blocks. A bucket of anchors stores
    the segments that occur more than once (all their windows are repeated) and the anchors with several
    different segments. An anchor that occurs once has no repeated window, so most text is settled here.
-2. The bytes of the different segments of such anchors make the shards. A shard's suffixes are sorted by
-   induced sorting (``_suffix``), whose queues are laid out by symbol and lie in unnamed temporary files
-   beyond a memory bound; neighbours that share 200 bytes are repeated windows.
+2. The bytes of the different segments of such anchors make the shards. A shard is read in batches and its
+   suffixes are sorted by induced sorting (``_suffix``), whose queues are laid out by symbol. Its bytes,
+   text, types, names, order and queues lie in unnamed temporary files beyond a memory bound an array;
+   neighbours that share 200 bytes are repeated windows.
 3. Each text's repeated windows, from both steps, are put together and cut out.
 
 The common-prefix values are compared from the sorted order, eight bytes at a time, instead of being carried
@@ -22,6 +23,8 @@ matches never cross texts; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._runtime import _forget, bound_batches, table_path, written
 from ._shared_arrays import SharedArrays
-from ._suffix import shared_prefix, suffix_array
+from ._suffix import Spool, chunks, scratch, shared_prefix, suffix_array
 from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
@@ -40,6 +43,8 @@ GATHER, BUCKET_DOCS = 400_000, 512
 PIECE = 1 << 20
 #: Bytes of text that a worker hashes at once; its working arrays take about a hundred times as many.
 SLICE = 1 << 18
+#: Repeated segments of a shard that are remembered, and segments of a shard whose results are sent on at once.
+SEEN, SEGMENTS = 1 << 18, 50_000
 _POSITION = np.uint64(0xFFFFFF)
 
 
@@ -223,52 +228,92 @@ def _gather(store: SharedArrays, bits: int):
     return gather
 
 
+def _twice(joined: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where windows start that have an equal one elsewhere, in strings that each end with one more byte."""
+    n = len(joined)
+    text = scratch(n + 1, np.int16)
+    for a, b in chunks(n):
+        text[a:b] = joined[a:b]
+        text[a:b] += 2
+    for a, b in chunks(len(starts)):
+        text[starts[a:b] + lengths[a:b]] = 1  # after each string; smaller than any byte
+    text[n] = 0
+    order = suffix_array(text)
+    del text
+    twice = scratch(n, bool, False)
+    for a, b in chunks(n - 1):  # pairs of neighbours behind the end, which comes first
+        at = order[a + 1 : b + 2].astype(np.int64)
+        owner = np.searchsorted(starts, at, side="right") - 1
+        whole = at + WINDOW <= starts[owner] + lengths[owner]
+        near = np.flatnonzero(whole[1:] & whole[:-1])
+        same = near[shared_prefix(joined, at[near], at[near + 1], WINDOW)]
+        twice[at[same]] = True
+        twice[at[same + 1]] = True
+    return twice
+
+
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    """Where strings of these lengths begin, one byte apart."""
+    out = scratch(len(lengths), np.int64)
+    upto = 0
+    for a, b in chunks(len(lengths)):
+        stops = np.cumsum(lengths[a:b] + 1) + upto
+        out[a:b] = stops - lengths[a:b] - 1
+        upto = int(stops[-1])
+    return out
+
+
 def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
     """For each byte string, which of its 200-byte windows start in more than one place of all of them."""
-    lengths = np.array(list(map(len, parts)))
     if not len(parts):
         return []
-    joined = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    text = joined.astype(np.int16) + 2
-    text[starts + lengths] = 1  # after each string; smaller than any byte
-    order = suffix_array(np.append(text, 0).astype(np.int16))[1:]
-    owner = np.searchsorted(starts, order, side="right") - 1
-    whole = order + WINDOW <= (starts + lengths)[owner]
-    near = np.flatnonzero(whole[1:] & whole[:-1])
-    same = near[shared_prefix(joined, order[near], order[near + 1], WINDOW)]
-    twice = np.zeros(len(joined), bool)
-    twice[order[same]] = True
-    twice[order[same + 1]] = True
+    lengths = np.array(list(map(len, parts)), np.int64)
+    starts = _begins(lengths)
+    twice = _twice(np.frombuffer(b"\0".join(parts) + b"\0", np.uint8), starts, lengths)
     return [twice[s : s + max(n - WINDOW + 1, 0)] for s, n in zip(starts.tolist(), lengths.tolist())]
 
 
 def _search(bits: int):
-    """Suffix-sort one shard: (text bucket, text hash, from, to) of the repeated parts of segments that occur once."""
-
-    def search(table: pa.Table) -> pa.Table:
-        rows, seen = [], set()
-        for head, blob in zip(table.column("head").to_pylist(), table.column("bytes").to_pylist()):
-            _, key, start, seg, again, n = _unzip(head, "<u8", "<u8", "<i8", "<u8", "u1", "<u4")
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            stops = np.cumsum(n.astype(np.int64))
-            for i in range(len(n)):
-                if again[i]:
-                    if (s := int(seg[i])) in seen:
-                        continue
+    """Suffix-sort one shard: (text bucket, text hash, from, to) of the repeated parts of segments that occur once.
+
+    A shard is read batch by batch into spools; nothing of its length is held in memory beyond ``_suffix.MEMORY`` an array.
+    """
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, lengths, keys, begins, repeated = Spool(np.uint8), Spool(np.int64), Spool(np.uint64), Spool(np.int64), Spool(bool)
+        seen: set[int] = set()
+        for batch in batches:
+            for head, blob in zip(batch.column("head"), batch.column("bytes")):
+                _, key, start, seg, again, n = _unzip(head.as_py(), "<u8", "<u8", "<i8", "<u8", "u1", "<u4")
+                raw, n = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8), n.astype(np.int64)
+                fresh = np.ones(len(n), bool)
+                for i in np.flatnonzero(again).tolist():
+                    fresh[i] = (s := int(seg[i])) not in seen
                     seen.add(s)
-                rows.append((key[i], int(start[i]), bool(again[i]), raw[stops[i] - n[i] : stops[i]]))
-        keys, begins, ends = [], [], []
-        for (key, start, again, _), twice in zip(rows, repeated_windows([r[3] for r in rows])):
-            if again or not twice.any():
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.view(np.int8), [0]])))
-            keys += [key] * (len(edge) // 2)
-            begins.append(start + edge[::2])
-            ends.append(start + edge[1::2] - 1 + WINDOW)
-        key = np.array(keys, np.uint64)
-        begin, end = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (begins, ends))
-        return pa.table([pa.array(_top(key, bits).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(begin), pa.array(end)], names=["home", "key", "begin", "end"])
+                if len(seen) > SEEN:
+                    seen = set()  # a copy more is sorted with the rest; it changes no result
+                ends = np.cumsum(n[fresh] + 1)
+                if not len(ends):
+                    continue
+                piece, inside = np.zeros(ends[-1], np.uint8), np.ones(ends[-1], bool)
+                inside[ends - 1] = False
+                piece[inside] = raw[np.repeat(fresh, n)]
+                for spool, values in ((joined, piece), (lengths, n[fresh]), (keys, key[fresh]), (begins, start[fresh]), (repeated, again[fresh].astype(bool))):
+                    spool.add(values)
+        joined, lengths, keys, begins, repeated = (x.array() for x in (joined, lengths, keys, begins, repeated))
+        starts = _begins(lengths)
+        twice = _twice(joined, starts, lengths)
+        for a in range(0, len(lengths), SEGMENTS):
+            b = min(a + SEGMENTS, len(lengths))
+            base = int(starts[a])
+            some = twice[base : int(starts[b - 1] + lengths[b - 1])]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], some.view(np.int8), [0]])))
+            at, size = edge[::2] + base, edge[1::2] - edge[::2]
+            owner = a + np.searchsorted(starts[a:b], at, side="right") - 1  # a run ends before its string does
+            once = ~repeated[owner]
+            at, size, owner = at[once], size[once], owner[once]
+            key, begin = keys[owner], begins[owner] + at - starts[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(_top(key, bits).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(begin), pa.array(begin + size - 1 + WINDOW)], names=["home", "key", "begin", "end"])
 
     return search
 
