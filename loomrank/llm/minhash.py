@@ -187,7 +187,9 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int, percent: int = PERCENT)
     central = written(exploded.join(shared, "key").select("key", "node", "n", mass), "central", parts=parts)
     need = central.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.doc_id").alias("id"), F.col("rep.text_hash").alias("hash"))
     texts = docs.withColumn("hash", F.xxhash64("text"))
-    sets = written(texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").mapInArrow(_make_sets, "node long, items array<long>"), "sets", parts=parts)
+    # a repeated row is one set: _rest counts on one row an item and node
+    one = texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").dropDuplicates(["node"])
+    sets = written(one.mapInArrow(_make_sets, "node long, items array<long>"), "sets", parts=parts)
 
     hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs", parts=parts)
     met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
@@ -227,27 +229,36 @@ def _rest(open_: DataFrame, sets: DataFrame, parts: int, percent: int) -> DataFr
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, node, top) for every row; ``top`` is the representative row of its group."""
     key = docs.schema[id_col].dataType.simpleString()
     parts = parts_for(docs.count())
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(
         docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign(percent), f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
     )
-    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep")
     nodes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", parts=parts)
     roots = links(docs, nodes, parts, percent)
-    placed = written(nodes.select("node", F.col("rep.doc_id").alias("first")).join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed", parts=parts)
-    least = written(placed.groupBy("root").agg(F.min("first").alias("component")), "least", parts=parts)
-    owner = written(placed.select("node", "root").join(least, "root").select("node", "component"), "owner", parts=parts)
-    out = signed.select("doc_id", "n", "node").join(owner, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    placed = written(nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "placed", parts=parts)
+    least = written(placed.groupBy("root").agg(F.min("rep").alias("top")), "least", parts=parts)
+    owner = written(placed.select("node", "root").join(least, "root").select("node", "top"), "owner", parts=parts)
+    return signed.select("doc_id", "text_hash", "n", "node").join(owner, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row."""
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    return _grouped(docs, id_col, text_col, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, rows without an id as they are."""
+    """The rows of ``docs`` that stay: one of each group, rows without an id as they are.
+
+    Rows that share an id but not their text are told apart by its hash; a repeated row stays once.
+    """
     named = docs.where(F.col(id_col).isNotNull())
-    kept = written(near_duplicates(named, id_col, text_col, percent).where("kept").select(F.col("doc_id").alias(id_col)).distinct(), "kept", parts=parts_for(named.count()))
-    return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    top = F.col("node").isNull() | ((F.col("doc_id") == F.col("top.doc_id")) & (F.col("text_hash") == F.col("top.text_hash")))
+    kept = written(_grouped(named, id_col, text_col, percent).where(top).select("doc_id", "text_hash").distinct(), "kept", parts=parts_for(named.count()))
+    stay = named.join(kept, (named[id_col] == kept["doc_id"]) & (F.xxhash64(named[text_col]) == kept["text_hash"]), "left_semi")
+    return stay.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
