@@ -167,8 +167,7 @@ def _settle(store: SharedArrays):
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
         count, anchor, segment = np.add.reduceat(count, first), anchor[first], segment[first]
         again = (anchor[1:] == anchor[:-1]) if len(anchor) else np.zeros(0, bool)
-        store.write(f"same-{bucket}", np.unique(segment[count > 1]))
-        store.write(f"mixed-{bucket}", np.unique(anchor[1:][again]))
+        store.write(f"settled-{bucket}", same=np.unique(segment[count > 1]), mixed=np.unique(anchor[1:][again]))
         return pa.table([pa.array([bucket], pa.int32())], names=["bucket"])
 
     return settle
@@ -180,7 +179,7 @@ def _member(store: SharedArrays, name: str, bits: int, home: np.ndarray, values:
     order = np.lexsort((values, home))
     for a, b in _cuts(home[order]):
         own = order[a:b]
-        have = store.read(f"{name}-{home[own[0]]}", "<u8")
+        have = store.read(f"settled-{home[own[0]]}")[name]
         at = np.searchsorted(have, values[own])
         hit = at < len(have)
         hit[hit] = have[at[hit]] == values[own][hit]
@@ -323,8 +322,7 @@ def _store_parts(store: SharedArrays):
         bucket = table.column("home")[0].as_py()
         key = table.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key, kind="stable")
-        store.write(f"key-{bucket}", key[order])
-        store.write(f"part-{bucket}", np.column_stack([table.column(c).to_numpy()[order] for c in ("begin", "end")]).astype("<i8"))
+        store.write(f"parts-{bucket}", key=key[order], **{c: table.column(c).to_numpy()[order] for c in ("begin", "end")})
         return pa.table([pa.array([bucket], pa.int32())], names=["bucket"])
 
     return write
@@ -341,12 +339,11 @@ def covered(data: np.ndarray, offsets: np.ndarray, store: SharedArrays, bits: in
     for key, text in zip(whole[some], number[some]):
         home = int(_top(key[None], bits)[0])
         if home in homes:
-            have = store.read(f"key-{home}", "<u8")
-            a, b = np.searchsorted(have, key, "left"), np.searchsorted(have, key, "right")
+            have = store.read(f"parts-{home}")
+            a, b = np.searchsorted(have["key"], key, "left"), np.searchsorted(have["key"], key, "right")
             if b > a:
-                parts = store.read(f"part-{home}", "<i8").reshape(-1, 2)[a:b] + offsets[text]
-                np.add.at(marks, parts[:, 0], 1)
-                np.add.at(marks, parts[:, 1], -1)
+                np.add.at(marks, have["begin"][a:b] + offsets[text], 1)
+                np.add.at(marks, have["end"][a:b] + offsets[text], -1)
     return np.cumsum(marks[:-1]) > 0
 
 
