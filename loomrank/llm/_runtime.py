@@ -12,28 +12,35 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``.
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, else the session's checkpoint folder.
 
-    Only where the session leaves it unset (tests, local mode) a temporary folder of this
-    machine is used, which in local mode every worker shares.
+    Where the session has neither, a temporary folder of this machine is used in local mode, in which every
+    worker shares it; on a cluster that is an error, since executors would write where nobody reads.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if sc.applicationId not in _OWN:
-        _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomrank-")
-        sc.setCheckpointDir(_OWN[sc.applicationId])
-    return _OWN[sc.applicationId]
+    root = sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
+    if not root:
+        given = sc._jsc.sc().getCheckpointDir()
+        if given.isDefined():
+            root = given.get()
+        elif sc.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="loomrank-")
+            sc.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _OWN[sc.applicationId] = root
+    return root.rstrip("/")
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hand rows to Python in batches of a thousand where the session keeps Spark's default of ten thousand.
+    """Hand rows to Python in batches of a thousand, unless the session or its configuration says how many.
 
-    Rows here are whole texts; smaller batches keep the buffers on both sides of a worker small.
+    Rows here are whole texts; smaller batches keep the buffers on both sides of a worker small. Spark itself
+    bounds a batch's bytes (``maxBytesPerBatch``, 64 MB where it isn't set). Plans read the setting when they
+    run, so it stays for the session.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(key):
         spark.conf.set(key, "1000")
 
 
@@ -70,13 +77,18 @@ def written(df: DataFrame, name: str, compression: str = "snappy", parts: int |
 
 
 def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """As ``written``, with rows placed in ``buckets`` by the hash of ``key``: a later grouping by it moves none of them."""
+    """As ``written``, with rows placed in ``buckets`` by the hash of ``key``: a later grouping by it moves none of them.
+
+    Spark places rows so only by way of a catalog table; its entry goes once the files are known.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
     table = f"loomrank_{path.rsplit('-', 1)[1]}"
     df.write.option("path", path).bucketBy(buckets, key).saveAsTable(table, format="parquet")
     atexit.register(_forget, spark, path)
-    return spark.table(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
 
 
 def drop_written(df: DataFrame) -> None:

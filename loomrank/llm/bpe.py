@@ -2,9 +2,11 @@
 
 Texts are split into the pre-tokens of the byte-level tokenizer, every distinct pre-token of the corpus is
 encoded once, and its ids are joined back to the places where it stands. Decoding joins ids to the pieces
-of the vocabulary (a table of fixed size). One row for each position would shuffle the corpus many times
-over, so a document travels as the packed word numbers of its chunk (one to two bytes a word), and a chunk's
-words travel once, packed by hash bucket; all packs of a bucket meet where its distinct words are encoded.
+of the vocabulary (a table of fixed size, which is broadcast). One row for each position would shuffle the
+corpus many times over, so a document travels as the packed word numbers of its chunk (one to two bytes a
+word), and a chunk's words travel once, packed by hash bucket; all packs of a bucket meet where its distinct
+words are encoded. Each pack's distinct ids are joined to their pieces on the way back to the chunk, and a
+document's text is put together from the joined pieces by the order of its ids.
 
 Results for odd input: a null text counts as empty, has no ids and decodes to the empty text; strings of
 added tokens in a text become their ids, as the tokenizers library does; repeated rows are encoded each;
@@ -23,6 +25,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -33,6 +36,8 @@ from ._runtime import written_by
 
 #: UTF-8 bytes of text that one chunk gathers; bounds the memory of every task
 CHUNK_BYTES = 16 << 20
+#: Buckets of distinct words at least, and UTF-8 bytes of text a bucket more is for.
+BUCKETS, BUCKET_BYTES = 256, 4 << 30
 
 #: The pre-token pattern of the byte-level tokenizer family that ``byte_bpe_50k.json`` belongs to.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -109,7 +114,8 @@ def piece_rows(tokenizer_path: str) -> list[tuple[int, bytearray]]:
 
 def pieces(spark, tokenizer_path: str) -> DataFrame:
     """(id, piece binary); its number of rows is fixed by the tokenizer file."""
-    return spark.createDataFrame(piece_rows(tokenizer_path), "id int, piece binary")
+    ids, spelled = zip(*piece_rows(tokenizer_path))
+    return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(map(bytes, spelled), pa.binary())}))
 
 
 def _give_back() -> None:
@@ -174,10 +180,10 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
         ids, docs, size, vocab = [], [], 0, defaultdict()
         vocab.default_factory = vocab.__len__
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()):
                 ids.append(key)
                 docs.append(np.array(list(map(vocab.__getitem__, splitter.words(text or ""))), dtype=np.int32))
-                size += len(text or "")
+                size += n or 0
                 if size >= chunk_bytes:
                     yield from chunk_rows(chunk, ids, docs, vocab)
                     chunk += 1
@@ -193,7 +199,7 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
 
 
 class WordTable:
-    """The distinct words that one task meets, each encoded once."""
+    """The distinct words of one bucket, each encoded once."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -202,9 +208,12 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bucket = None
         self.ids: dict[bytes, tuple[int, ...]] = {}
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def encode(self, bucket: int, words: list[bytes]) -> list[tuple[int, ...]]:
+        if bucket != self.bucket:
+            self.bucket, self.ids = bucket, {}
         fresh = [w for w in words if w not in self.ids]
         for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)):
             self.ids[w] = tuple(e.ids)
@@ -212,17 +221,28 @@ class WordTable:
 
 
 def _encode_words(tokenizer_path: str):
-    """Bucket rows to (home chunk, slots, counts, ids). All rows of a bucket meet in one task, so a word is encoded once."""
+    """Rows of a bucket, one bucket behind the other, to packs (home chunk, slots, counts, ids) and each pack's distinct ids (home chunk, id).
+
+    All rows of a bucket meet in one task, so a word is encoded once.
+    """
+    names = ["home", "slots", "counts", "ids", "id"]
 
     def encode(batches):
         table = WordTable(tokenizer_path)
         for batch in batches:
-            counts, ids = [], []
-            for blob in batch.column(2).to_pylist():
-                found = table.encode(_unpack_words(blob))
+            counts, ids, homes, distinct = [], [], [], []
+            for bucket, home, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                found = table.encode(bucket, _unpack_words(blob))
+                flat = np.fromiter((i for f in found for i in f), np.int64)
                 counts.append(_pack(np.array(list(map(len, found)))))
-                ids.append(_pack(np.fromiter((i for f in found for i in f), np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["home", "slots", "counts", "ids"])
+                ids.append(_pack(flat))
+                distinct.append(np.unique(flat))
+                homes.append(np.full(len(distinct[-1]), home))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary()), pa.nulls(n, pa.int32())], names)
+            every, home = np.concatenate(distinct or [np.zeros(0, np.int64)]).astype(np.int32), np.concatenate(homes or [np.zeros(0, np.int64)])
+            none = pa.nulls(len(every), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), none, none, none, pa.array(every, pa.int32())], names)
         table = None
         _give_back()
 
@@ -240,10 +260,13 @@ def decode_ids(rows: DataFrame, table: DataFrame, key: str = "word_id", ids: str
     return joined.select(key, F.unhex(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("decoded"))
 
 
-def _assemble(key_type: pa.DataType, spelling: list[bytes]):
-    """Join ids back by position: a chunk's documents with the ids of its words; decode by the piece of each id."""
+def _assemble(key_type: pa.DataType):
+    """Join ids back by position: a chunk's documents with the ids of its words; decode by the joined piece of each id."""
 
-    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def assemble(docs: pa.Table, found: pa.Table) -> pa.Table:
+        named = found.filter(pc.is_valid(found.column("id")))
+        spelling = dict(zip(named.column("id").to_pylist(), named.column("piece").to_pylist()))
+        words = found.filter(pc.is_null(found.column("id")))
         cols = [[_unpack(x) for x in words.column(c).to_pylist()] for c in ("slots", "counts", "ids")]
         slots = np.concatenate([np.cumsum(x, dtype=np.int64) for x in cols[0]] or [np.zeros(0, np.int64)])
         counts = np.concatenate(cols[1] or [np.zeros(0, np.uint32)]).astype(np.int64)
@@ -277,17 +300,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
     path = tokenizer_path or default_tokenizer()
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_type(kind)
-    buckets = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spelling = [b""] * (max(i for i, _ in piece_rows(path)) + 1)
-    for i, piece in piece_rows(path):
-        spelling[i] = bytes(piece)
-    schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BUCKET_BYTES)
+    schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
     split = written_by(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split", "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = split.where("bucket is not null").select("bucket", "chunk", "slots", "words").repartition("bucket").select("chunk", "slots", "words")
-    found = table.mapInArrow(_encode_words(path), "home long, slots binary, counts binary, ids binary")
+    table = split.where("bucket is not null").select("bucket", "chunk", "slots", "words").repartition("bucket").sortWithinPartitions("bucket")
+    found = table.mapInArrow(_encode_words(path), "home long, slots binary, counts binary, ids binary, id int").join(F.broadcast(pieces(spark, path)), "id", "left")
     texts = split.where("bucket is null").select("chunk", "doc_id", "payload")
-    return texts.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_assemble(arrow, spelling), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
+    return texts.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_assemble(arrow), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -38,6 +38,16 @@ def test_odd_rows(spark, library):
     compare(bpe.digests(bpe.encode_documents(docs)).collect(), rows, library)
 
 
+def test_helper_columns_chunks_in_bytes_and_catalog(spark, library):
+    """Columns named as the operator's own are ignored; a chunk counts UTF-8 bytes; no catalog entry stays behind."""
+    rows = [(f"d{i}", "日本語テキスト " * 50 + str(i)) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, 7, 8, "x", 9) for i, t in rows], "doc_id string, text string, chunk long, bucket int, payload string, id int").coalesce(1)
+    encoded = bpe.encode_documents(docs, chunk_bytes=3_000)
+    compare(bpe.digests(encoded).collect(), rows, library)
+    assert {r["doc_id"]: r["decoded"] for r in encoded.collect()} == dict(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("loomrank_")]
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "one two")], "doc_id long, text string")
     assert [tuple(r) for r in bpe.encode_documents(docs).collect()] == [(None, [505, 734], "one two")]
