@@ -91,6 +91,13 @@ def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return found
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, made longer until no column of ``df`` begins with it: a prefix for columns that are only passed through."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    return stem
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files below a DataFrame that ``written`` returned, once nothing reads it."""
     paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}

@@ -1,7 +1,8 @@
 """Quality selection by importance resampling over hashed n-gram models.
 
 Two bag models over hashed features, one of target texts (labelled good) and one of all raw texts, give
-every document the log ratio of its probabilities. Gumbel noise keyed by the id is added and the k largest
+every document the log ratio of its probabilities, taken over an average passage of its text (the mean over
+all its features, so that one cut fits short and long texts). Gumbel noise keyed by the id is added and the k largest
 sums stay (sampling without replacement in proportion to the importance weights). Features are hashed
 words, word pairs, and the same for word shapes (case, digits, end mark, repetition of earlier words), so
 shouting, stray marks and loops are seen whatever the words. k is the number of documents whose weight
@@ -19,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import written
+from ._runtime import free_name, written
 from ._sample import kth_largest, labelled_sample
 from ._text import mix, span_hashes, string_slices, words_of
 
 FEATURES = 1 << 15
 #: Weight of the raw model as the prior of the target model, in units of the target sample's features.
 PRIOR = 1.0
+#: Features that every text counts as, whatever its length: its weight is that of an average passage of it.
+PASSAGE = 200.0
 #: Share of the labelled good documents that the cut keeps at least.
 KEEP_GOOD = 0.995
-#: Largest weight of one document's evidence: a long text counts as this many features.
-EVIDENCE = 400.0
 
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[0x41:0x5B] = True
@@ -94,13 +95,11 @@ def ratios_of(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weigh(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
-    """Log importance weight of each text: mean log ratio times the number of features, at most ``EVIDENCE``."""
+    """Log importance weight of each text: the mean log ratio of all its features, times ``PASSAGE``; 0 without any."""
     out = np.zeros(len(column))
     for a, b, data, offsets in string_slices(column):
         number, text = features(data, offsets)
-        n = np.bincount(text, minlength=b - a)
-        total = np.bincount(text, weights=ratios[number], minlength=b - a)
-        out[a:b] = total / np.maximum(n, 1) * np.minimum(n, EVIDENCE)
+        out[a:b] = PASSAGE * np.bincount(text, weights=ratios[number], minlength=b - a) / np.maximum(np.bincount(text, minlength=b - a), 1)
     return out
 
 
@@ -164,13 +163,13 @@ def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ratios, _, least = _fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     if least is None:
         return docs
-    schema = docs.schema
+    schema, noise = docs.schema, free_name(docs, "_hash")
 
     def keep(batches):
         for batch in batches:
             at = batch.schema.get_field_index
-            key = weigh(batch.column(at(text_col)), ratios) + gumbel(batch.column(at("_hash")).to_numpy(zero_copy_only=False).astype(np.int64))
+            key = weigh(batch.column(at(text_col)), ratios) + gumbel(batch.column(at(noise)).to_numpy(zero_copy_only=False).astype(np.int64))
             plain = batch.select(schema.names)
             yield plain.filter(pa.array(sortable(key) >= least))
 
-    return docs.withColumn("_hash", F.xxhash64(id_col)).mapInArrow(keep, schema)
+    return docs.withColumn(noise, F.xxhash64(id_col)).mapInArrow(keep, schema)
