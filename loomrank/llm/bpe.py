@@ -220,8 +220,16 @@ class WordTable:
         return [self.ids[w] for w in words]
 
 
+def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of (chunk, id) rows, in order."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    return rows[fresh, 0], rows[fresh, 1]
+
+
 def _encode_words(tokenizer_path: str):
-    """Rows of a bucket, one bucket behind the other, to packs (home chunk, slots, counts, ids) and each pack's distinct ids (home chunk, id).
+    """Rows of a bucket, one bucket behind the other, to packs (home chunk, slots, counts, ids) and the ids that a chunk uses (home chunk, id).
 
     All rows of a bucket meet in one task, so a word is encoded once.
     """
@@ -230,19 +238,19 @@ def _encode_words(tokenizer_path: str):
     def encode(batches):
         table = WordTable(tokenizer_path)
         for batch in batches:
-            counts, ids, homes, distinct = [], [], [], []
+            counts, ids, used = [], [], []
             for bucket, home, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 found = table.encode(bucket, _unpack_words(blob))
                 flat = np.fromiter((i for f in found for i in f), np.int64)
                 counts.append(_pack(np.array(list(map(len, found)))))
                 ids.append(_pack(flat))
-                distinct.append(np.unique(flat))
-                homes.append(np.full(len(distinct[-1]), home))
+                distinct = np.unique(flat)
+                used.append(np.column_stack([np.full(len(distinct), home), distinct]))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.binary()), pa.array(ids, pa.binary()), pa.nulls(n, pa.int32())], names)
-            every, home = np.concatenate(distinct or [np.zeros(0, np.int64)]).astype(np.int32), np.concatenate(homes or [np.zeros(0, np.int64)])
+            home, every = _distinct_rows(np.concatenate(used or [np.zeros((0, 2), np.int64)]))
             none = pa.nulls(len(every), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), none, none, none, pa.array(every, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(home), none, none, none, pa.array(every, pa.int32())], names)
         table = None
         _give_back()
 
@@ -303,9 +311,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BUCKET_BYTES)
     schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
-    split = written_by(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split", "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = written_by(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split", "chunk", parts)
     table = split.where("bucket is not null").select("bucket", "chunk", "slots", "words").repartition("bucket").sortWithinPartitions("bucket")
-    found = table.mapInArrow(_encode_words(path), "home long, slots binary, counts binary, ids binary, id int").join(F.broadcast(pieces(spark, path)), "id", "left")
+    found = table.mapInArrow(_encode_words(path), "home long, slots binary, counts binary, ids binary, id int").repartition(parts, "home")
+    found = found.join(F.broadcast(pieces(spark, path)), "id", "left")  # behind the shuffle, which so carries ids alone
     texts = split.where("bucket is null").select("chunk", "doc_id", "payload")
     return texts.groupBy("chunk").cogroup(found.groupBy("home")).applyInArrow(_assemble(arrow), f"doc_id {kind.simpleString()}, ids array<int>, decoded string")
 
