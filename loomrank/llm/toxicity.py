@@ -1,21 +1,24 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers case, maps homoglyphs of other scripts and digit or sign substitutions to Latin letters,
-drops zero-width characters and turns all else into single spaces. The lexicon is learned from a bounded
-sample of labelled rows: word beginnings and whole words that toxic texts use far more often, each weighted
-by the log ratio of its rates. A word counts once, with its heaviest entry; occurrences inside exception
-phrases (given, or learned as phrases with an entry that clean texts use) count nothing. The sum of weights
-is normalised by length and turned into a probability by a logistic fit on the same sample.
+Folding lowers case, splits accents off their letters and drops them, maps homoglyphs of other scripts to
+Latin letters, drops zero-width characters and reads a digit or sign as the letter it looks like where it
+stands between letters, or begins a word before a letter; everything else becomes single spaces. The lexicon
+is learned from a bounded sample of labelled rows: word beginnings and whole words that toxic texts use far
+more often, each weighted by the log ratio of its rates. A word counts once, with its heaviest entry;
+occurrences inside exception phrases (given, or learned as phrases with an entry that clean texts use) count
+nothing. The sum of weights is normalised by length and turned into a probability by a logistic fit on the
+same sample.
 
 Results for odd input: a null or wordless text has no match and gets the score of a text without one;
-without labels of both values every score is the share of label 1 (0 without labels); repeated rows are
-scored each; a null id counts as the text '' in the split; an empty table gives an empty result; labels,
-language, source and id never enter a score; other columns are ignored. Whole texts are scanned.
+where all labels have one value that value is every score (0 without labels); repeated rows are scored
+each; a null id counts as the text '' in the split; an empty table gives an empty result; labels, language,
+source and id never enter a score; other columns are ignored. Whole texts are scanned.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -25,40 +28,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import written
 from ._sample import labelled_sample
 
-#: Letters of other scripts and signs that stand in for Latin letters.
+#: Letters of other scripts that look like Latin ones, and digits and signs that stand in for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l",
 }
-ZERO_WIDTH = "­​‌‍⁠﻿"
+STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+ZERO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
-#: Lengths of word beginnings that may become entries, in letters, and the most letters of a whole word.
-PREFIXES, LONGEST = range(4, 11), 24
+#: Lengths of word beginnings that may become entries, in letters; whole words of any length may.
+PREFIXES = range(4, 11)
 #: An entry stands in this many toxic texts of the sample at least, ...
 MIN_TEXTS = 5
 #: ... its rate there is at least e**MIN_WEIGHT times that in clean texts, and its surplus this many deviations.
 MIN_WEIGHT, MIN_DEVIATIONS = 1.5, 6.0
-#: Entries of the lexicon at most: those of the largest surplus. It bounds the automaton.
-MAX_ENTRIES = 5_000
 #: Clean texts that a phrase stands in before it becomes an exception.
 MIN_PHRASE = 5
 
-_TABLE = str.maketrans({**HOMOGLYPHS, **{chr(c): chr(0x61 + c - 0xFF21) for c in range(0xFF21, 0xFF3B)}, **{chr(c): chr(0x61 + c - 0xFF41) for c in range(0xFF41, 0xFF5B)}, **dict.fromkeys(map(ord, ZERO_WIDTH))})
+_TABLE = str.maketrans({**HOMOGLYPHS, **dict.fromkeys(map(ord, ZERO_WIDTH))})
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_SIGNS = "".join(map(re.escape, STAND_INS))
+_DIGITS = "".join(c for c in STAND_INS if c.isdigit()) + re.escape("@$")
+_STAND_IN = re.compile(rf"(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])|(?<![\w{_SIGNS}])[{_DIGITS}]+(?=[^\W\d_])")
+_LETTERS = str.maketrans(STAND_INS)
 _GAP = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """The folded words of a text with a single space around each."""
-    return f" {_GAP.sub(' ', (text or '').lower().translate(_TABLE)).strip()} "
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _MARKS.sub("", unicodedata.normalize("NFKD", low)).lower().translate(_TABLE)
+    return f" {_GAP.sub(' ', _STAND_IN.sub(lambda m: m.group().translate(_LETTERS), low)).strip()} "
 
 
 def _entries(word: str) -> list[str]:
     """Patterns that match a word: its beginnings, and itself."""
-    found = [f" {word[:n]}" for n in PREFIXES if n <= len(word)]
-    return found + [f" {word} "] if len(word) <= LONGEST else found
+    return [f" {word[:n]}" for n in PREFIXES if n <= len(word)] + [f" {word} "]
 
 
 @dataclass
@@ -112,7 +121,8 @@ class Lexicon:
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.measures(t) for t in texts]).reshape(-1, 2)
         z = self.fit[0] + x @ np.array(self.fit[1:])
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+        with np.errstate(over="ignore"):
+            return 1.0 / (1.0 + np.exp(-z))
 
 
 def _count_entries(only: set[str] | None):
@@ -141,20 +151,19 @@ _COUNTED = "entry string, hits long, texts long"
 
 
 def learn_entries(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
-    """The weighted entries that tell the two samples of texts apart."""
+    """The weighted entries that tell the two samples of texts apart; their number is bounded by the samples' words."""
     total = lambda df, only=None: df.select("text").mapInArrow(_count_entries(only), _COUNTED).groupBy("entry").agg(F.sum("hits").alias("hits"), F.sum("texts").alias("texts"))
-    often = {r["entry"]: (r["hits"], r["texts"]) for r in total(toxic).where(f"texts >= {MIN_TEXTS} or entry = ''").orderBy(F.desc("texts"), "entry").limit(20 * MAX_ENTRIES).collect()}
+    often = {r["entry"]: (r["hits"], r["texts"]) for r in total(toxic).where(f"texts >= {MIN_TEXTS} or entry = ''").collect()}
     toxic_words = max(often.pop("", (0, 0))[0], 1)
     other = {r["entry"]: r["hits"] for r in total(clean, set(often)).collect()}
     clean_words = max(other.pop("", 0), 1)
-    surplus: dict[str, tuple[float, float]] = {}
-    for entry, (n, _) in often.items():
+    kept: dict[str, float] = {}
+    for entry, (n, _) in sorted(often.items()):
         expected = (other.get(entry, 0) + 0.5) * toxic_words / clean_words
         weight, deviations = np.log((n + 0.5) / expected), (n - expected) / np.sqrt(expected + 1.0)
         if weight >= MIN_WEIGHT and deviations >= MIN_DEVIATIONS:
-            surplus[entry] = (deviations, weight)
-    kept = sorted(surplus, key=lambda e: (-surplus[e][0], e))[:MAX_ENTRIES]
-    return {e: round(float(surplus[e][1]), 6) for e in kept}
+            kept[entry] = round(float(weight), 6)
+    return kept
 
 
 def _context(lexicon: Lexicon):
@@ -209,13 +218,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, exceptions: set[str] = frozenset(), label_col: str = "toxic") -> Lexicon:
     """A lexicon from labelled rows; the labels given are the training labels."""
     sample = labelled_sample(labels, label_col)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
-        share = 0.0 if not sizes.get(1) else 1.0
-        return Lexicon({}, set(), (30.0 if share else -30.0, 0.0, 0.0))
+        return Lexicon({}, set(), (np.inf if sizes.get(1) else -np.inf, 0.0, 0.0))
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text"), "labelled")
     lexicon = Lexicon(learn_entries(texts.where("label = 1"), texts.where("label = 0")), set(exceptions))
-    rows = texts.select("label", "text").mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>")
+    rows = texts.mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>")
     seen = rows.collect()  # one short row for each row of the bounded sample
     counts = {0: Counter(), 1: Counter()}
     for r in seen:
@@ -224,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: set[str] = frozenset()
     learned = {p for p, n in counts[0].items() if n >= MIN_PHRASE and counts[1][p] <= share * n}
     if learned:
         lexicon = Lexicon(lexicon.weights, set(exceptions) | learned)
-        seen = texts.select("label", "text").mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>").collect()
+        seen = texts.mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>").collect()
     x = np.array([(r["a"], r["b"]) for r in seen], dtype=float).reshape(-1, 2)
     return Lexicon(lexicon.weights, lexicon.exceptions, _logistic(x, np.array([r["label"] for r in seen], dtype=float)))
 

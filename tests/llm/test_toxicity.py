@@ -1,4 +1,7 @@
+import math
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -25,8 +28,12 @@ def test_held_out_accuracy(spark):
 
 
 def test_fold():
-    assert fold("Ідiоt, 1D10T!") == " ідiot idioti ".replace("ід", "iд")
-    assert fold("l​o­ser") == " loser " and fold("ｌｏｓｅｒ") == " loser "
+    assert fold("Ідiоt, 1D10T!") == " ідiot idiot ".replace("ід", "iд")
+    assert fold("l\u200bo\u00adser") == " loser " and fold("ｌｏｓｅｒ") == " loser "
+    assert fold("you idiot!") == " you idiot " and fold("paid $100, 3 times! (4)") == " paid times "
+    assert fold("sh1t $cum @ss idi0t! wh4t!? a55") == " shit scum ass idiot what a "
+    assert fold("ídïòt İstanbul e\u0301a") == " idiot istanbul ea "
+    assert fold("wow!!great a|b") == " wowiigreat alb "
     assert fold(None) == fold("") == fold(" .,- ") == "  "
 
 
@@ -52,4 +59,78 @@ def test_learned_exceptions_and_odd_rows(spark):
     assert all(by[i]["predicted"] == int(i < 200) for i, _ in rows)
     assert by[None]["score"] == by[7000]["score"] < 0.3
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
-    assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {1 / (1 + np.exp(30.0))}
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.toxicity(docs, labels.where("toxic = 1")).collect()} == {1.0}
+
+
+def plain_fold(text):
+    """Folding one character at a time."""
+    low = "".join(c for c in unicodedata.normalize("NFKD", (text or "").lower()) if not unicodedata.combining(c)).lower()
+    low = "".join(toxicity.HOMOGLYPHS.get(c, c) for c in low if c not in toxicity.ZERO_WIDTH)
+    letter = lambda c: c.isalnum() and not c.isnumeric() or c.isalpha()
+    out, i = [], 0
+    while i < len(low):
+        j = i
+        while j < len(low) and low[j] in toxicity.STAND_INS:
+            j += 1
+        if j == i:
+            out.append(low[i] if letter(low[i]) else " ")
+            i += 1
+            continue
+        run, before, after = low[i:j], low[i - 1] if i else " ", low[j] if j < len(low) else " "
+        begins = not (before.isalnum() or before == "_") and all(c.isdigit() or c in "@$" for c in run)
+        out += [toxicity.STAND_INS[c] for c in run] if letter(after) and (letter(before) or begins) else " " * len(run)
+        i = j
+    return " ".join("".join(out).split())
+
+
+def test_scores_against_plain_python(spark):
+    """Lexicon, exceptions, measures and scores worked out with strings and dictionaries; only the logistic fit is checked by its gradient."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in text}
+    folded = {i: plain_fold(t).split() for i, t in text.items()}
+    entries = lambda w: {f" {w[:n]}" for n in range(4, 11) if n <= len(w)} | {f" {w} "}
+    hits, texts, words = {0: Counter(), 1: Counter()}, Counter(), Counter()
+    for i, y in label.items():
+        words[y] += len(folded[i])
+        for w, n in Counter(folded[i]).items():
+            for e in entries(w):
+                hits[y][e] += n
+        if y:
+            texts.update({e for w in folded[i] for e in entries(w)})
+    weights = {}
+    for e, n in hits[1].items():
+        expected = (hits[0][e] + 0.5) * words[1] / words[0]
+        if texts[e] >= 5 and math.log((n + 0.5) / expected) >= 1.5 and (n - expected) / math.sqrt(expected + 1) >= 6:
+            weights[e] = round(math.log((n + 0.5) / expected), 6)
+
+    def matched(ws, spared=frozenset()):
+        out = [max([weights[e] for e in entries(w) if e in weights], default=None) for w in ws]
+        for k in range(len(ws) - 1):
+            if f"{ws[k]} {ws[k + 1]}" in spared:
+                out[k] = out[k + 1] = None
+        return out
+
+    around = {0: Counter(), 1: Counter()}
+    for i, y in label.items():
+        ws = folded[i]
+        m = matched(ws)
+        around[y].update({f"{a} {b}" for k, (a, b) in enumerate(zip(ws, ws[1:])) if m[k] is not None or m[k + 1] is not None})
+    share = sum(label.values()) / len(label)
+    spared = {p for p, n in around[0].items() if n >= 5 and around[1][p] <= share * n}
+    lexicon = toxicity.train(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"))
+    assert lexicon.weights == weights and lexicon.exceptions == spared
+
+    def measures(i):
+        total, n = sum(w for w in matched(folded[i], spared) if w is not None), max(len(folded[i]), 1)
+        return [1.0, total / math.sqrt(n), math.log1p(100 * total / n)]
+
+    x, y = np.array([measures(i) for i in label]), np.array(list(label.values()), float)
+    w = np.array(lexicon.fit)
+    gradient = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 1e-3 * math.sqrt(len(y)) * w
+    assert (w[1:] >= 0).all() and all(abs(g) < 1e-5 or (v == 0 and g < 0) for g, v in zip(gradient, w))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    want = {i: 1 / (1 + math.exp(-float(np.dot(measures(i), w)))) for i in text}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
