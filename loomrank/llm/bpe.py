@@ -309,7 +309,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, id_col:
     kind = docs.schema[id_col].dataType
     arrow = to_arrow_type(kind)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = max(BUCKETS, (rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // BUCKET_BYTES)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(BUCKETS, size // BUCKET_BYTES)
+    rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, size // chunk_bytes))  # chunks follow the size, not the number of files
     schema = f"chunk long, bucket int, slots binary, words binary, doc_id {kind.simpleString()}, payload binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = written_by(rows.mapInArrow(_split(path, chunk_bytes, buckets, arrow), schema), "split", "chunk", parts)
