@@ -1,29 +1,41 @@
-"""Benchmark decontamination by one Aho-Corasick automaton over normalised test items.
+"""Benchmark decontamination by an Aho-Corasick automaton over normalised test items.
 
-Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became lower case. A pattern is a window of
-10 consecutive item words (an item of fewer words is one window), framed by single spaces; each text is
-normalised the same way and scanned once. Hits carry offsets in code points of the original text.
+Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z became lower case. A window is 10 consecutive item
+words (an item of fewer words is one window). Ten words in a row hold one of the item's blocks of five words
+at places 0, 5, 10, ..., so the automaton has these blocks, framed by single spaces, and takes about as much
+as the items' text. Texts are normalised the same way and scanned once; a block that occurs is extended in
+both directions as far as text and item agree, and ten words or more are a hit. Hits carry offsets in code
+points of the original text.
+
+Items lie in the shared folder in slices of bounded size. A task reads its texts once and takes one slice
+after the other to the texts it holds, so memory is bounded by a slice and the held texts whatever the
+benchmark's size, and neither items nor texts go through the driver.
 
 Results for odd input: a null or wordless text has no words, no hits and is clean; a null or wordless item
-makes no window; items that repeat an id count once; an empty benchmark flags nothing; an empty table gives
-an empty result; other columns pass through ``decontaminate`` untouched and are ignored elsewhere.
+makes no window; items that repeat an id count once; the windows of items without an id count too, as one
+item that adds nothing to the list of ids; an empty benchmark flags nothing; an empty table gives an empty
+result; other columns pass through ``decontaminate`` untouched and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
-import hashlib
+import atexit
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runtime import _forget, bound_batches, table_path
+from ._shared_arrays import SharedArrays
+
 WINDOW = 10
-#: Bytes of item text that one automaton may take; more items are split over several automata.
-SLICE_BYTES = 8 << 20
+#: Bytes of item text that one automaton takes (about sixty times as much memory), and of texts held while slices change.
+SLICE_BYTES, HELD_BYTES = 4 << 20, 32 << 20
 
 _FLAT = bytearray(range(256))
 for _b in range(128):
@@ -37,34 +49,57 @@ def _words(text: str | None) -> list[bytes]:
 
 
 class Scanner:
-    """The automaton of one slice of items; made once per worker process from the plain item rows."""
+    """The automaton of one slice of (item, text) rows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        owners: dict[str, set[str]] = {}
-        self.long = 0
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        self.window = window
+        block = (window + 1) // 2
+        self.items, self.words = [], []
+        places: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            words = _words(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(f" {b' '.join(words[i : i + window]).decode('utf-8', 'replace')} ", set()).add(item)
+            if not (words := _words(text)):
+                continue
+            for at in range(0, len(words) - block + 1, block) if len(words) >= window else [0]:
+                pattern = words[at : at + block] if len(words) >= window else words
+                places.setdefault(_framed(pattern), []).append((len(self.words), at))
+            self.items.append(item)
+            self.words.append(words)
         self.tree = ahocorasick.Automaton()
-        for pattern, who in owners.items():
-            self.tree.add_word(pattern, (len(pattern), tuple(sorted(who))))
-        self.empty = not owners
-        self.tree.make_automaton() if owners else None
+        for pattern, where in places.items():
+            self.tree.add_word(pattern, (len(pattern), where))
+        self.empty = not places
+        self.tree.make_automaton() if places else None
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str]]]:
-        """(number of words, hits as (first word, end word, item)) of one text."""
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, str | None]]]:
+        """(number of words, hits as (first word, end word, item)) of one text; a hit is as long as text and item agree."""
         words = _words(text)
         if self.empty or not words:
             return len(words), []
-        flat = f" {b' '.join(words).decode('utf-8', 'replace')} "
-        found = [(end - length + 1, end, who) for end, (length, who) in self.tree.iter(flat)]
-        if not found:
+        flat = _framed(words)
+        met = [(end - length + 1, where) for end, (length, where) in self.tree.iter(flat)]
+        if not met:
             return len(words), []
         spaces = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32) == 0x20)
-        first = np.searchsorted(spaces, [f[0] for f in found])
-        last = np.searchsorted(spaces, [f[1] for f in found])
-        return len(words), [(int(a), int(b), item) for a, b, (_, _, who) in zip(first, last, found, strict=True) for item in who]
+        hits: list[tuple[int, int, str | None]] = []
+        upto: dict[tuple[int, int], int] = {}  # where the last run of an item ends that begins so many words before its text
+        for first, (_, where) in zip(np.searchsorted(spaces, [f for f, _ in met]).tolist(), met):
+            for item, at in where:
+                own = self.words[item]
+                if first < upto.get((item, first - at), 0):
+                    continue
+                a, b = first, first
+                while a and a - first + at and words[a - 1] == own[a - 1 - first + at]:
+                    a -= 1
+                while b < len(words) and b - first + at < len(own) and words[b] == own[b - first + at]:
+                    b += 1
+                upto[item, first - at] = b
+                if b - a >= min(self.window, len(own)):
+                    hits.append((a, b, self.items[item]))
+        return len(words), hits
+
+
+def _framed(words: list[bytes]) -> str:
+    return f" {b' '.join(words).decode('utf-8', 'replace')} "
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -82,77 +117,103 @@ def original_spans(text: str, hits: list[tuple[int, int, str]]) -> list[tuple[st
     return [(item, at[a][0], at[b - 1][1]) for a, b, item in hits]
 
 
-def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str | None]]]:
-    """Item rows in slices of bounded size; only one slice is on the driver at a time."""
-    part, size = [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if row[0] is None or row[1] is None:
-            continue
-        part.append((row[0], row[1]))
-        size += len(row[1].encode("utf-8", "replace"))
-        if size >= SLICE_BYTES:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
+def _store_items(store: SharedArrays):
+    """Write the items of a partition in slices of bounded size; return the slices' names."""
 
-_scanners: dict[str, Scanner] = {}
+    def put(name: str, rows: list[tuple[str | None, bytes]]) -> pa.RecordBatch:
+        ids = [(i or "").encode("utf-8", "replace") for i, _ in rows]
+        named = np.array([i is not None for i, _ in rows])
+        flat = lambda parts: np.frombuffer(b"".join(parts), np.uint8)
+        store.write(name, ids=flat(ids), id_sizes=np.array(list(map(len, ids)), np.int64), named=named, texts=flat([t for _, t in rows]), text_sizes=np.array([len(t) for _, t in rows], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
+    def write(batches):
+        part, rows, size = TaskContext.get().partitionId(), [], 0
+        count = 0
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is None:
+                    continue
+                rows.append((item, text.encode("utf-8", "replace")))
+                size += len(rows[-1][1])
+                if size >= SLICE_BYTES:
+                    yield put(f"items-{part}-{count}", rows)
+                    rows, size, count = [], 0, count + 1
+        if rows:
+            yield put(f"items-{part}-{count}", rows)
 
-def _scanner(shared) -> Scanner:
-    if shared.id not in _scanners:
-        _scanners.clear()
-        _scanners[shared.id] = Scanner(shared.value)
-    return _scanners[shared.id]
+    return write
 
 
 class _Items:
-    """A broadcast slice with a key of its own, so a worker process builds its automaton once."""
-
-    def __init__(self, spark: SparkSession, items: list[tuple[str, str | None]]):
-        self.cast = spark.sparkContext.broadcast(items)
-        self.id = hashlib.sha1(repr(items).encode("utf-8", "replace")).hexdigest()
-
-    @property
-    def value(self):
-        return self.cast.value
+    """The benchmark's slices by name; a worker process holds the automaton of one at a time."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str):
+        spark = benchmark.sparkSession
+        bound_batches(spark)
+        self.store = SharedArrays(table_path(spark, "items"))
+        atexit.register(_forget, spark, self.store.uri)
+        rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        slices = rows.coalesce(size // SLICE_BYTES + 1).mapInArrow(_store_items(self.store), "name string")
+        self.names = sorted(r["name"] for r in slices.collect())
+
+    def scanner(self, name: str) -> Scanner:
+        if _scanners.get("name") != (self.store.uri, name):
+            _scanners.clear()
+            group = self.store.read(name)
+            pieces = {}
+            for part in ("id", "text"):
+                raw, stops = group[f"{part}s"].tobytes(), np.cumsum(group[f"{part}_sizes"]).tolist()
+                pieces[part] = [raw[a:b].decode("utf-8") for a, b in zip([0, *stops], stops)]
+            ids = [i if named else None for i, named in zip(pieces["id"], group["named"].tolist())]
+            _scanners.update(name=(self.store.uri, name), scanner=Scanner(list(zip(ids, pieces["text"]))))
+        return _scanners["scanner"]
+
+    def scanned(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list]]]]:
+        """Each batch with (number of words, hits) of every text, over all slices."""
+        for held in _held(batches, HELD_BYTES if len(self.names) > 1 else 0):
+            texts = [b.column(b.schema.get_field_index(column)).to_pylist() for b in held]
+            found: list[list[tuple[int, list]]] = [[(0, [])] * len(t) for t in texts]
+            for name in self.names or [None]:
+                scanner = self.scanner(name) if name else Scanner([])
+                for i, own in enumerate(texts):
+                    found[i] = [(n, [*before, *hits]) for (_, before), (n, hits) in zip(found[i], map(scanner.scan, own))]
+            yield from zip(held, found)
+
+
+_scanners: dict = {}
+
+
+def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together up to a number of bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, hits array<struct<item, first_word, end_word, start, end>>) for every row.
-
-    Items beyond one slice are scanned by further automata and the hits of a row are put together again.
-    """
-    spark = docs.sparkSession
+    """(doc_id, n_words, hits array<struct<item, first_word, end_word, start, end>>) for every row."""
     key = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {key}, n_words long, hits array<struct<item:string,first_word:long,end_word:long,start:long,end:long>>"
-    slices = [_Items(spark, s) for s in _slices(benchmark, item_col, item_text)] or [_Items(spark, [])]
-
-    def over(shared: _Items):
-        def scan(batches):
-            scanner = _scanner(shared)
-            for batch in batches:
-                counts, hits = [], []
-                for text in batch.column(1).to_pylist():
-                    n, found = scanner.scan(text)
-                    counts.append(n)
-                    placed = original_spans(text, found) if found else ()
-                    hits.append([{"item": i, "first_word": a, "end_word": b, "start": s, "end": e} for (a, b, i), (_, s, e) in zip(found, placed, strict=True)])
-                kind = pa.list_(pa.struct([("item", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
-
-        return scan
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if len(slices) == 1:
-        return rows.mapInArrow(over(slices[0]), schema)
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    parts = [rows.select(F.struct("doc_id", "_row").alias("doc_id"), "text").mapInArrow(over(s), schema.replace(f"doc_id {key}", f"doc_id struct<doc_id:{key},_row:bigint>")) for s in slices]
-    merged = parts[0]
-    for more in parts[1:]:
-        merged = merged.unionByName(more)
-    return merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits")).select("doc_id.doc_id", "n_words", "hits")
+    items = _Items(benchmark, item_col, item_text)
+    kind = pa.list_(pa.struct([("item", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def scan(batches):
+        for batch, found in items.scanned(batches, "text"):
+            hits = []
+            for text, (_, own) in zip(batch.column(1).to_pylist(), found):
+                placed = original_spans(text, own) if own else ()
+                hits.append([{"item": i, "first_word": a, "end_word": b, "start": s, "end": e} for (a, b, i), (_, s, e) in zip(own, placed, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
@@ -173,15 +234,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns as they were; one pass per slice of items, no shuffle."""
-    for part in _slices(benchmark, item_col, item_text):
-        shared = _Items(docs.sparkSession, part)
-
-        def clean(batches, shared=shared):
-            scanner = _scanner(shared)
-            for batch in batches:
-                keep = [not scanner.scan(t)[1] for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows of ``docs`` without a hit, all columns as they were; one pass, no shuffle."""
+    items = _Items(benchmark, item_col, item_text)
+
+    def clean(batches):
+        for batch, found in items.scanned(batches, text_col):
+            yield batch.filter(pa.array([not hits for _, hits in found], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
