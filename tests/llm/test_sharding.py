@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomrank.llm import sharding
 
@@ -57,3 +58,20 @@ def test_odd_rows_and_written_shards(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 4 and {(r["doc_id"], r["shard"]) for r in back.collect()} == {(r["doc_id"], r["shard"]) for r in got}
+
+
+def test_keys_of_any_type(spark, tmp_path):
+    """Equal keys of a type share a shard; null keys have one of their own, not that of 0."""
+    rows = [(0, "a", 1.5, None), (1, "b", 2.5, None), (0, "a", 1.5, "x"), (None, None, None, "y")]
+    docs = spark.createDataFrame(rows, "n int, s string, d double, text string").withColumns({"t": F.timestamp_seconds("n"), "b": F.col("s").cast("binary"), "m": F.col("n").cast("decimal(20,0)"), "shard": F.lit("own"), "_piece": F.lit(1)})
+    for col in ("n", "s", "d", "t", "b", "m"):
+        got = sharding.assign_shards(docs, 1000, id_col=col).collect()
+        assert len(got) == 4
+        by = {}
+        for r in got:
+            by.setdefault(str(r["doc_id"]), set()).add(r["shard"])
+        assert all(len(x) == 1 for x in by.values()) and len(by) == 3
+        assert by["None"] == {jump(sharding.NULL_KEY, 1000)} != {jump(0, 1000)}
+    sharding.write_shards(docs, str(tmp_path / "any"), id_col="s")
+    back = spark.read.parquet(str(tmp_path / "any"))
+    assert set(back.columns) == {*docs.columns, "shard_"} and {r["shard"] for r in back.collect()} == {"own"}
