@@ -45,14 +45,33 @@ def test_odd_rows(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_smallest_and_largest_doubles(spark):
+    """Squares that leave the range of doubles change nothing."""
+    rows = [(0, [1e-200, 2e-200]), (1, [2e-200, 1e-200]), (2, [1.0, 2.0]), (3, [1e200, -1e200]), (4, [5e-324, 0.0]), (10, [-1e300, 3e300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 10 == 0, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 12)))
+    plain = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    for q in (0, 10):
+        want = sorted((-round(float(plain[q] @ plain[i] / np.linalg.norm(plain[q]) / np.linalg.norm(plain[i])), 12), i) for i in plain if i != q)
+        assert got[q] == [(i, -s) for s, i in want]
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.2, 1.0])]
+    df = spark.createDataFrame([(i, v, True) for i, v in rows], "vec_id long, embedding array<double>, _query boolean").repartition(3)
+    got = sorted((r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, F.col("vec_id") == 2, 9).collect())
+    assert [i for i, _ in got] == [0, 0, 1, 1]
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((4000, 60))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    turn = ann.rotation(64)
-    codes, fit = ann.encode(x, turn)
-    q = x[0] + 0.3 * rng.standard_normal(64) / 8
+    codes, fit = ann.encode(x)
+    q = x[0] + 0.3 * rng.standard_normal(60) / 8
     q /= np.linalg.norm(q)
-    guess, bound = ann.estimate(codes, fit, q, turn)
-    assert (np.abs(guess - x @ q) <= bound).mean() > 0.99
-    assert codes.shape == (4000, 1) and codes.dtype == np.uint64
+    guess, bound = ann.estimate(codes, fit, q[None])
+    assert (np.abs(guess[0] - x @ q) <= bound).mean() > 0.99
+    assert codes.shape == (4000, 8) and codes.dtype == np.uint8
