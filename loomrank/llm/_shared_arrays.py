@@ -70,15 +70,23 @@ class SharedArrays:
 
     def read(self, name: str) -> dict[str, np.ndarray]:
         """The arrays of a group by name."""
-        found = self._open.get(name)
+        found = self._open.pop(name, None)
         if found is None:
-            found = self._open[name] = self._map(name)
-            while len(self._open) > OPEN:
+            found = self._map(name)
+            while len(self._open) >= OPEN:
                 self._open.popitem(last=False)
-        else:
-            self._open.move_to_end(name)
+        self._open[name] = found
         return found
 
+    def get(self, name: str) -> dict[str, np.ndarray] | None:
+        """The arrays of a group, or None if nobody wrote it; to ask once all writers are done."""
+        if name not in self._open:
+            try:
+                return self.read(name)
+            except FileNotFoundError:
+                self._open[name] = None
+        return self.read(name) if self._open[name] is not None else None
+
     def _map(self, name: str) -> dict[str, np.ndarray]:
         if self.local is not None:
             raw = np.memmap(os.path.join(self.local, name), dtype=np.uint8, mode="r")

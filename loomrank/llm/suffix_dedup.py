@@ -5,13 +5,17 @@ dealt to shards by content: a window's anchor is the 128-byte string in it with
 windows have equal anchors. Runs of windows with one anchor make a segment.
 
 1. Every task sends its (anchor, segment) hashes with counts in packed blocks. A bucket of anchors stores
-   the segments that occur more than once (all their windows are repeated) and the anchors with several
-   different segments. An anchor that occurs once has no repeated window, so most text is settled here.
-2. The bytes of the different segments of such anchors make the shards. A shard is read in batches and its
-   suffixes are sorted by induced sorting (``_suffix``), whose queues are laid out by symbol. Its bytes,
-   text, types, names, order and queues lie in unnamed temporary files beyond a memory bound an array;
+   the segments that occur more than once (all their windows are repeated), the anchors with several
+   different segments, and the hot ones among these. An anchor that occurs once has no repeated window, so
+   most text is settled here.
+2. A hot anchor (the edge of a passage that many texts share) is dealt by more content: its segments are cut
+   by where the anchor stands in the window, and the parts counted under all the bytes that their windows
+   have in common, 191 of 200 and then all. So no shard grows with the number of texts around an anchor.
+3. The bytes of the different segments of the other such anchors make the shards. A shard is read in batches
+   and its suffixes are sorted by induced sorting (``_suffix``), whose queues are laid out by symbol. Its
+   bytes, text, types, names, order and queues lie in unnamed temporary files beyond a memory bound an array;
    neighbours that share 200 bytes are repeated windows.
-3. Each text's repeated windows, from both steps, are put together and cut out.
+4. Each text's repeated windows, from all steps, are put together and cut out.
 
 The common-prefix values are compared from the sorted order, eight bytes at a time, instead of being carried
 through the queues: only the question "200 or more" matters here. Hashes of 64 bits stand for segments.
@@ -24,6 +28,7 @@ matches never cross texts; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,12 @@ from ._suffix import Spool, chunks, scratch, shared_prefix, suffix_array
 from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
-#: Segments that a task gathers before it packs them, and documents that a bucket is meant for.
-GATHER, BUCKET_DOCS = 400_000, 512
+#: Segments that a task gathers before it packs them, and UTF-8 bytes of text that a bucket is meant for.
+GATHER, BUCKET_BYTES = 400_000, 4 << 20
+#: An anchor with more different segments is dealt by more content, ...
+HOT = 2_048
+#: ... with parts of so many places of the anchor in the window, level by level.
+PARTS = (WINDOW - ANCHOR + 1, 10, 1)
 #: Windows of one text that are hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: Bytes of text that a worker hashes at once; its working arrays take about a hundred times as many.
@@ -48,8 +57,12 @@ SEEN, SEGMENTS = 1 << 18, 50_000
 _POSITION = np.uint64(0xFFFFFF)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first window, last window, anchor hash, segment hash, text hash, text number) of a slice of texts."""
+def segments(data: np.ndarray, offsets: np.ndarray, hot=()) -> tuple[np.ndarray, ...]:
+    """(first window, last window, key, segment hash, level, text hash, text number) of a slice of texts.
+
+    The key is the anchor's hash, or at a higher level that of the bytes common to a part's windows; ``hot``
+    has, for each level but the last, what tells which keys are dealt further.
+    """
     parts = []
     for text in range(len(offsets) - 1) if len(data) > PIECE + WINDOW else [None]:
         bounds = offsets if text is None else offsets[text : text + 2]
@@ -57,8 +70,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         for a in range(int(bounds[0]), max(int(bounds[-1]) - WINDOW + 1, int(bounds[0]) + 1), PIECE) if text is not None else [int(bounds[0])]:
             b = int(bounds[-1]) if text is None else min(int(bounds[1]), a + PIECE + WINDOW - 1)
             own = offsets if text is None else np.array([0, b - a])
-            first, last, anchor, segment, texts, number = _segments(data[a:b], own)
-            parts.append((first + a, last + a, anchor, segment, texts if text is None else np.full(len(first), whole), number if text is None else np.full(len(first), text)))
+            first, last, key, segment, level, texts, number = _segments(data[a:b], own, hot)
+            parts.append((first + a, last + a, key, segment, level, texts if text is None else np.full(len(first), whole), number if text is None else np.full(len(first), text)))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -72,12 +85,14 @@ def _hash_of(data: np.ndarray) -> np.uint64:
     return mix(_sums(data)[-1:] ^ np.uint64(len(data)))[0]
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    none = np.zeros(0, np.int64)
+def _segments(data: np.ndarray, offsets: np.ndarray, hot) -> tuple[np.ndarray, ...]:
+    none, big = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    empty = none, none, big, big, none, big, none
     n = len(data)
     if n < WINDOW:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none
+        return empty
     total, back = _sums(data), powers(_P_INV, n + 1)
+    span_hash = lambda a, b: (total[b] - total[a]) * back[a]
     grams = mix((total[ANCHOR:] - total[:-ANCHOR]) * back[: n - ANCHOR + 1])
     # the hash's upper bits, and the place turned round, so that of equal hashes the last one is least
     least = (grams & ~_POSITION) | (_POSITION - np.arange(len(grams), dtype=np.uint64))
@@ -90,14 +105,36 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     room = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + WINDOW <= room)
     if not len(at):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none
+        return empty
     chosen = (_POSITION - (least[at] & _POSITION)).astype(np.int64)
     begin = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
-    segment = mix((total[last + WINDOW] - total[first]) * back[first] ^ (mix((last - first).astype(np.uint64))))
+    chosen = chosen[begin]
+    key, low, level = grams[chosen], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for deeper, is_hot in enumerate(hot, 1):
+        split = np.flatnonzero(level == deeper - 1)
+        split = split[is_hot(key[split])]
+        if not len(split):
+            break
+        size, upto = PARTS[deeper], low[split] + PARTS[deeper - 1] - 1
+        one = (chosen[split] - last[split] - low[split]) // size  # parts by the place of the anchor in the window
+        parts = (chosen[split] - first[split] - low[split]) // size - one + 1
+        own = np.repeat(np.arange(len(split)), parts)
+        part = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts) + one[own]
+        source = split[own]
+        from_, to = low[source] + part * size, np.minimum(low[source] + (part + 1) * size - 1, upto[own])
+        common = mix(span_hash(chosen[source] - from_, chosen[source] - to + WINDOW) ^ mix((from_ * 4 + deeper).astype(np.uint64)))
+        stay = np.ones(len(first), bool)
+        stay[split] = False
+        put = lambda old, new: np.concatenate([old[stay], new])
+        new_first, new_last = np.maximum(first[source], chosen[source] - to), np.minimum(last[source], chosen[source] - from_)
+        first, last, key, low, level, chosen = put(first, new_first), put(last, new_last), put(key, common), put(low, from_), put(level, np.full(len(own), deeper)), put(chosen, chosen[source])
+    order = np.argsort(first, kind="stable")
+    first, last, key, level = first[order], last[order], key[order], level[order]
+    segment = mix(span_hash(first, last + WINDOW) ^ mix((last - first).astype(np.uint64)))
     number = np.searchsorted(offsets, first, side="right") - 1
-    whole = mix((total[offsets[1:]] - total[offsets[:-1]]) * back[offsets[:-1]] ^ np.diff(offsets).astype(np.uint64))
-    return first, last, grams[chosen[begin]], segment, whole[number], number
+    whole = mix(span_hash(offsets[:-1], offsets[1:]) ^ np.diff(offsets).astype(np.uint64))
+    return first, last, key, segment, level, whole[number], number
 
 
 def _zip(*arrays: np.ndarray, level: int = 1) -> bytes:
@@ -127,8 +164,44 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[:-1].tolist(), edge[1:].tolist()))
 
 
-def _count(bits: int):
-    """Blocks of (anchor, segment, count) by bucket."""
+@dataclass
+class Settled:
+    """What the levels counted so far tell of a key: stored by bucket in the shared folder."""
+
+    store: SharedArrays
+    bits: int
+    levels: int = 0
+
+    @property
+    def hot(self) -> list:
+        """For each counted level but the last possible one, which keys go to the next."""
+        return [lambda keys, level=level: self.has("hot", level, keys, keys) for level in range(min(self.levels, len(PARTS) - 1))]
+
+    def has(self, name: str, level: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Whether each value is in the sorted array of its key's bucket."""
+        out = np.zeros(len(values), bool)
+        home = _top(keys, self.bits)
+        order = np.lexsort((values, home))
+        for a, b in _cuts(home[order]):
+            own = order[a:b]
+            group = self.store.get(f"settled-{level}-{home[own[0]]}")
+            have = group[name] if group else ()
+            if len(have):
+                at = np.searchsorted(have, values[own])
+                at[at == len(have)] = 0
+                out[own] = have[at] == values[own]
+        return out
+
+    def by_level(self, name: str, level: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), bool)
+        for n in range(self.levels):
+            own = np.flatnonzero(level == n)
+            out[own] = self.has(name, n, keys[own], values[own])
+        return out
+
+
+def _count(settled: Settled):
+    """Blocks of (key, segment, count) of the next level by bucket."""
 
     def pack(parts):
         anchor, segment = (np.concatenate(c) for c in zip(*parts))
@@ -137,16 +210,17 @@ def _count(bits: int):
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
         counts = np.diff(np.append(first, len(anchor))).astype("<u4")
         anchor, segment = anchor[first], segment[first]
-        cuts = _cuts(bucket := _top(anchor, bits))
+        cuts = _cuts(bucket := _top(anchor, settled.bits))
         return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()), pa.array([_zip(anchor[a:b], segment[a:b], counts[a:b]) for a, b in cuts], pa.binary())], ["bucket", "blob"])
 
     def count(batches):
         parts, size = [], 0
         for batch in batches:
             for _, _, data, offsets in string_slices(batch.column(0), SLICE):
-                _, _, anchor, segment, _, _ = segments(data, offsets)
-                parts.append((anchor, segment))
-                size += len(anchor)
+                _, _, key, segment, level, _, _ = segments(data, offsets, settled.hot)
+                own = level == settled.levels
+                parts.append((key[own], segment[own]))
+                size += len(parts[-1][0])
                 if size >= GATHER:
                     yield pack(parts)
                     parts, size = [], 0
@@ -156,8 +230,8 @@ def _count(bits: int):
     return count
 
 
-def _settle(store: SharedArrays):
-    """Store a bucket's repeated segments and its anchors with several different ones."""
+def _settle(settled: Settled):
+    """Store a bucket's repeated segments and its keys with several different ones, hot ones apart."""
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -166,28 +240,15 @@ def _settle(store: SharedArrays):
         anchor, segment, count = anchor[order], segment[order], count[order].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
         count, anchor, segment = np.add.reduceat(count, first), anchor[first], segment[first]
-        again = (anchor[1:] == anchor[:-1]) if len(anchor) else np.zeros(0, bool)
-        store.write(f"settled-{bucket}", same=np.unique(segment[count > 1]), mixed=np.unique(anchor[1:][again]))
-        return pa.table([pa.array([bucket], pa.int32())], names=["bucket"])
+        keys, different = np.unique(anchor, return_counts=True)
+        hot = keys[(different > HOT) & (settled.levels < len(PARTS) - 1)]
+        settled.store.write(f"settled-{settled.levels}-{bucket}", same=np.unique(segment[count > 1]), mixed=keys[(different > 1) & ~np.isin(keys, hot)], hot=hot)
+        return pa.table([pa.array([len(hot)], pa.int64())], names=["hot"])
 
     return settle
 
 
-def _member(store: SharedArrays, name: str, bits: int, home: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array of its home bucket."""
-    out = np.zeros(len(values), bool)
-    order = np.lexsort((values, home))
-    for a, b in _cuts(home[order]):
-        own = order[a:b]
-        have = store.read(f"settled-{home[own[0]]}")[name]
-        at = np.searchsorted(have, values[own])
-        hit = at < len(have)
-        hit[hit] = have[at[hit]] == values[own][hit]
-        out[own] = hit
-    return out
-
-
-def _gather(store: SharedArrays, bits: int):
+def _gather(settled: Settled):
     """Blocks of the bytes of unsettled segments by bucket: those that occur once, and one copy a task of others."""
 
     def pack(bucket, rows):
@@ -206,10 +267,10 @@ def _gather(store: SharedArrays, bits: int):
 
         for batch in batches:
             for _, _, data, offsets in string_slices(batch.column(0), SLICE):
-                first, last, anchor, segment, whole, number = segments(data, offsets)
-                home = _top(anchor, bits)
-                open_ = np.flatnonzero(_member(store, "mixed", bits, home, anchor))
-                again = _member(store, "same", bits, home[open_], segment[open_])
+                first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
+                home = _top(key, settled.bits)
+                open_ = np.flatnonzero(settled.by_level("mixed", level, key, key))
+                again = settled.by_level("same", level[open_], key[open_], segment[open_])
                 for i, twice in zip(open_.tolist(), again.tolist()):
                     if twice:
                         if (s := int(segment[i])) in seen:
@@ -328,30 +389,29 @@ def _store_parts(store: SharedArrays):
     return write
 
 
-def covered(data: np.ndarray, offsets: np.ndarray, store: SharedArrays, bits: int, homes: frozenset[int]) -> np.ndarray:
+def covered(data: np.ndarray, offsets: np.ndarray, settled: Settled) -> np.ndarray:
     """Which bytes of a slice of texts go."""
-    first, last, anchor, segment, whole, number = segments(data, offsets)
+    first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
     marks = np.zeros(len(data) + 1, np.int64)
-    twice = _member(store, "same", bits, _top(anchor, bits), segment)
+    twice = settled.by_level("same", level, key, segment)
     np.add.at(marks, first[twice], 1)
     np.add.at(marks, last[twice] + WINDOW, -1)
     some = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.zeros(0, bool)
-    for key, text in zip(whole[some], number[some]):
-        home = int(_top(key[None], bits)[0])
-        if home in homes:
-            have = store.read(f"parts-{home}")
-            a, b = np.searchsorted(have["key"], key, "left"), np.searchsorted(have["key"], key, "right")
+    for name, home, text in zip(whole[some], _top(whole[some], settled.bits).tolist(), number[some]):
+        have = settled.store.get(f"parts-{home}")
+        if have:
+            a, b = np.searchsorted(have["key"], name, "left"), np.searchsorted(have["key"], name, "right")
             if b > a:
                 np.add.at(marks, have["begin"][a:b] + offsets[text], 1)
                 np.add.at(marks, have["end"][a:b] + offsets[text], -1)
     return np.cumsum(marks[:-1]) > 0
 
 
-def _cut(store: SharedArrays, bits: int, homes: frozenset[int]):
+def _cut(settled: Settled):
     def cut(batches):
         for batch in batches:
             for a, b, data, offsets in string_slices(batch.column(1), SLICE):
-                gone = covered(data, offsets, store, bits, homes)
+                gone = covered(data, offsets, settled)
                 upto = np.concatenate([[0], np.cumsum(gone)])
                 enter = gone.copy()
                 enter[1:] &= ~gone[:-1]
@@ -377,17 +437,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    least = max(64, docs.count() // BUCKET_DOCS)
-    bits = int(np.ceil(np.log2(least)))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bits = int(np.ceil(np.log2(max(64, size // BUCKET_BYTES))))
     store = SharedArrays(table_path(spark, "repeats"))
     atexit.register(_forget, spark, store.uri)
-    settled = rows.select("text").mapInArrow(_count(bits), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle(store), "bucket int").collect()
-    if not settled:
-        return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    shards = rows.select("text").mapInArrow(_gather(store, bits), "bucket int, head binary, bytes binary")
+    settled = Settled(store, bits)
+    texts = rows.select("text")
+    while True:
+        counted = texts.mapInArrow(_count(settled), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle(settled), "hot long")
+        found = counted.agg(F.count("*").alias("n"), F.sum("hot").alias("hot")).first()
+        settled = Settled(store, bits, settled.levels + 1)
+        if not found["n"] and settled.levels == 1:
+            return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        if not found["hot"]:
+            break
+    shards = texts.mapInArrow(_gather(settled), "bucket int, head binary, bytes binary")
     parts = written(shards.groupBy("bucket").applyInArrow(_search(bits), "home int, key long, begin long, end long"), "parts", parts=1 << bits)
-    homes = frozenset(r["bucket"] for r in parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").collect())
-    return rows.mapInArrow(_cut(store, bits, homes), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").count()
+    return rows.mapInArrow(_cut(settled), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _plain(batches):

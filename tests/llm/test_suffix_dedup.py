@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -42,7 +43,10 @@ def test_documents_against_brute_force(spark, sf_dir):
     assert any(r[2] for r in compare(spark, rows))
 
 
-def test_odd_rows(spark):
+@pytest.mark.parametrize("hot", [2_048, 3, 1])
+def test_odd_rows(spark, monkeypatch, hot):
+    """A small ``HOT`` deals the anchors at the edges of the passage by more content, level by level."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(2)
     base = prose(rng, 120)
     passage = prose(rng, 60)
@@ -59,10 +63,26 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     long = prose(rng, 900)
     data = np.frombuffer(long.encode(), np.uint8)
-    whole = suffix_dedup._segments(data, np.array([0, len(data)]))
+    whole = suffix_dedup._segments(data, np.array([0, len(data)]), ())
     cut = suffix_dedup.segments(data, np.array([0, len(data)]))
     assert set(whole[2].tolist()) == set(cut[2].tolist()) and (cut[1] - cut[0] + 1).sum() == len(data) - 199
-    assert set(cut[4].tolist()) == set(whole[4].tolist())
+    assert set(cut[5].tolist()) == set(whole[5].tolist())
+
+
+def test_hot_anchors_are_dealt_by_the_bytes_of_their_windows():
+    """With every key hot, parts are single windows, and equal keys mean equal windows."""
+    rng = random.Random(5)
+    core = prose(rng, 90)
+    texts = [prose(rng, 5) + core[:n] + prose(rng, 40) for n in (240, 230, 400)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    every = lambda keys: np.ones(len(keys), bool)
+    for levels, most in ((0, 73), (1, 10), (2, 1)):
+        first, last, key, segment, level, _, number = suffix_dedup.segments(data, offsets, [every] * levels)
+        assert (level == levels).all() and (last - first).max() < most and (last - first + 1).sum() == sum(len(t.encode()) - 199 for t in texts)
+        assert all(offsets[n] <= f and e + 200 <= offsets[n + 1] for f, e, n in zip(first, last, number))
+    raw = data.tobytes()
+    assert len({(k, raw[f : f + 200]) for f, k in zip(first.tolist(), key.tolist())}) == len(set(key.tolist())) == len({raw[f : f + 200] for f in first.tolist()}) < len(first)
 
 
 def test_empty_table(spark):
