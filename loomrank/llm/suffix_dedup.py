@@ -4,9 +4,9 @@ A byte goes when some 200-byte string that covers it starts anywhere else too. T
 dealt to shards by content: a window's anchor is the 128-byte string in it with the smallest hash, and equal
 windows have equal anchors. Runs of windows with one anchor make a segment.
 
-1. Every task sends its (anchor, segment) hashes with counts in packed blocks. A bucket of anchors stores
-   the segments that occur more than once (all their windows are repeated), the anchors with several
-   different segments, and the hot ones among these. An anchor that occurs once has no repeated window, so
+1. Every task sends its (anchor, segment) hashes with counts in packed blocks, dealt by both. Their buckets
+   store the segments that occur more than once (all their windows are repeated); how many different ones an
+   anchor has goes on to the anchor's bucket, which stores those with several, and the hot ones among these. An anchor that occurs once has no repeated window, so
    most text is settled here.
 2. A hot anchor (the edge of a passage that many texts share) is dealt by more content: its segments are cut
    by where the anchor stands in the window, and the parts counted under all the bytes that their windows
@@ -43,7 +43,7 @@ from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
 #: Segments that a task gathers before it packs them, and UTF-8 bytes of text that a bucket is meant for.
-GATHER, BUCKET_BYTES = 400_000, 4 << 20
+GATHER, BUCKET_BYTES = 400_000, 2 << 20
 #: An anchor with more different segments is dealt by more content, ...
 HOT = 2_048
 #: ... with parts of so many places of the anchor in the window, level by level.
@@ -180,11 +180,11 @@ class Settled:
     def has(self, name: str, level: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Whether each value is in the sorted array of its key's bucket."""
         out = np.zeros(len(values), bool)
-        home = _top(keys, self.bits)
+        home, kind = _top(keys, self.bits), "same" if name == "same" else "keys"
         order = np.lexsort((values, home))
         for a, b in _cuts(home[order]):
             own = order[a:b]
-            group = self.store.get(f"settled-{level}-{home[own[0]]}")
+            group = self.store.get(f"{kind}-{level}-{home[own[0]]}")
             have = group[name] if group else ()
             if len(have):
                 at = np.searchsorted(have, values[own])
@@ -199,19 +199,40 @@ class Settled:
             out[own] = self.has(name, n, keys[own], values[own])
         return out
 
+    def mixed(self, level: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return self.by_level("mixed", level, keys, keys)
+
+    def same(self, level: np.ndarray, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        pair = _pair(keys, segment)
+        return self.by_level("same", level, pair, pair)
+
+
+def _pair(keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """One hash of a key and a segment."""
+    return mix(mix(keys) ^ segment)
+
+
+def _blocks(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    cuts = _cuts(bucket)
+    return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()), pa.array([_zip(*(c[a:b] for c in columns)) for a, b in cuts], pa.binary())], ["bucket", "blob"])
+
+
+def _distinct(values: np.ndarray, counts: np.ndarray | None, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values in order, their summed counts, and the other columns of one row each."""
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(values))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return (values[first], total, *(m[order][first] for m in more))
+
 
 def _count(settled: Settled):
-    """Blocks of (key, segment, count) of the next level by bucket."""
+    """Blocks of (hash of key and segment, key, count) of the next level by bucket of that hash: no key is one bucket's work."""
 
     def pack(parts):
-        anchor, segment = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((segment, anchor))
-        anchor, segment = anchor[order], segment[order]
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
-        counts = np.diff(np.append(first, len(anchor))).astype("<u4")
-        anchor, segment = anchor[first], segment[first]
-        cuts = _cuts(bucket := _top(anchor, settled.bits))
-        return pa.RecordBatch.from_arrays([pa.array([int(bucket[a]) for a, _ in cuts], pa.int32()), pa.array([_zip(anchor[a:b], segment[a:b], counts[a:b]) for a, b in cuts], pa.binary())], ["bucket", "blob"])
+        key, segment = (np.concatenate(c) for c in zip(*parts))
+        pair, counts, key = _distinct(_pair(key, segment), None, key)
+        return _blocks(_top(pair, settled.bits), pair, key, counts.astype("<u4"))
 
     def count(batches):
         parts, size = [], 0
@@ -230,20 +251,30 @@ def _count(settled: Settled):
     return count
 
 
-def _settle(settled: Settled):
-    """Store a bucket's repeated segments and its keys with several different ones, hot ones apart."""
+def _settle_pairs(settled: Settled):
+    """Store a bucket's repeated segments; pass on how many different segments it has of each key."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        pair, key, count = (np.concatenate(c) for c in zip(*(_unzip(b, "<u8", "<u8", "<u4") for b in table.column("blob").to_pylist())))
+        pair, count, key = _distinct(pair, count, key)
+        settled.store.write(f"same-{settled.levels}-{bucket}", same=pair[count > 1])
+        key, different = _distinct(key, None)
+        return pa.Table.from_batches([_blocks(_top(key, settled.bits), key, different.astype("<u4"))])
+
+    return settle
+
+
+def _settle_keys(settled: Settled):
+    """Store a bucket's keys with several different segments, hot ones apart; a key has one row a bucket of pairs at most."""
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        anchor, segment, count = (np.concatenate(c) for c in zip(*(_unzip(b, "<u8", "<u8", "<u4") for b in table.column("blob").to_pylist())))
-        order = np.lexsort((segment, anchor))
-        anchor, segment, count = anchor[order], segment[order], count[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])]))
-        count, anchor, segment = np.add.reduceat(count, first), anchor[first], segment[first]
-        keys, different = np.unique(anchor, return_counts=True)
-        hot = keys[(different > HOT) & (settled.levels < len(PARTS) - 1)]
-        settled.store.write(f"settled-{settled.levels}-{bucket}", same=np.unique(segment[count > 1]), mixed=keys[(different > 1) & ~np.isin(keys, hot)], hot=hot)
-        return pa.table([pa.array([len(hot)], pa.int64())], names=["hot"])
+        key, n = (np.concatenate(c) for c in zip(*(_unzip(b, "<u8", "<u4") for b in table.column("blob").to_pylist())))
+        key, different = _distinct(key, n)
+        hot = (different > HOT) & (settled.levels < len(PARTS) - 1)
+        settled.store.write(f"keys-{settled.levels}-{bucket}", mixed=key[(different > 1) & ~hot], hot=key[hot])
+        return pa.table([pa.array([int(hot.sum())], pa.int64())], names=["hot"])
 
     return settle
 
@@ -269,8 +300,8 @@ def _gather(settled: Settled):
             for _, _, data, offsets in string_slices(batch.column(0), SLICE):
                 first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
                 home = _top(key, settled.bits)
-                open_ = np.flatnonzero(settled.by_level("mixed", level, key, key))
-                again = settled.by_level("same", level[open_], key[open_], segment[open_])
+                open_ = np.flatnonzero(settled.mixed(level, key))
+                again = settled.same(level[open_], key[open_], segment[open_])
                 for i, twice in zip(open_.tolist(), again.tolist()):
                     if twice:
                         if (s := int(segment[i])) in seen:
@@ -393,7 +424,7 @@ def covered(data: np.ndarray, offsets: np.ndarray, settled: Settled) -> np.ndarr
     """Which bytes of a slice of texts go."""
     first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
     marks = np.zeros(len(data) + 1, np.int64)
-    twice = settled.by_level("same", level, key, segment)
+    twice = settled.same(level, key, segment)
     np.add.at(marks, first[twice], 1)
     np.add.at(marks, last[twice] + WINDOW, -1)
     some = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.zeros(0, bool)
@@ -444,8 +475,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = Settled(store, bits)
     texts = rows.select("text")
     while True:
-        counted = texts.mapInArrow(_count(settled), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle(settled), "hot long")
-        found = counted.agg(F.count("*").alias("n"), F.sum("hot").alias("hot")).first()
+        pairs = texts.mapInArrow(_count(settled), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle_pairs(settled), "bucket int, blob binary")
+        found = pairs.groupBy("bucket").applyInArrow(_settle_keys(settled), "hot long").agg(F.count("*").alias("n"), F.sum("hot").alias("hot")).first()
         settled = Settled(store, bits, settled.levels + 1)
         if not found["n"] and settled.levels == 1:
             return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
