@@ -110,7 +110,8 @@ def _segments(data: np.ndarray, offsets: np.ndarray, hot) -> tuple[np.ndarray, .
     begin = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)]))
     first, last = at[begin], at[np.append(begin[1:], len(at)) - 1]
     chosen = chosen[begin]
-    key, low, level = grams[chosen], np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    # the least hashes lie close together; mixed again they spread over all buckets
+    key, low, level = mix(grams[chosen] ^ np.uint64(0x5851F42D4C957F2D)), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     for deeper, is_hot in enumerate(hot, 1):
         split = np.flatnonzero(level == deeper - 1)
         split = split[is_hot(key[split])]
