@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import drop_written, written
+from ._runtime import drop_written, trimmed, written
 
 #: Edges of a partition; they bound the memory of a task.
 EDGES = 500_000
@@ -57,7 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     no edge or label reaches the driver.
     """
     parts = edges.count() // EDGES + 1
-    found = edges.toDF("a", "b").coalesce(parts).mapInArrow(_local, "node long, root long")
+    found = edges.toDF("a", "b").coalesce(parts).mapInArrow(trimmed(_local), "node long, root long")
     if parts == 1:
         return found
     before = None
@@ -69,5 +69,5 @@ def components(edges: DataFrame) -> DataFrame:
         if not state.where("root <> least").limit(1).count():
             return state.select("node", F.col("least").alias("root")).distinct()
         hooks = state.where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b"))
-        found = state.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(hooks).distinct().coalesce(parts).mapInArrow(_local, "node long, root long")
+        found = state.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(hooks).distinct().coalesce(parts).mapInArrow(trimmed(_local), "node long, root long")
         before = state

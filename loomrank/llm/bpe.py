@@ -16,7 +16,6 @@ its own.
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 import unicodedata
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import written_by
+from ._runtime import give_back, written_by
 
 #: UTF-8 bytes of text that one chunk gathers; bounds the memory of every task
 CHUNK_BYTES = 16 << 20
@@ -118,14 +117,6 @@ def pieces(spark, tokenizer_path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array(map(bytes, spelled), pa.binary())}))
 
 
-def _give_back() -> None:
-    """Return freed memory to the system between chunks; a worker process lives through many tasks."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass
-
-
 def _pack(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed; small numbers cost about a byte."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
@@ -189,11 +180,11 @@ def _split(tokenizer_path: str, chunk_bytes: int, buckets: int, key_type: pa.Dat
                     chunk += 1
                     ids, docs, size, vocab = [], [], 0, defaultdict()
                     vocab.default_factory = vocab.__len__
-                    _give_back()
+                    give_back()
         if ids:
             yield from chunk_rows(chunk, ids, docs, vocab)
         ids, docs, vocab = [], [], None
-        _give_back()
+        give_back()
 
     return split
 
@@ -252,7 +243,7 @@ def _encode_words(tokenizer_path: str):
             none = pa.nulls(len(every), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(home), none, none, none, pa.array(every, pa.int32())], names)
         table = None
-        _give_back()
+        give_back()
 
     return encode
 

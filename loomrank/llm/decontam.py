@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import _forget, bound_batches, table_path
+from ._runtime import _forget, bound_batches, table_path, trimmed
 from ._shared_arrays import SharedArrays
 
 WINDOW = 10
@@ -155,7 +155,7 @@ class _Items:
         atexit.register(_forget, spark, self.store.uri)
         rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-        slices = rows.coalesce(size // SLICE_BYTES + 1).mapInArrow(_store_items(self.store), "name string")
+        slices = rows.coalesce(size // SLICE_BYTES + 1).mapInArrow(trimmed(_store_items(self.store)), "name string")
         self.names = sorted(r["name"] for r in slices.collect())
 
     def scanner(self, name: str) -> Scanner:
@@ -213,7 +213,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
                 hits.append([{"item": i, "first_word": a, "end_word": b, "start": s, "end": e} for (a, b, i), (_, s, e) in zip(own, placed, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(scan), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:
@@ -241,4 +241,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         for batch, found in items.scanned(batches, text_col):
             yield batch.filter(pa.array([not hits for _, hits in found], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(trimmed(clean), docs.schema)

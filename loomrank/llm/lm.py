@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import _forget, table_path, written
+from ._runtime import _forget, table_path, trimmed, written
 from ._shared_arrays import SharedArrays, least, narrow, widened
 from ._text import string_slices, word_hashes
 
@@ -605,7 +605,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
     bits = int(np.ceil(np.log2(max(64, size // UNIT_BYTES))))
     store = SharedArrays(table_path(spark, "model"))
     atexit.register(_forget, spark, store.uri)
-    info = texts.mapInArrow(_count_words(bits), "unit long, blob binary").groupBy("unit").applyInArrow(_store_words(store), f"unit long, entries long, tokens long, hot {_HOT_DDL}").collect()
+    info = texts.mapInArrow(trimmed(_count_words(bits)), "unit long, blob binary").groupBy("unit").applyInArrow(_store_words(store), f"unit long, entries long, tokens long, hot {_HOT_DDL}").collect()
     words = Words(store, bits, _sizes(((r["unit"], r["entries"]) for r in info), 1 << bits))
     grams = Grams(words, [])
     hot = [(h["at"] + int(words.offsets[r["unit"]]), h["n"]) for r in info for h in r["hot"]]
@@ -617,7 +617,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model
     word_tally = np.zeros(6, np.int64)
     for n in range(2, order + 1):
         level = Level(store, n, bounds, *_hot_units(len(bounds) - 1, hot))
-        counted = texts.mapInArrow(_count_grams(grams, level), "unit long, blob binary").groupBy("unit").applyInArrow(_store_grams(grams, level, n == order), f"unit long, blob binary, tally array<long>, hot {_HOT_DDL}")
+        counted = texts.mapInArrow(trimmed(_count_grams(grams, level)), "unit long, blob binary").groupBy("unit").applyInArrow(_store_grams(grams, level, n == order), f"unit long, blob binary, tally array<long>, hot {_HOT_DDL}")
         counted = written(counted, "grams")
         told = counted.where("tally is not null").select("tally", "hot").collect()
         level.offsets = _sizes((r["tally"][:2] for r in told), level.units)
@@ -666,7 +666,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, model.score(batch.column(1)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(score), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def lm_scores(docs: DataFrame, parts: int = 10, order: int = ORDER) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._runtime import parts_for, written
+from ._runtime import parts_for, trimmed, written
 from ._text import mix, string_slices, word_hashes
 
 SHINGLE = 5
@@ -189,7 +189,7 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int, percent: int = PERCENT)
     texts = docs.withColumn("hash", F.xxhash64("text"))
     # a repeated row is one set: _rest counts on one row an item and node
     one = texts.join(need, texts["doc_id"].eqNullSafe(need["id"]) & (texts["hash"] == need["hash"])).select("node", "text").dropDuplicates(["node"])
-    sets = written(one.mapInArrow(_make_sets, "node long, items array<long>"), "sets", parts=parts)
+    sets = written(one.mapInArrow(trimmed(_make_sets), "node long, items array<long>"), "sets", parts=parts)
 
     hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs", parts=parts)
     met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
@@ -235,7 +235,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataF
     parts = parts_for(docs.count())
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sign(percent), f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(trimmed(_sign(percent)), f"doc_id {key}, text_hash long, n long, node long, bands array<long>"), "signed"
     )
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("rep")
     nodes = written(signed.where("node is not null").groupBy("node").agg(rep, F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes", parts=parts)

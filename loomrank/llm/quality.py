@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import free_name, written
+from ._runtime import free_name, trimmed, written
 from ._sample import kth_largest, labelled_sample
 from ._text import mix, span_hashes, string_slices, words_of
 
@@ -79,7 +79,7 @@ def _count(batches):
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log(p_target / p_raw) of each feature; counts cover all rows, the table has ``FEATURES`` entries."""
     rows = docs.join(F.broadcast(sample.select("doc_id", "label")), "doc_id", "left").select("text", "label")
-    counted = rows.mapInArrow(_count, "kind int, feature int, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(trimmed(_count), "kind int, feature int, n long").groupBy("kind", "feature").agg(F.sum("n").alias("n")).collect()
     totals = np.zeros((2, FEATURES))
     for kind, feature, n in counted:
         totals[kind, feature] = n
@@ -145,7 +145,7 @@ def _fit(docs: DataFrame, labels: DataFrame):
     tuning = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
     ratios = log_ratios(docs, sample.where(~tuning))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
-    scored = written(rows.mapInArrow(_scorer(ratios), f"doc_id {kind}, log_weight double, gumbel_key double, bits long"), "weights")
+    scored = written(rows.mapInArrow(trimmed(_scorer(ratios)), f"doc_id {kind}, log_weight double, gumbel_key double, bits long"), "weights")
     seen = np.array([tuple(r) for r in scored.join(F.broadcast(sample.where(tuning)), "doc_id").select("log_weight", "label").collect()], dtype=float).reshape(-1, 2)
     cut = best_cut(seen[:, 0], seen[:, 1] == 1)
     k = None if cut == -np.inf else scored.where(F.col("log_weight") >= cut).count()
@@ -172,4 +172,4 @@ def select_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             plain = batch.select(schema.names)
             yield plain.filter(pa.array(sortable(key) >= least))
 
-    return docs.withColumn(noise, F.xxhash64(id_col)).mapInArrow(keep, schema)
+    return docs.withColumn(noise, F.xxhash64(id_col)).mapInArrow(trimmed(keep), schema)

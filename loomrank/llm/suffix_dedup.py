@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import _forget, bound_batches, table_path, written
+from ._runtime import _forget, bound_batches, table_path, trimmed, written
 from ._shared_arrays import SharedArrays
 from ._suffix import Spool, chunks, scratch, shared_prefix, suffix_array
 from ._text import _P, _P_INV, mix, powers, string_slices
@@ -476,17 +476,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = Settled(store, bits)
     texts = rows.select("text")
     while True:
-        pairs = texts.mapInArrow(_count(settled), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle_pairs(settled), "bucket int, blob binary")
+        pairs = texts.mapInArrow(trimmed(_count(settled)), "bucket int, blob binary").groupBy("bucket").applyInArrow(_settle_pairs(settled), "bucket int, blob binary")
         found = pairs.groupBy("bucket").applyInArrow(_settle_keys(settled), "hot long").agg(F.count("*").alias("n"), F.sum("hot").alias("hot")).first()
         settled = Settled(store, bits, settled.levels + 1)
         if not found["n"] and settled.levels == 1:
             return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
         if not found["hot"]:
             break
-    shards = texts.mapInArrow(_gather(settled), "bucket int, head binary, bytes binary")
-    parts = written(shards.groupBy("bucket").applyInArrow(_search(bits), "home int, key long, begin long, end long"), "parts", parts=1 << bits)
+    shards = texts.mapInArrow(trimmed(_gather(settled)), "bucket int, head binary, bytes binary")
+    parts = written(shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long"), "parts", parts=1 << bits)
     parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").count()
-    return rows.mapInArrow(_cut(settled), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(trimmed(_cut(settled)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _plain(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import written
+from ._runtime import trimmed, written
 from ._sample import labelled_sample
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand in for letters.
@@ -152,7 +152,7 @@ _COUNTED = "entry string, hits long, texts long"
 
 def learn_entries(toxic: DataFrame, clean: DataFrame) -> dict[str, float]:
     """The weighted entries that tell the two samples of texts apart; their number is bounded by the samples' words."""
-    total = lambda df, only=None: df.select("text").mapInArrow(_count_entries(only), _COUNTED).groupBy("entry").agg(F.sum("hits").alias("hits"), F.sum("texts").alias("texts"))
+    total = lambda df, only=None: df.select("text").mapInArrow(trimmed(_count_entries(only)), _COUNTED).groupBy("entry").agg(F.sum("hits").alias("hits"), F.sum("texts").alias("texts"))
     often = {r["entry"]: (r["hits"], r["texts"]) for r in total(toxic).where(f"texts >= {MIN_TEXTS} or entry = ''").collect()}
     toxic_words = max(often.pop("", (0, 0))[0], 1)
     other = {r["entry"]: r["hits"] for r in total(clean, set(often)).collect()}
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: set[str] = frozenset()
         return Lexicon({}, set(), (np.inf if sizes.get(1) else -np.inf, 0.0, 0.0))
     texts = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text"), "labelled")
     lexicon = Lexicon(learn_entries(texts.where("label = 1"), texts.where("label = 0")), set(exceptions))
-    rows = texts.mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>")
+    rows = texts.mapInArrow(trimmed(_context(lexicon)), "label int, a double, b double, phrases array<string>")
     seen = rows.collect()  # one short row for each row of the bounded sample
     counts = {0: Counter(), 1: Counter()}
     for r in seen:
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: set[str] = frozenset()
     learned = {p for p, n in counts[0].items() if n >= MIN_PHRASE and counts[1][p] <= share * n}
     if learned:
         lexicon = Lexicon(lexicon.weights, set(exceptions) | learned)
-        seen = texts.mapInArrow(_context(lexicon), "label int, a double, b double, phrases array<string>").collect()
+        seen = texts.mapInArrow(trimmed(_context(lexicon)), "label int, a double, b double, phrases array<string>").collect()
     x = np.array([(r["a"], r["b"]) for r in seen], dtype=float).reshape(-1, 2)
     return Lexicon(lexicon.weights, lexicon.exceptions, _logistic(x, np.array([r["label"] for r in seen], dtype=float)))
 
@@ -245,7 +245,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicon.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(score), f"doc_id {kind}, score double")
 
 
 def split_number(id_col: str, parts: int) -> Column:
