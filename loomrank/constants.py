@@ -15,7 +15,23 @@ LADDER = (300, 400, 700, 900)
 CJK_SCRIPTS = ("Jpan", "Kore", "Hans", "Hant", "Hani")
 #: sources that a public release may hold
 PUBLIC_SOURCES = ("google", "local")
-#: trailing words that name a cut, not a family
-QUALIFIERS = ("thin", "extralight", "light", "regular", "book", "medium", "semibold", "bold", "extrabold", "black", "heavy", "italic", "oblique")
+
+# Fixed values of the label ingest: word lists, renames and marks that names are read with.
+
+#: last words that name a weight or style of a family, and what may stand before them with a hyphen
+CUT_WORDS = ("thin", "light", "regular", "medium", "bold", "black", "heavy", "book", "demi", "italic", "roman")
+CUT_PREFIXES = ("ultra", "extra", "semi")
 #: words by which related families of one design differ
-CLASS_WORDS = ("sans", "serif", "mono", "slab", "display", "text", "condensed", "rounded")
+CLASS_WORDS = ("sans", "serif", "mono", "slab", "display", "text", "gothic", "grotesk", "grotesque", "condensed", "expanded", "narrow", "rounded", "sc", "pro")
+#: families that changed their name
+RENAMED = {"Source Sans Pro": "Source Sans 3", "Source Serif Pro": "Source Serif 4"}
+#: open families that stand for a named one in records of use, by lower-case name
+STAND_INS = {
+    "futura": "Jost", "franklin gothic": "Libre Franklin", "times new roman": "Tinos", "times": "Tinos", "arial": "Arimo", "georgia": "Gelasio", "bodoni": "Bodoni Moda",
+    "baskerville": "Libre Baskerville", "courier": "Courier Prime", "caslon": "Libre Caslon Text", "adobe caslon": "Libre Caslon Text",
+}
+#: channel means and deviations of the image backbones
+CHANNEL_MEAN = (103.939, 116.779, 123.68)
+UNIT_MEAN, UNIT_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+#: features of the body and heading slots that a screened axis adds at this weight, and the span of a plain face
+SCREEN_WEIGHT, PLAIN_SPAN = 0.5, 0.3

@@ -65,10 +65,21 @@ def pair_headings(text: Column) -> Column:
     return F.transform(found, lambda f: F.transform(F.split(f, r" [&+] "), lambda x: F.trim(x)))
 
 
+def cleaned_name(raw: Column, parentheses: bool = True) -> Column:
+    """A name without entities, doubled spaces and closing marks; with ``parentheses`` false also without what stands in them."""
+    name = F.replace(F.replace(raw, F.lit("&amp;"), F.lit("&")), F.lit("&nbsp;"), F.lit(" ")) if parentheses else F.regexp_replace(raw, r"\([^)]*\)", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"[\s\x{A0}]+", " "), "[.,;:!?]+$", ""))
+
+
+def names_a_cut(word: Column) -> Column:
+    """Whether a word names a weight or style."""
+    return F.lower(word).rlike(rf"^(?:(?:{'|'.join(K.CUT_PREFIXES)})-+)?(?:{'|'.join(K.CUT_WORDS)})$")
+
+
 def prefixes_without_qualifiers(name: Column) -> Column:
-    """The name, then ever shorter ones while its last word names a cut; the first that is known wins."""
+    """The name, then ever shorter ones while its last word names a cut and another stands before it."""
     words = F.split(F.trim(F.regexp_replace(name, r"\s+", " ")), " ")
-    cut = F.aggregate(F.reverse(words), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct((a["n"] + F.when(a["on"] & F.lower(w).isin(*K.QUALIFIERS), 1).otherwise(0)).alias("n"), (a["on"] & F.lower(w).isin(*K.QUALIFIERS)).alias("on")), lambda a: a["n"])
+    cut = F.aggregate(F.reverse(words), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, w: F.struct((a["n"] + F.when(a["on"] & names_a_cut(w), 1).otherwise(0)).alias("n"), (a["on"] & names_a_cut(w)).alias("on")), lambda a: a["n"])
     lengths = F.filter(F.sequence(F.size(words), F.size(words) - cut, F.lit(-1)), lambda n: n > 0)
     return F.transform(lengths, lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
 
@@ -104,6 +115,24 @@ def style_of(name: Column, mac_style: Column, selection: Column) -> Column:
 
 
 def category_guess(fixed_pitch: Column, panose_family: Column, panose_serif: Column) -> Column:
-    """monospace, serif, sans-serif, handwriting or display from classification bytes."""
-    serif = F.when(panose_serif.between(2, 10), "serif").when(panose_serif.between(11, 15), "sans-serif").otherwise("sans-serif")
-    return F.when(fixed_pitch != 0, "monospace").when(panose_family == 3, "handwriting").when(panose_family == 4, "display").otherwise(serif)
+    """monospace, serif or sans-serif from a face's own tables; sans-serif where they tell nothing."""
+    text_face = F.coalesce(panose_family == 2, F.lit(False))
+    return F.when(F.coalesce(fixed_pitch != 0, F.lit(False)), "monospace").when(text_face & panose_serif.between(2, 10), "serif").otherwise("sans-serif")
+
+
+def usable_name(value: Column) -> Column:
+    """The trimmed name where it has a letter or digit, else null."""
+    return F.when(value.rlike(r"[\p{L}\p{N}]"), F.trim(value))
+
+
+def family_name(records: Column, folder: Column, stem: Column) -> Column:
+    """The first usable of a face's name records, else its folder, else its file's stem as it is."""
+    named = F.transform(records, usable_name)
+    return F.coalesce(F.try_element_at(F.filter(named, lambda n: n.isNotNull()), F.lit(1)), F.when(usable_name(folder).isNotNull(), folder), usable_name(stem), stem)
+
+
+def file_qualifier(family: Column, stem: Column, known: tuple[str, ...], cuts: tuple[str, ...]) -> Column:
+    """What a file's name says beyond family and cut, as capitalized words; null where any word of it isn't ``known`` or it is x alone."""
+    rest = F.filter(F.array_except(name_words(stem), name_words(family)), lambda w: ~w.isin(*cuts))
+    said = (F.size(F.array_remove(rest, "x")) > 0) & F.forall(rest, lambda w: w.isin(*known))
+    return F.when(said, F.array_join(F.transform(rest, lambda w: F.initcap(w)), " "))

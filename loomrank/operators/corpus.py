@@ -53,10 +53,19 @@ def body_suitable(weight: Column) -> Column:
 
 
 def stroke_guard(pairs: DataFrame, heading: str = "h_id") -> DataFrame:
-    """Body candidates no heavier than their heading; a heading without any keeps its whole pool."""
-    ok = F.col("weight") <= F.col("h_weight")
-    any_ok = F.max(ok).over(Window.partitionBy(heading))
-    return pairs.withColumn("_ok", ok).withColumn("_any", any_ok).where("_ok or not _any").drop("_ok", "_any")
+    """Body candidates no heavier than their heading; a heading without any keeps its whole pool.
+
+    Whether a heading has one is a partial aggregate, broadcast as one flag a heading.
+    """
+    some = pairs.groupBy(heading).agg(F.max(F.col("weight") <= F.col("h_weight")).alias("_any"))
+    return pairs.join(F.broadcast(some), heading).where((F.col("weight") <= F.col("h_weight")) | ~F.col("_any")).drop("_any")
+
+
+def role_guard(pairs: DataFrame, role: str, *guards: Column) -> DataFrame:
+    """Guards hold for candidates of the body role alone; every other role keeps its pool."""
+    for guard in guards if role == "body" else ():
+        pairs = pairs.where(guard)
+    return pairs
 
 
 def expand_ladder(families: DataFrame) -> DataFrame:
@@ -76,6 +85,20 @@ def served_only(instances: DataFrame, served: DataFrame) -> DataFrame:
     return instances.join(served, ["family", "weight", "style"], "left_semi")
 
 
+def release_counts(families: DataFrame, served: DataFrame) -> DataFrame:
+    """One row of a release's counts: families at hand, published and kept, families and cuts left out, instances and eligible ones.
+
+    ``families`` has one row an instance (family, weight, style, eligible); ``served`` the published (family, weight, style).
+    """
+    marked = families.join(served.distinct().withColumn("_s", F.lit(True)), ["family", "weight", "style"], "left")
+    some = F.col("_s").isNotNull()
+    counts = marked.agg(
+        F.countDistinct("family").alias("families"), F.countDistinct(F.when(some, F.col("family"))).alias("families_kept"), F.count_if(~some).alias("cuts_dropped"),
+        F.count_if(some).alias("instances"), F.count_if(some & F.col("eligible")).alias("eligible"),
+    )
+    return counts.join(served.agg(F.countDistinct("family").alias("published"))).withColumn("unpublished", F.col("families") - F.col("families_kept")).select("families", "published", "families_kept", "unpublished", "cuts_dropped", "instances", "eligible")
+
+
 def cross_check(local: DataFrame, published: DataFrame, key: str = "family") -> DataFrame:
     """(side, name): names of one table that the other lacks."""
     a, b = local.select(key).distinct(), published.select(key).distinct()
@@ -83,7 +106,7 @@ def cross_check(local: DataFrame, published: DataFrame, key: str = "family") ->
 
 
 def merge(public: DataFrame, private: DataFrame) -> DataFrame:
-    """Public rows, then private ones with ids moved behind them."""
+    """Public rows, then private ones with ids moved behind them; ``integrity.unlike_dims`` tells beforehand whether their vectors fit."""
     base = public.agg(F.coalesce(F.max("id") + 1, F.lit(0)).alias("_base"))
     moved = private.join(F.broadcast(base)).withColumn("id", F.col("id") + F.col("_base")).drop("_base")
     return public.withColumn("source", F.lit("google")).unionByName(moved.withColumn("source", F.lit("private")), allowMissingColumns=True)
@@ -92,12 +115,17 @@ def merge(public: DataFrame, private: DataFrame) -> DataFrame:
 def match_families(labels: DataFrame, corpus: DataFrame) -> DataFrame:
     """(label, family) by normalized name: exact matches if any, else prefixes either way.
 
-    Names meet on their first normalized character, so no name is compared with all.
+    Each side sends its whole names and all beginnings of its names; a whole name meets a beginning of the other
+    side by an equi-join, so a name costs as many rows as it has characters.
     """
     from ..functions.text import plain
 
-    a = labels.select("label").distinct().withColumn("_a", plain(F.col("label"))).withColumn("_k", F.substring("_a", 1, 1))
-    b = corpus.select("family").distinct().withColumn("_b", plain(F.col("family"))).withColumn("_k", F.substring("_b", 1, 1))
-    met = a.join(b, "_k").where(F.col("_a").startswith(F.col("_b")) | F.col("_b").startswith(F.col("_a"))).withColumn("_exact", F.col("_a") == F.col("_b"))
-    any_exact = F.max("_exact").over(Window.partitionBy("label"))
-    return met.withColumn("_any", any_exact).where("_exact or not _any").select("label", "family")
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        whole = df.select(name).distinct().withColumn("_key", plain(F.col(name))).where("_key <> ''")
+        beginnings = F.transform(F.sequence(F.lit(1), F.length("_key")), lambda n: F.substring(F.col("_key"), F.lit(1), n))
+        return whole, whole.select(name, F.explode(beginnings).alias("_key"))
+
+    (a, a_begins), (b, b_begins) = side(labels, "label"), side(corpus, "family")
+    met = a.join(b_begins, "_key").select("label", "family").unionByName(b.join(a_begins, "_key").select("label", "family")).distinct()
+    exact = a.join(b, "_key").select("label", "family")
+    return exact.unionByName(met.join(exact.select("label").distinct(), "label", "left_anti"))

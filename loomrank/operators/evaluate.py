@@ -27,10 +27,11 @@ def per_heading(ranks: DataFrame, k: int) -> DataFrame:
     return df.withColumns({"dcg": F.aggregate("_at", F.lit(0.0), lambda a, p: a + gain(p)), "idcg": ideal}).drop("_at")
 
 
-def upper_median(x: str) -> Column:
-    """The element at floor(n / 2) of the sorted values."""
-    values = F.sort_array(F.collect_list(x))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(df: DataFrame, value: str) -> float | None:
+    """The value at place floor(n / 2) of the sorted values; null ones don't count. Found by ranges, not in one task."""
+    some = df.where(F.col(value).isNotNull()).select(value)
+    n = some.count()
+    return running_before(some, value, out="_at").where(F.col("_at") <= n // 2).agg(F.max(value)).first()[0] if n else None
 
 
 def true_median(x: str) -> Column:
@@ -38,10 +39,32 @@ def true_median(x: str) -> Column:
 
 
 def summary(headings: DataFrame, k: int) -> DataFrame:
+    middle = upper_median(headings, "best")
     return headings.agg(
         F.count("*").alias("headings"), F.count_if(F.col("best") <= k).alias("hit"), F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall"),
-        F.round(F.avg(F.col("dcg") / F.col("idcg")), 6).alias("ndcg"), upper_median("best").alias("median_upper"), true_median("best").alias("median_true"),
-    )
+        F.round(F.avg(F.col("dcg") / F.col("idcg")), 6).alias("ndcg"), true_median("best").alias("median_true"),
+    ).withColumn("median_upper", F.lit(middle).cast("int"))
+
+
+def role_summary(headings: DataFrame) -> DataFrame:
+    """(role, headings, recall, ndcg) of per-heading rows with a role, and one row of their mean over roles (role null)."""
+    each = headings.groupBy("role").agg(F.count("*").alias("headings"), F.avg(F.col("hits") / F.col("n")).alias("recall"), F.avg(F.col("dcg") / F.col("idcg")).alias("ndcg"))
+    mean = each.agg(F.lit(None).cast("string").alias("role"), F.sum("headings").alias("headings"), F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"))
+    return each.unionByName(mean)
+
+
+def ranks_by_count(scores: DataFrame, partners: DataFrame) -> DataFrame:
+    """(h_id, partner, rank, pool): 1 and the number of candidates that stand before each labelled partner id.
+
+    ``scores`` has (h_id, id, score). Nothing is sorted and no heading's pool meets in one task: a candidate is
+    counted against its heading's few partners where it lies. One that isn't a candidate gets pool + 1.
+    """
+    at = scores.select("h_id", F.col("id").alias("partner"), F.col("score").alias("_score"))
+    wanted = partners.select("h_id", "partner").distinct().join(at, ["h_id", "partner"], "left")
+    own = wanted.groupBy("h_id").agg(F.collect_list(F.struct("partner", "_score")).alias("_partners"))
+    before = (F.col("score") > F.col("_p._score")) | ((F.col("score") == F.col("_p._score")) & (F.col("id") < F.col("_p.partner"))) | F.col("_p._score").isNull()
+    met = scores.select("h_id", "id", "score").join(own, "h_id").select("h_id", "id", "score", F.explode("_partners").alias("_p"))
+    return met.groupBy("h_id", F.col("_p.partner").alias("partner")).agg((F.count_if(before) + 1).alias("rank"), F.count("*").alias("pool"))
 
 
 def breaks_and_fixes(baseline: DataFrame, candidate: DataFrame, k: int) -> DataFrame:
@@ -65,6 +88,11 @@ def z_and_auc(scores: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(wins)).select("real", "nulls", F.round((F.col("rm") - F.col("nm")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0), 6).alias("z"), F.round(F.col("w") / (F.col("real") * F.col("nulls")), 6).alias("auc"))
 
 
+def percentile(better, total):
+    """Share of what a reference beats, in percent."""
+    return 100.0 * (1.0 - better / total)
+
+
 def seed_summary(results: DataFrame) -> DataFrame:
     """Mean and range over seeds of (metric, seed, value)."""
     return results.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))

@@ -2,32 +2,78 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 
 
-def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[list[float], list[list[float]]]:
-    """(mean, components): rows of the components have their largest loading positive."""
-    model = PCA(k=k, inputCol="_x", outputCol="_y").fit(df.select(array_to_vector(V.as_doubles(F.col(vector))).alias("_x")))
+@dataclass
+class Projection:
+    """A frozen linear projection: (x - mean) times the rows of ``components``. Its identity is the hash of its numbers."""
+
+    mean: np.ndarray
+    components: np.ndarray
+
+    @property
+    def identity(self) -> str:
+        return hashlib.sha256(b"".join(np.ascontiguousarray(x, "<f8").tobytes() for x in (self.mean, self.components))).hexdigest()
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        row = [(self.mean.tolist(), self.components.tolist(), self.identity)]
+        spark.createDataFrame(row, "mean array<double>, components array<array<double>>, identity string").coalesce(1).write.mode("errorifexists").parquet(path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Projection:
+        row = spark.read.parquet(path).first()
+        model = cls(np.array(row["mean"]), np.array(row["components"]))
+        if model.identity != row["identity"]:
+            raise ValueError(f"{path}: the numbers are not those of {row['identity']}")
+        return model
+
+
+def fit_pca(df: DataFrame, vector: str, k: int, mask: Column | None = None) -> Projection:
+    """Mean and components of the rows that ``mask`` keeps; the largest loading of each component is positive."""
+    rows = df if mask is None else df.where(mask)
+    model = PCA(k=k, inputCol="_x", outputCol="_y").fit(rows.select(array_to_vector(V.as_doubles(F.col(vector))).alias("_x")))
     dim = model.pc.numRows
-    mean = df.select(*[F.avg(F.element_at(vector, i + 1)).alias(f"m{i}") for i in range(dim)]).first()
-    rows = model.pc.toArray().T
-    signs = np.sign(rows[np.arange(k), np.abs(rows).argmax(axis=1)])
-    return [float(x) for x in mean], (rows * signs[:, None]).tolist()
+    mean = rows.select(*[F.avg(F.element_at(vector, i + 1)).alias(f"m{i}") for i in range(dim)]).first()
+    found = model.pc.toArray().T
+    signs = np.sign(found[np.arange(k), np.abs(found).argmax(axis=1)])
+    return Projection(np.array(mean, float), found * signs[:, None])
+
+
+def pca_project(df: DataFrame, vector: str, model: Projection, out: str = "projected") -> DataFrame:
+    """Centred projection by a frozen model, in batches of rows; a null vector stays null."""
+    mean, components = model.mean, model.components.T
 
+    @F.pandas_udf("array<double>")
+    def project(vectors: pd.Series) -> pd.Series:
+        have = np.flatnonzero(vectors.notna().to_numpy())
+        found: list = [None] * len(vectors)
+        if len(have):
+            for i, row in zip(have, (np.stack(vectors.iloc[have].to_numpy()) - mean) @ components):
+                found[i] = row
+        return pd.Series(found, dtype=object)
 
-def pca_project(df: DataFrame, vector: str, mean: list[float], components: list[list[float]], out: str = "projected") -> DataFrame:
-    """Centred projection; the model is a constant of fixed size."""
-    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in components])
-    return df.withColumn(out, V.project(V.as_doubles(F.col(vector)), F.array(*[F.lit(x) for x in mean]), rows))
+    return df.withColumn(out, project(V.as_doubles(F.col(vector))))
+
+
+def dual(one: DataFrame, other: DataFrame, out: str = "unit") -> DataFrame:
+    """(id, unit): two spaces as one, each row's unit vectors side by side and scaled to length 1; rows of both only."""
+    from .corpus import with_unit
+
+    both = one.select("id", F.col("unit").alias("_a")).join(other.select("id", F.col("unit").alias("_b")), "id")
+    return with_unit(both.withColumn("_ab", F.concat("_a", "_b")), "_ab", out).select("id", out)
 
 
 def silhouette(df: DataFrame, vector: str, label: str) -> float:
@@ -74,63 +120,130 @@ def fit_standardized(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> tuple[np.n
 
 
 def training_rows(pairs: DataFrame, positives: DataFrame, excluded: DataFrame, seeds: int, negatives: int) -> DataFrame:
-    """Labelled rows (seed, h_id, id, y, ...): all positives and, for each seed, the first ``negatives`` others in a hashed order."""
-    from pyspark.sql import Window
+    """Labelled rows (seed, h_id, id, y, ...): all positives and, for each seed, the first ``negatives`` others in a hashed order.
 
+    Only headings with positives give rows; ``excluded`` has the (h_id, id) that are never negatives.
+    """
     keys = ["h_id", "id"]
-    good = pairs.join(positives, keys, "left_semi").withColumn("y", F.lit(1)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    rest = pairs.join(excluded, keys, "left_anti").withColumn("y", F.lit(0)).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))
+    good = pairs.join(positives, keys, "left_semi").withColumn("y", F.lit(1)).withColumn("seed", every)
+    rest = pairs.join(positives.select("h_id").distinct(), "h_id", "left_semi").join(excluded, keys, "left_anti").withColumn("y", F.lit(0)).withColumn("seed", every)
     order = Window.partitionBy("seed", "h_id").orderBy(F.xxhash64("h_id", "id", "seed"), "id")
     return good.unionByName(rest.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= negatives).drop("_r"))
 
 
-def cross_fit(rows: DataFrame, features: tuple[str, ...], fold: str = "fold", repeats: DataFrame | None = None) -> DataFrame:
-    """(fold, weights, bias) fitted on all other folds, averaged over seeds.
+def held_out(rows: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
+    """Each row once for every fold but its own, as ``held``: what that fold's model is fitted on."""
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long")), lambda f: f != F.col(fold))
+    return rows.withColumn("held", F.explode(others))
 
-    Each held-out fold gets its own copy of the other folds' rows; a fold's rows are headings times negatives,
-    which the sampling bounds.
-    """
-    held = rows.select(F.col(fold).alias("_held")).distinct() if repeats is None else repeats
-    copies = rows.join(held, F.col("_held") != F.col(fold))
+
+def fit_by(rows: DataFrame, keys: tuple[str, ...], features: tuple[str, ...]) -> DataFrame:
+    """(keys, weights, bias) of a logistic fit on standardized features for each key; keys with one label only give no row."""
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        fits = [fit_standardized(part[list(features)].to_numpy(float), part["y"].to_numpy(float)) for _, part in pdf.groupby("seed") if part["y"].nunique() == 2]
-        if not fits:
-            return pd.DataFrame({"fold": pd.Series(dtype="int64"), "weights": [], "bias": pd.Series(dtype="float64")})
-        return pd.DataFrame({"fold": [int(pdf["_held"].iloc[0])], "weights": [np.mean([w for w, _ in fits], axis=0).tolist()], "bias": [float(np.mean([b for _, b in fits]))]})
-
-    return copies.select("_held", "seed", "y", *features).groupBy("_held").applyInPandas(fit, "fold long, weights array<double>, bias double")
-
-
-def fit_bilinear(triples: pd.DataFrame, dim: int, steps: int = 300, rate: float = 0.05, seed: int = 0, rank: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(L, R) of f = x'(I + R)y - (x - y)'(I + L L')(x - y), by hinge loss over (x, y, z): f(x, y) > f(x, z) + 1; Adam."""
-    rng = np.random.default_rng(seed)
-    params = [rng.normal(0, 0.01, (dim, rank)), np.zeros((dim, dim))]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    x, y, z = (np.stack(triples[c].to_numpy()) for c in ("x", "y", "z"))
-    for t in range(1, steps + 1):
-        lower, bilinear = params
-        score = lambda b: np.einsum("ij,ij->i", x @ (np.eye(dim) + bilinear), b) - ((x - b) ** 2).sum(1) - (((x - b) @ lower) ** 2).sum(1)  # noqa: E731, B023
-        active = (1 - score(y) + score(z)) > 0
-        if not active.any():
-            break
-        xa, ya, za = x[active], y[active], z[active]
-        n = len(x)
-        grads = [2 * ((xa - ya).T @ ((xa - ya) @ lower) - (xa - za).T @ ((xa - za) @ lower)) / n, xa.T @ (za - ya) / n]
-        for p, (m, v), g in zip(params, moments, grads):
-            m[:] = 0.9 * m + 0.1 * g
-            v[:] = 0.999 * v + 0.001 * g * g
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        pdf = pdf.sort_values(["h_id", "id", "y"], kind="stable")
+        own = {k: [pdf[k].iloc[0]] for k in keys}
+        if pdf["y"].nunique() < 2:
+            return pd.DataFrame({**own, "weights": [[]], "bias": [0.0]}).iloc[:0]
+        w, b = fit_standardized(pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float))
+        return pd.DataFrame({**own, "weights": [w.tolist()], "bias": [b]})
+
+    return rows.select(*keys, "h_id", "id", "y", *features).groupBy(*keys).applyInPandas(fit, f"{schema}, weights array<double>, bias double")
+
+
+def averaged(models: DataFrame, *keys: str) -> DataFrame:
+    """(keys, weights, bias, spread): mean model over seeds, and the deviation of each weight."""
+    each = models.select(*keys, "bias", F.posexplode("weights").alias("_at", "_w")).groupBy(*keys, "_at").agg(F.avg("_w").alias("_mean"), F.stddev_pop("_w").alias("_sd"), F.avg("bias").alias("_bias"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
+    return each.groupBy(*keys).agg(in_order("_mean").alias("weights"), F.first("_bias").alias("bias"), in_order("_sd").alias("spread"))
+
+
+def scored(pairs: DataFrame, models: DataFrame, features: tuple[str, ...], keys: list[str], out: str = "score") -> DataFrame:
+    """Pairs with the linear score of each model of their keys; further columns of the models are carried."""
+    return pairs.join(models.drop("spread"), keys).withColumn(out, F.col("bias") + V.dot(F.array(*features), F.col("weights"))).drop("weights", "bias")
+
+
+#: Fixed values of the learned bilinear metric: dimensions, penalty, steps and rate of the fit.
+METRIC_DIM, METRIC_PENALTY, METRIC_STEPS, METRIC_RATE = 32, 1.0, 300, 0.03
+
+
+def standardized(df: DataFrame, vector: str, k: int = METRIC_DIM, out: str = "x") -> DataFrame:
+    """Adds the first ``k`` components, each with mean 0 and deviation 1 (of the whole table)."""
+    cut = df.withColumn("_x", F.slice(V.as_doubles(F.col(vector)), 1, k))
+    figures = cut.select(F.posexplode("_x").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).orderBy("at").collect()  # one row a component
+    mean, sd = (F.array(*[F.lit(float(r[c])) for r in figures]) for c in ("mean", "sd"))
+    centred = F.zip_with("_x", mean, lambda a, b: a - b)
+    return cut.withColumn(out, F.zip_with(centred, sd, lambda a, b: a / (b + 1e-9))).drop("_x")
+
+
+def metric_loss(x: np.ndarray, y: np.ndarray, sign: np.ndarray, lower: np.ndarray, skew: np.ndarray, penalty: float = METRIC_PENALTY) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient in L, gradient in R) of the mean hinge of sign * f and the penalty on L L' and R.
+
+    f(x, y) = x'(I + R)y - (x - y)'(I + L L')(x - y).
+    """
+    gap, low = x - y, lower @ lower.T
+    f = ((x + x @ skew) * y).sum(axis=1) - ((gap + gap @ low) * gap).sum(axis=1)
+    slack = 1.0 - sign * f
+    push = np.where(slack > 0, -sign, 0.0) / len(x)  # what the mean hinge gains with each f
+    moved = -(gap * push[:, None]).T @ gap
+    loss = float(np.maximum(slack, 0).mean() + penalty / 2 * ((low**2).sum() + (skew**2).sum()))
+    return loss, (moved + moved.T) @ lower + 2 * penalty * low @ lower, (x * push[:, None]).T @ y + penalty * skew
+
+
+def fit_metric(x: np.ndarray, y: np.ndarray, sign: np.ndarray, steps: int = METRIC_STEPS, rate: float = METRIC_RATE, penalty: float = METRIC_PENALTY, start: float = 0.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(L, R) by Adam from R = 0 and an L of normal numbers times ``start`` (from L = 0 the metric's own part never moves)."""
+    dim = x.shape[1]
+    params = [np.random.default_rng(seed).standard_normal((dim, dim)) * start, np.zeros((dim, dim))]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        for i, gradient in enumerate(metric_loss(x, y, sign, *params, penalty)[1:]):
+            first[i] += 0.1 * (gradient - first[i])
+            second[i] += 0.001 * (gradient**2 - second[i])
+            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     return params[0], params[1]
 
 
-def bilinear_score(u, v, lower: list[list[float]], bilinear: list[list[float]]):
-    """The learned score as a Column; ``lower`` is given by columns."""
-    rows = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in bilinear])
-    moved = F.transform(rows, lambda row: V.dot(row, v))
-    gap = F.zip_with(u, v, lambda a, b: a - b)
-    squeezed = F.transform(F.array(*[F.array(*[F.lit(float(x)) for x in col]) for col in lower]), lambda col: V.dot(gap, col))
-    return V.dot(u, v) + V.dot(u, moved) - V.dot(gap, gap) - V.dot(squeezed, squeezed)
+def fit_metric_by(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, lower, skew) of the bilinear metric for each key, from rows (keys, h_id, id, y, x, z): heading and candidate vectors."""
+    schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h_id", "id", "y"], kind="stable")
+        lower, skew = fit_metric(np.stack(pdf["x"].to_numpy()), np.stack(pdf["z"].to_numpy()), np.where(pdf["y"].to_numpy() == 1, 1.0, -1.0))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "lower": [lower.ravel().tolist()], "skew": [skew.ravel().tolist()]})
+
+    return rows.select(*keys, "h_id", "id", "y", "x", "z").groupBy(*keys).applyInPandas(fit, f"{schema}, lower array<double>, skew array<double>")
+
+
+def metric_scores(pairs: DataFrame, models: DataFrame, keys: list[str], out: str = "metric") -> DataFrame:
+    """Pairs (keys, ..., x, z) with the score of the learned metric of their keys; a pair without a model has none.
+
+    Models go to the workers as constants: a fold and seed has one of fixed size.
+    """
+    known = {tuple(r[k] for k in keys): tuple(np.array(r[c]).reshape(int(len(r[c]) ** 0.5), -1) for c in ("lower", "skew")) for r in models.collect()}
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        *own, x, z = columns
+        values = np.full(len(x), np.nan)
+        if len(x):
+            a, b = np.stack(x.to_numpy()), np.stack(z.to_numpy())
+            for key, at in pd.concat(own, axis=1, keys=keys).groupby(keys, sort=False).indices.items():
+                if model := known.get(key if isinstance(key, tuple) else (key,)):
+                    lower, skew = model
+                    gap = a[at] - b[at]
+                    values[at] = ((a[at] + a[at] @ skew) * b[at]).sum(axis=1) - (gap**2).sum(axis=1) - ((gap @ lower) ** 2).sum(axis=1)
+        return pd.Series(values)
+
+    return pairs.withColumn(out, F.nanvl(score(*keys, "x", "z"), F.lit(None).cast("double")))
+
+
+def z_scored(df: DataFrame, value: str, by: tuple[str, ...], out: str) -> DataFrame:
+    """Adds (value - mean) / deviation within each key, by one aggregate that is joined back."""
+    figures = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return df.join(figures, list(by)).withColumn(out, (F.col(value) - F.col("_mean")) / (F.col("_sd") + 1e-9)).drop("_mean", "_sd")
 
 
 def probabilities(df: DataFrame, model) -> DataFrame:

@@ -69,20 +69,6 @@ def unresolved(names: DataFrame, known: DataFrame, k: int = 25) -> DataFrame:
     return names.join(known, "name", "left_anti").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k)
 
 
-def resolved(names: DataFrame, known: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(name, family): alias, else exact, else without case, else the longest rest after cut words are dropped."""
-    from ..functions.text import prefixes_without_qualifiers
-
-    tries = names.select("name").distinct().select("name", F.posexplode(prefixes_without_qualifiers(F.col("name"))).alias("at", "try"))
-    by_case = known.groupBy(F.lower("family").alias("_low")).agg(F.min("family").alias("_any"))
-    hits = tries.join(known.select(F.col("family").alias("_exact")), F.col("try") == F.col("_exact"), "left").join(by_case, F.lower("try") == F.col("_low"), "left")
-    hits = hits.withColumn("family", F.coalesce("_exact", "_any")).where("family is not null")
-    best = hits.groupBy("name").agg(F.min_by("family", "at").alias("family"))
-    if aliases is None:
-        return best
-    return names.select("name").distinct().join(aliases.select("name", F.col("family").alias("_alias")), "name", "left").join(best, "name", "left").select("name", F.coalesce("_alias", "family").alias("family")).where("family is not null")
-
-
 def union_graph(*labels: DataFrame) -> DataFrame:
     """(heading, partners) over several edge tables, self edges left out."""
     edges = labels[0].select("heading", "partner")

@@ -5,35 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import running_before
+from .order import RANGES, running_before
 
 _FACTOR, _PRIME = 48_271, 2_147_483_647
 
 
 def draw(i: Column, salt: int, n: Column) -> Column:
-    """A number from 0 to n - 1 from a counter."""
-    return ((i + salt) * _FACTOR % _PRIME * 16_807 % _PRIME) % n
+    """A number from 0 to n - 1 from a counter; two squarings keep draws of different salts from moving in step."""
+    u = (i + salt) * _FACTOR % _PRIME
+    v = (u * u + salt) % _PRIME * 16_807 % _PRIME
+    return (v * v + u) % _PRIME % n
 
 
 def uniform_pairs(pool: DataFrame, draws: int) -> DataFrame:
-    """(a, b) ids: both ends uniform over the pool; draws of one id twice are left out."""
+    """(draw, a, b) ids, exactly ``draws`` rows: both ends uniform over the pool. A draw of one id twice is drawn again.
+
+    The second draw of such a pair is uniform over the other ids, which is what drawing until they differ gives;
+    a pool of fewer than two ids gives no pair.
+    """
     spark = pool.sparkSession
     numbered = running_before(pool.select("id"), "id", out="at")
     n = numbered.agg(F.count("*").alias("n"))
-    drawn = spark.range(draws).join(F.broadcast(n)).select(draw(F.col("id"), 1, F.col("n")).alias("x"), draw(F.col("id"), 7_919, F.col("n")).alias("y"))
+    drawn = spark.range(draws).join(F.broadcast(n)).where("n > 1").select(F.col("id").alias("draw"), "n", draw(F.col("id"), 1, F.col("n")).alias("x"), draw(F.col("id"), 7_919, F.col("n")).alias("_y"), draw(F.col("id"), 104_729, F.col("n") - 1).alias("_again"))
+    drawn = drawn.select("draw", "x", F.when(F.col("_y") != F.col("x"), F.col("_y")).otherwise((F.col("x") + 1 + F.col("_again")) % F.col("n")).alias("y"))
     one = numbered.select(F.col("at").alias("x"), F.col("id").alias("a"))
     two = numbered.select(F.col("at").alias("y"), F.col("id").alias("b"))
-    return drawn.join(one, "x").join(two, "y").where("a <> b").select("a", "b")
+    return drawn.join(one, "x").join(two, "y").select("draw", "a", "b")
 
 
 def weighted_draws(weights: DataFrame, draws: int) -> DataFrame:
-    """Ids in proportion to integer weights: inverse of the running sum, met by equal ranges of its width."""
+    """(draw, id) in proportion to integer weights: each draw finds its place in the running sum of the weights.
+
+    Places and sums are dealt to ranges of the sum of equal width: an id sends a row to each range that it
+    reaches into, so a heavy id costs as many rows as ranges and no more.
+    """
     spark = weights.sparkSession
     spans = running_before(weights.select("id", "weight"), "id", amount=F.col("weight"), out="start").withColumn("stop", F.col("start") + F.col("weight"))
     total = weights.agg(F.sum("weight").alias("n"))
-    drawn = spark.range(draws).join(F.broadcast(total)).select(F.col("id").alias("draw"), draw(F.col("id"), 13, F.col("n")).alias("u"))
-    slots = spans.where("weight > 0").select("id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("u"))
-    return drawn.join(slots, "u").select("draw", "id")
+    width = F.greatest(F.lit(1), F.floor(F.col("n") / RANGES)).cast("long")
+    drawn = spark.range(draws).join(F.broadcast(total)).select(F.col("id").alias("draw"), draw(F.col("id"), 13, F.col("n")).alias("u"), width.alias("w")).withColumn("range", F.floor(F.col("u") / F.col("w")))
+    reach = spans.where("weight > 0").join(F.broadcast(total)).select("id", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))).alias("range"))
+    return drawn.join(reach, "range").where((F.col("u") >= F.col("start")) & (F.col("u") < F.col("stop"))).select("draw", "id")
 
 
 def hashed_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:

@@ -16,15 +16,24 @@ def with_products(pairs: DataFrame) -> DataFrame:
     return df.withColumn("contrast", F.col("p") * F.col("n")).drop("m")
 
 
-def max_contrast(by: str = "h_id") -> Column:
-    """Largest contrast of the heading, 1 if there is none."""
-    top = F.max("contrast").over(Window.partitionBy(by))
-    return F.when(top > 0, top).otherwise(F.lit(1.0))
+def max_contrasts(pairs: DataFrame) -> DataFrame:
+    """(h_id, cmax): largest contrast of each heading, 1 if there is none. A partial aggregate: no heading's pool meets in one task."""
+    top = F.max("contrast")
+    return pairs.groupBy("h_id").agg(F.when(top > 0, top).otherwise(F.lit(1.0)).alias("cmax"))
+
+
+def max_contrast(pairs: DataFrame) -> DataFrame:
+    """One row: the largest contrast of all pairs, 1 if there is none."""
+    top = F.max("contrast")
+    return pairs.agg(F.when(top > 0, top).otherwise(F.lit(1.0)).alias("cmax"))
 
 
 def with_role_terms(pairs: DataFrame) -> DataFrame:
-    """Adds the terms of the role score: cn, serif_split, gate, xh_match, width_match, leg."""
-    df = pairs.withColumn("cn", F.col("contrast") / max_contrast())
+    """Adds the terms of the role score: cmax, cn, serif_split, gate, xh_match, width_match, leg.
+
+    The headings' maxima are broadcast: two numbers a heading, and headings are one row a family.
+    """
+    df = pairs.join(F.broadcast(max_contrasts(pairs)), "h_id").withColumn("cn", F.col("contrast") / F.col("cmax"))
     return df.withColumns(
         {
             "serif_split": F.when(F.col("h_serif") != F.col("serif"), 1.0).otherwise(0.0),
@@ -81,3 +90,7 @@ STATIC_FEATURES = ("f_cos", "f_contrast", "f_leg_body", "f_leg_head", "f_serif_s
 
 def learned_score(weights: dict[str, float], bias: float) -> Column:
     return sum((F.col(f) * w for f, w in weights.items()), F.lit(bias))
+
+
+#: the ten features and the two of the pair graph
+ALL_FEATURES = (*STATIC_FEATURES, "f_dsknn", "f_has_graph")

@@ -17,9 +17,11 @@ from ..operators import integrity as I
 from ..operators import joint as J
 from ..operators import learn as L
 from ..operators import mining as M
+from ..operators import names as names_
 from ..operators import neighbours as N
 from ..operators import nulls as U
 from ..operators import pairing as P
+from ..operators.stages import kept
 from ..sources import textproto
 from . import view
 from .view import CATALOG, CORPUS, PAIRS, ROLE, load
@@ -141,12 +143,16 @@ def brand_labels(spark, sf) -> DataFrame:
     return counted.withColumn("_r", F.row_number().over(order)).where("_r <= 3").select("heading", "partner")
 
 
-def label_ranks(spark, sf, score=None) -> DataFrame:
-    pairs = view.role_pairs(spark, sf).withColumn("score", P.role_score("head") if score is None else score)
-    ranked = P.ranked(pairs, "score").select("h_id", "id", "rank")
+def label_ids(spark, sf) -> DataFrame:
+    """(h_id, partner): ids of the labelled headings and of their partners' canonical cuts."""
     heads = C.canonical(view.catalog(spark, sf).join(load(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), "id", "left_semi")).select("family", "id")
-    named = brand_labels(spark, sf).join(heads.select(F.col("family").alias("heading"), F.col("id").alias("h_id")), "heading").join(heads.select(F.col("family").alias("partner"), F.col("id").alias("p_id")), "partner")
-    return E.partner_ranks(ranked, named.select("h_id", F.col("p_id").alias("partner")))
+    named = brand_labels(spark, sf).join(heads.select(F.col("family").alias("heading"), F.col("id").alias("h_id")), "heading")
+    return named.join(heads.select(F.col("family").alias("partner"), F.col("id").alias("p_id")), "partner").select("h_id", F.col("p_id").alias("partner"))
+
+
+def label_ranks(spark, sf, score=None) -> DataFrame:
+    scores = view.role_pairs(spark, sf).select("h_id", "id", (P.role_score("head") if score is None else score).alias("score"))
+    return E.ranks_by_count(scores, label_ids(spark, sf))
 
 
 RANKS = ROLE + "," + LABELS + """,
@@ -202,11 +208,19 @@ def null_z_and_auc(spark, sf):
     return E.z_and_auc(scores.select("score", F.coalesce("label", F.lit(0)).alias("label")))
 
 
+def draw_sql(salt: int, n: str) -> str:
+    """A counter's draw in SQL; i is the counter."""
+    u = f"((i + {salt}) * 48271 % 2147483647)"
+    v = f"(({u} * {u} + {salt}) % 2147483647 * 16807 % 2147483647)"
+    return f"(({v} * {v} + {u}) % 2147483647 % {n})"
+
+
 @query(f"""WITH {CORPUS}, pool AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM corpus WHERE eligible), n AS (SELECT count(*) AS n FROM pool),
-d AS (SELECT ((i + 1) * 48271 % 2147483647 * 16807 % 2147483647) % n AS x, ((i + 7919) * 48271 % 2147483647 * 16807 % 2147483647) % n AS y FROM range(2000) t(i), n)
-SELECT a.id AS a, b.id AS b FROM d JOIN pool a ON a.at = d.x JOIN pool b ON b.at = d.y WHERE a.id <> b.id""")
+d AS (SELECT i, n, {draw_sql(1, 'n')} AS x, {draw_sql(7919, 'n')} AS y, {draw_sql(104729, '(n - 1)')} AS z FROM range(20000) t(i), n),
+e AS (SELECT i, x, CASE WHEN x <> y THEN y ELSE (x + 1 + z) % n END AS y FROM d)
+SELECT i AS draw, a.id AS a, b.id AS b FROM e JOIN pool a ON a.at = e.x JOIN pool b ON b.at = e.y""")
 def uniform_null_pairs(spark, sf):
-    return U.uniform_pairs(view.corpus(spark, sf).where("eligible"), 2_000)
+    return U.uniform_pairs(view.corpus(spark, sf).where("eligible"), 20_000)
 
 
 # --- mining -------------------------------------------------------------------------------------------------
@@ -290,12 +304,39 @@ def unresolved_top(spark, sf):
     return M.unresolved(load(spark, sf, "events").select(F.col("event_type").alias("name")), known)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name || CASE p_size % 4 WHEN 0 THEN ' Bold' WHEN 1 THEN ' Light Italic' WHEN 2 THEN '' ELSE ' Wide' END AS name FROM part), k AS (SELECT DISTINCT p_name AS family FROM part),
-t AS (SELECT name, trim(regexp_replace(name, '( (Bold|Light|Italic))+$', '')) AS base FROM n) SELECT name, family FROM t JOIN k ON k.family = t.base""")
+CUT = "(?i)^((ultra|extra|semi)-+)?(thin|light|regular|medium|bold|black|heavy|book|demi|italic|roman)$"
+
+TRIES = f"""w AS (SELECT name, string_split(s, ' ') AS w FROM c WHERE s <> ''),
+t AS (SELECT name, w, unnest(range(0, len(w))) AS cut FROM w),
+tries AS (SELECT name, cut, array_to_string(w[1:len(w) - cut], ' ') AS try FROM t WHERE len(list_filter(w[len(w) - cut + 1:], lambda x: NOT regexp_matches(x, '{CUT}'))) = 0)"""
+
+_SUFFIXES = (" Bold", " Semi-Bold  Italic.", "", " Wide", " Ultra-Light Demi", " &amp; Roman", " BOOK!", " SemiBold")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN upper(p_name) ELSE p_name END || [{', '.join(repr(x) for x in _SUFFIXES)}][p_size % 8 + 1] AS name FROM part UNION SELECT 'Source Sans Pro Black'),
+k AS (SELECT DISTINCT p_name AS family FROM part UNION SELECT 'red & gear'), l AS (SELECT lower(family) AS low, min(family) AS any_family FROM k GROUP BY 1), r AS (SELECT * FROM (VALUES ('Source Sans Pro', 'Source Sans 3'), ('Source Serif Pro', 'Source Serif 4')) r(alias, alias_family)),
+c AS (SELECT name, trim(regexp_replace(regexp_replace(replace(replace(name, '&amp;', '&'), '&nbsp;', ' '), '\\s+', ' ', 'g'), '[.,;:!?]+$', '')) AS s FROM n), {TRIES},
+h AS (SELECT name, cut, coalesce(alias_family, k.family, any_family) AS family FROM tries LEFT JOIN r ON alias = try LEFT JOIN k ON k.family = try LEFT JOIN l ON low = lower(try))
+SELECT name, arg_min(family, cut) AS family FROM h WHERE family IS NOT NULL GROUP BY 1""")
 def strip_qualifiers(spark, sf):
     part = load(spark, sf, "part")
-    suffix = F.element_at(F.array(F.lit(" Bold"), F.lit(" Light Italic"), F.lit(""), F.lit(" Wide")), F.col("p_size") % 4 + 1)
-    return M.resolved(part.select(F.concat("p_name", suffix).alias("name")), part.select(F.col("p_name").alias("family")).distinct())
+    suffix = F.element_at(F.array(*[F.lit(x) for x in _SUFFIXES]), F.col("p_size") % 8 + 1)
+    names = part.select(F.concat(F.when(F.col("p_size") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")), suffix).alias("name")).unionByName(spark.createDataFrame([("Source Sans Pro Black",)], "name string"))
+    known = part.select(F.col("p_name").alias("family")).unionByName(spark.createDataFrame([("red & gear",)], "family string"))
+    return names_.resolved(names, known)
+
+
+@query(f"""WITH n AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN p_name || ' (Trial)  Book' WHEN 1 THEN 'Futura Extra-Bold' WHEN 2 THEN 'TIMES new roman' ELSE upper(p_name) || ' Roman;' END AS name FROM part),
+k AS (SELECT DISTINCT p_name AS family FROM part UNION SELECT 'Jost'), l AS (SELECT lower(family) AS low, min(family) AS any_family FROM k GROUP BY 1),
+r AS (SELECT * FROM (VALUES ('futura', 'Jost'), ('franklin gothic', 'Libre Franklin'), ('times new roman', 'Tinos'), ('times', 'Tinos'), ('arial', 'Arimo'), ('georgia', 'Gelasio'), ('bodoni', 'Bodoni Moda'), ('baskerville', 'Libre Baskerville'), ('courier', 'Courier Prime'), ('caslon', 'Libre Caslon Text'), ('adobe caslon', 'Libre Caslon Text')) r(alias, alias_family)),
+c AS (SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(name, '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'), '[.,;:!?]+$', '')) AS s FROM n), {TRIES},
+h AS (SELECT name, cut, coalesce(k.family, any_family, x.family) AS family FROM tries LEFT JOIN k ON k.family = try LEFT JOIN l ON low = lower(try) LEFT JOIN r ON alias = lower(try) LEFT JOIN k x ON x.family = alias_family)
+SELECT name, arg_min(family, cut) AS family FROM h WHERE family IS NOT NULL GROUP BY 1""")
+def usage_names(spark, sf):
+    part, size, name = load(spark, sf, "part"), F.col("p_size") % 4, F.col("p_name")
+    raw = F.when(size == 0, F.concat(name, F.lit(" (Trial)  Book"))).when(size == 1, "Futura Extra-Bold").when(size == 2, "TIMES new roman").otherwise(F.concat(F.upper(name), F.lit(" Roman;")))
+    known = part.select(name.alias("family")).unionByName(spark.createDataFrame([("Jost",)], "family string"))
+    return names_.resolved(part.select(raw.alias("name")), known, usage=True)
 
 
 # --- text ---------------------------------------------------------------------------------------------------
@@ -343,10 +384,17 @@ def norm_prefix_match(spark, sf):
     return C.match_families(part.select(F.substring("p_brand", 1, 7).alias("label")), part.select(F.col("p_brand").alias("family")))
 
 
-@query("""WITH w AS (SELECT DISTINCT p_name FROM part), p AS (SELECT a.p_name AS a, b.p_name AS b FROM w a JOIN w b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_name < b.p_name)
-SELECT a, b, split_part(a, ' ', 2) IN ('sans', 'serif', 'mono', 'slab', 'display', 'text', 'condensed', 'rounded') AND split_part(b, ' ', 2) IN ('sans', 'serif', 'mono', 'slab', 'display', 'text', 'condensed', 'rounded') AS kin FROM p""")
+_CLASSES = "['sans', 'serif', 'mono', 'slab', 'display', 'text', 'gothic', 'grotesk', 'grotesque', 'condensed', 'expanded', 'narrow', 'rounded', 'sc', 'pro']"
+_KINDS = ("", " Grotesk", " Mono", " Sans Pro", " gothic SC", " Narrow Deluxe", " Expanded")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name || [{', '.join(repr(x) for x in _KINDS)}][p_size % 7 + 1] AS name, string_split(p_name, ' ')[1] AS first FROM part),
+p AS (SELECT a.name AS a, b.name AS b, string_split(lower(a.name), ' ') AS x, string_split(lower(b.name), ' ') AS y FROM n a JOIN n b ON a.first = b.first AND a.name < b.name),
+s AS (SELECT a, b, x, y, len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i])) AS same FROM p)
+SELECT a, b, same >= 1 AND len(list_filter(list_concat(x[same + 1:], y[same + 1:]), lambda t: NOT list_contains({_CLASSES}, t))) = 0 AS kin FROM s""")
 def kin_pairs(spark, sf):
-    names = load(spark, sf, "part").select(F.col("p_name").alias("a"), F.split("p_name", " ")[0].alias("first")).distinct()
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), F.col("p_size") % 7 + 1)
+    names = load(spark, sf, "part").select(F.concat("p_name", kind).alias("a"), F.split("p_name", " ")[0].alias("first")).distinct()
     return names.join(names.withColumnRenamed("a", "b"), "first").where("a < b").select("a", "b", T.kin(F.col("a"), F.col("b")).alias("kin"))
 
 
@@ -463,19 +511,20 @@ def overlap_at_k(spark, sf):
 def pearson_pairwise(spark, sf):
     a, b = halves(spark, sf)
     both = a.select("id", F.col("unit").alias("a")).join(b.select("id", F.col("unit").alias("b")), "id")
-    other = both.select(F.col("id").alias("near"), F.col("a").alias("c"), F.col("b").alias("d"))
-    return both.join(other, F.col("id") < F.col("near")).select(V.dot(F.col("a"), F.col("c")).alias("x"), V.dot(F.col("b"), F.col("d")).alias("y")).agg(r6(F.corr("x", "y")).alias("r"))
+    return N.pairwise_correlation(both, "a", "b")
 
 
-@query(f"""WITH {CORPUS}, k AS (SELECT id, topic, id % 4 AS text, unit FROM corpus),
-s AS (SELECT a.topic = b.topic AS same_font, a.text = b.text AS same_text, list_sum(list_transform(list_zip(a.unit, b.unit), lambda z: z[1] * z[2])) AS cos FROM k a JOIN k b ON a.id < b.id)
-SELECT round(avg(cos) FILTER (same_font AND NOT same_text), 6) AS font, round(avg(cos) FILTER (same_text AND NOT same_font), 6) AS text, round(avg(cos) FILTER (same_font AND NOT same_text) - avg(cos) FILTER (same_text AND NOT same_font), 6) AS bias FROM s""")
+@query(f"""WITH {CORPUS}, k AS (SELECT id, topic AS s, id % 4 AS c, unit FROM corpus),
+p AS (SELECT a.id, b.id AS near, a.s = b.s AS ss, a.c = b.c AS cc, list_sum(list_transform(list_zip(a.unit, b.unit), lambda z: z[1] * z[2])) AS cos FROM k a JOIN k b ON a.id <> b.id),
+m AS (SELECT avg(cos) FILTER (ss AND NOT cc) AS style, avg(cos) FILTER (cc AND NOT ss) AS content FROM p),
+nn AS (SELECT avg(CAST(ss AS INT)) AS a, avg(CAST(cc AND NOT ss AS INT)) AS b, avg(CAST(NOT cc AND NOT ss AS INT)) AS o FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, near) AS rn FROM p) WHERE rn = 1),
+w AS (SELECT avg(CASE WHEN coalesce(x > y, x IS NOT NULL) THEN CAST(1 AS DOUBLE) ELSE 0 END) AS win FROM (SELECT id, max(cos) FILTER (ss AND NOT cc) AS x, max(cos) FILTER (cc AND NOT ss) AS y FROM p GROUP BY 1)),
+z AS (SELECT count(DISTINCT s) AS styles, count(DISTINCT c) AS contents, count(*) AS n FROM k)
+SELECT styles, contents, round(style, 6) AS style_sim, round(content, 6) AS content_sim, round(style - content, 6) AS style_bias, round(win, 6) AS style_win_rate, round(a, 6) AS same_style_nn, round(b, 6) AS same_content_nn, round(o, 6) AS other_nn,
+round((contents - 1) / (n - 1), 6) AS chance_style_nn, round((styles - 1) / (n - 1), 6) AS chance_content_nn FROM m, nn, w, z""")
 def style_content_stats(spark, sf):
-    k = view.corpus(spark, sf).select("id", "topic", (F.col("id") % 4).alias("text"), "unit")
-    other = k.select(F.col("id").alias("id2"), F.col("topic").alias("topic2"), F.col("text").alias("text2"), F.col("unit").alias("unit2"))
-    s = k.join(other, F.col("id") < F.col("id2")).select((F.col("topic") == F.col("topic2")).alias("f"), (F.col("text") == F.col("text2")).alias("t"), V.dot(F.col("unit"), F.col("unit2")).alias("cos"))
-    font, text = F.avg(F.when(F.col("f") & ~F.col("t"), F.col("cos"))), F.avg(F.when(F.col("t") & ~F.col("f"), F.col("cos")))
-    return s.agg(r6(font).alias("font"), r6(text).alias("text"), r6(font - text).alias("bias"))
+    k = view.corpus(spark, sf).select("id", F.col("topic").alias("style"), (F.col("id") % 4).alias("content"), "unit")
+    return N.style_content(k, "style", "content")
 
 
 # --- graph feature, learned ranker, joint search ---------------------------------------------------------------
@@ -520,16 +569,16 @@ def rerank_linear_score(spark, sf):
 
 
 TRIPLES = ROLE + """,
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h_id ORDER BY cn DESC, id) AS ord FROM scored WHERE weight BETWEEN 300 AND 700) WHERE ord <= 40),
+b AS (SELECT *, list_transform(list_zip(h_unit, unit), lambda z: abs(z[1] - z[2])) AS gaps FROM (SELECT *, row_number() OVER (PARTITION BY h_id ORDER BY cn DESC, id) AS ord FROM scored WHERE weight BETWEEN 300 AND 700) WHERE ord <= 40),
 a AS (SELECT * FROM (SELECT *, max(contrast) OVER (PARTITION BY h_id) AS cmax, row_number() OVER (PARTITION BY h_id ORDER BY cn DESC, id) AS ord FROM scored) WHERE ord <= 80),
-t AS (SELECT b.h_id, b.h_category, b.id AS b_id, a.id AS a_id, b.cn AS hb, a.cn AS ha, b.leg AS b_leg, b.ord AS b_ord, a.ord AS a_ord, b.category AS b_category, a.category AS a_category, a.cmax,
+t AS (SELECT b.h_id, b.h_category, b.id AS b_id, a.id AS a_id, b.cn AS hb, a.cn AS ha, b.leg AS b_leg, b.gaps AS gaps, b.ord AS b_ord, a.ord AS a_ord, b.category AS b_category, a.category AS a_category, a.cmax,
   list_transform(list_zip(b.unit, a.unit), lambda z: z[1] * z[2]) AS m FROM b JOIN a ON a.h_id = b.h_id AND a.family <> b.family),
 o AS (SELECT * EXCLUDE (m), list_sum(list_transform(m, lambda x: greatest(x, CAST(0 AS DOUBLE)))) * list_sum(list_transform(m, lambda x: greatest(-x, CAST(0 AS DOUBLE)))) / CASE WHEN cmax > 0 THEN cmax ELSE 1 END AS ba FROM t),
 best AS (SELECT * FROM (SELECT *, least(hb, ha, ba) + CAST(0.25 AS DOUBLE) * b_leg AS objective, row_number() OVER (PARTITION BY h_id ORDER BY least(hb, ha, ba) + CAST(0.25 AS DOUBLE) * b_leg DESC, b_ord, a_ord) AS rn FROM o) WHERE rn = 1)"""
 
 
 def triples(spark, sf) -> DataFrame:
-    pairs = view.role_pairs(spark, sf).withColumn("_cmax", P.max_contrast())
+    pairs = view.role_pairs(spark, sf)
     return J.triples(J.top_of(pairs.where(C.body_suitable(F.col("weight"))), "cn", K.BODY_CUT), J.top_of(pairs, "cn", K.ACCENT_CUT))
 
 
@@ -539,7 +588,7 @@ def triple_argmax(spark, sf):
 
 
 @query(f"""WITH {TRIPLES} SELECT count(*) AS headings, round(avg(b_leg), 6) AS legibility, round(avg(hb + ha + ba), 6) AS contrast, round(avg(least(hb, ha, ba) / CASE WHEN greatest(hb, ha, ba) > 0 THEN greatest(hb, ha, ba) ELSE 1 END), 6) AS balance,
-round(avg(len(list_distinct([h_category, b_category, a_category]))), 6) AS spread, round(avg(CASE WHEN b_leg >= 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS legible_rate FROM best""")
+round(avg(list_sum(list_sort(gaps, 'DESC')[1:5]) / (list_sum(gaps) + CAST(1e-9 AS DOUBLE))), 6) AS concentration, round(avg(len(list_distinct([h_category, b_category, a_category]))), 6) AS spread, round(avg(CASE WHEN b_leg >= 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS legible_rate FROM best""")
 def balance_spread(spark, sf):
     return J.engine_metrics(J.best_triple(triples(spark, sf)))
 
@@ -573,10 +622,10 @@ def evenly_spaced_sample(spark, sf):
     return E.evenly_spaced(view.catalog(spark, sf).select("id"), "id", 20)
 
 
-@query("""WITH w AS (SELECT label AS id, count(*) AS weight FROM embeddings GROUP BY 1), s AS (SELECT id, sum(weight) OVER (ORDER BY id) - weight AS a, sum(weight) OVER (ORDER BY id) AS b FROM w), n AS (SELECT sum(weight) AS n FROM w),
-d AS (SELECT i AS draw, ((i + 13) * 48271 % 2147483647 * 16807 % 2147483647) % CAST(n AS BIGINT) AS u FROM range(1000) t(i), n) SELECT draw, id FROM d JOIN s ON u >= a AND u < b""")
+@query(f"""WITH w AS (SELECT label AS id, count(*) AS weight FROM embeddings GROUP BY 1), s AS (SELECT id, sum(weight) OVER (ORDER BY id) - weight AS a, sum(weight) OVER (ORDER BY id) AS b FROM w), n AS (SELECT sum(weight) AS n FROM w),
+d AS (SELECT i AS draw, {draw_sql(13, 'CAST(n AS BIGINT)')} AS u FROM range(20000) t(i), n) SELECT draw, id FROM d JOIN s ON u >= a AND u < b""")
 def weighted_null_draws(spark, sf):
-    return U.weighted_draws(load(spark, sf, "embeddings").groupBy(F.col("label").alias("id")).agg(F.count("*").alias("weight")), 1_000)
+    return U.weighted_draws(load(spark, sf, "embeddings").groupBy(F.col("label").alias("id")).agg(F.count("*").alias("weight")), 20_000)
 
 
 @query(f"WITH {CATALOG} SELECT id, family, 'google' AS source FROM catalog WHERE source = 'google' UNION ALL SELECT id + (SELECT max(id) + 1 FROM catalog WHERE source = 'google'), family, 'private' FROM catalog WHERE source = 'local'")
@@ -586,11 +635,15 @@ def merged_ids(spark, sf):
 
 
 @query(f"""WITH {TRIPLES}, s AS (SELECT *, least(hb, ha, ba) + CAST(0.25 AS DOUBLE) * b_leg AS score FROM o),
-ref AS (SELECT h_id, arg_min(score, b_ord * 1000 + a_ord) AS r FROM s GROUP BY 1) SELECT h_id, count(*) FILTER (score > r) AS better, count(*) AS total FROM s JOIN ref USING (h_id) GROUP BY 1""")
+ref AS (SELECT h_id, arg_min(score, b_ord * 1000 + a_ord) AS r FROM s GROUP BY 1) SELECT h_id, count(*) FILTER (score > r) AS better, count(*) AS total, round(100 * (1 - count(*) FILTER (score > r) / count(*)), 6) AS percentile,
+count(*) FILTER (b_leg >= 0.5) AS legible, round(100 * (1 - count(*) FILTER (score > r AND b_leg >= 0.5) / nullif(count(*) FILTER (b_leg >= 0.5), 0)), 6) AS legible_percentile FROM s JOIN ref USING (h_id) GROUP BY 1""")
 def triples_better(spark, sf):
     found = triples(spark, sf).withColumn("_score", J.objective())
     first = found.groupBy("h_id").agg(F.min_by("_score", F.col("b_ord") * 1000 + F.col("a_ord")).alias("objective"))
-    return J.triples_above(found.drop("_score"), first)
+    found = found.drop("_score")
+    legible = J.triples_above(found, first, 0.5).select("h_id", F.col("total").alias("legible"), r6("percentile").alias("legible_percentile"))
+    every = J.triples_above(found, first).withColumn("percentile", r6("percentile"))
+    return every.join(legible, "h_id", "left").fillna(0, ["legible"])
 
 
 @query(f"""WITH {ROLE}, c AS (
@@ -623,17 +676,20 @@ def served_catalog(spark, sf):
     return catalog_rows(view.catalog(spark, sf)).select("id", "label", "xh", "width", "search")
 
 
-# --- learned parts without SQL --------------------------------------------------------------------------------
+# --- learned parts: without SQL where the fit has none ----------------------------------------------------------
 
 
 @query()
 def pca_project(spark, sf):
+    """Components of the public rows, projections of all."""
     c = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    mean, components = L.fit_pca(c, "embedding", 8)
-    return L.pca_project(c, "embedding", mean, components).select("id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
+    model = L.fit_pca(c, "embedding", 8, F.col("id") % 11 != 0)
+    return L.pca_project(c, "embedding", model).select("id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, d AS (SELECT a.id, a.topic, b.topic AS other, 1 - list_sum(list_transform(list_zip(a.unit, b.unit), lambda z: z[1] * z[2])) AS d FROM corpus a JOIN corpus b ON a.id <> b.id),
+g AS (SELECT id, topic, other, avg(d) AS m FROM d GROUP BY 1, 2, 3), own AS (SELECT id, m AS a FROM g WHERE topic = other), rest AS (SELECT id, min(m) AS b FROM g WHERE topic <> other GROUP BY 1),
+s AS (SELECT c.id, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS s FROM corpus c LEFT JOIN own USING (id) LEFT JOIN rest USING (id)) SELECT round(avg(s), 6) AS silhouette FROM s""")
 def silhouette_cosine(spark, sf):
     return spark.createDataFrame([(round(L.silhouette(view.corpus(spark, sf), "unit", "topic"), 6),)], "silhouette double")
 
@@ -643,23 +699,118 @@ def legibility_proxy(spark, sf):
     return L.legibility_proxy(view.corpus(spark, sf), "category in ('ECONOMY', 'STANDARD')", "category in ('LARGE', 'PROMO')").select("id", r6("legibility").alias("legibility"))
 
 
+#: negatives a heading and seeds of the published fit
+NEGATIVES, SEEDS = 50, 8
+
+
+def ranker_tables(spark, sf) -> dict[str, DataFrame]:
+    """What the learned ranker is fitted on: pairs with static features, labels, excluded candidates, and graphs by fold.
+
+    Tables that several steps read are written once.
+    """
+    c, _, edges = graph_edges(spark, sf)
+    c, edges = kept(c), kept(edges)
+    heads = C.canonical(c)
+    pairs = kept(P.feature_frame(view.role_pairs(spark, sf)).select("h_id", "id", "family", *P.STATIC_FEATURES))
+    units = c.select("id", "unit")
+    graphs, cuts = G.fold_graphs(heads, edges, units)
+    positives = edges.select(F.col("heading").alias("h_id"), F.col("partner").alias("id"))
+    families = positives.join(c.select("id", "family"), "id").select("h_id", "family").distinct()
+    excluded = pairs.select("h_id", "id", "family").join(families, ["h_id", "family"], "left_semi").select("h_id", "id")  # every cut of a partner's family
+    labelled = positives.select("h_id").distinct()
+    folds = kept(E.folds(labelled, parts=2**62))
+    return {"pairs": pairs.drop("family"), "positives": positives, "excluded": kept(excluded), "labelled": labelled, "folds": folds, "graphs": kept(graphs), "cuts": kept(cuts), "units": units, "heads": heads, "edges": edges}
+
+
+def loocv_models(t: dict[str, DataFrame], seeds: int = SEEDS) -> DataFrame:
+    """(fold, seed, weights, bias): a model for each labelled heading, fitted on all others with the graph without it."""
+    folds = t["folds"]
+    rows = kept(L.training_rows(t["pairs"], t["positives"], t["excluded"], seeds, NEGATIVES).join(folds, "h_id"))
+    held = L.held_out(rows, folds.count()).join(folds.select(F.col("fold").alias("held"), F.col("h_id").alias("without")), "held")
+    scores = kept(G.fold_scores(t["graphs"], rows.select("h_id", "id"), t["units"]))
+    return L.fit_by(G.with_fold_feature(held, scores, t["cuts"], "without"), ("held", "seed"), P.ALL_FEATURES)
+
+
+def loocv_ranks(t: dict[str, DataFrame], models: DataFrame) -> DataFrame:
+    """(seed, h_id, best): best rank of a heading's partners under the model that never saw it; its own graph has no part of it anyway."""
+    test = t["pairs"].join(t["folds"], "h_id")
+    scores = G.fold_scores(t["graphs"].where("without is null"), test.select("h_id", "id"), t["units"])
+    featured = G.with_fold_feature(test.withColumnRenamed("fold", "held"), scores, t["cuts"], None)
+    scored = L.scored(featured, models, P.ALL_FEATURES, ["held"])
+    by_seed = scored.select(F.struct("seed", "h_id").alias("h_id"), "id", "score")
+    wanted = models.select("held", "seed").join(t["folds"].withColumnRenamed("fold", "held"), "held").join(t["positives"].withColumnRenamed("id", "partner"), "h_id").select(F.struct("seed", "h_id").alias("h_id"), "partner")
+    return E.ranks_by_count(by_seed, wanted).groupBy("h_id").agg(F.min("rank").alias("best")).select("h_id.seed", "h_id.h_id", "best")
+
+
+@query()
+def reranker_loocv(spark, sf):
+    """Twelve features, one heading left out at a time, eight negative samples: mean and range over seeds of hits and the median rank."""
+    t = ranker_tables(spark, sf)
+    ranks = kept(loocv_ranks(t, kept(loocv_models(t))))
+    hits = [F.struct(F.lit(f"hit@{k}").alias("metric"), F.count_if(F.col("best") <= k).cast("double").alias("value")) for k in (10, 50, 100)]
+    middle = F.struct(F.lit("median").alias("metric"), F.percentile("best", F.lit(0.5)).alias("value"))
+    each = ranks.groupBy("seed").agg(F.array(*hits, middle).alias("m")).select("seed", F.explode("m").alias("m")).select("seed", "m.metric", "m.value")
+    return E.seed_summary(each).select("metric", r6("mean").alias("mean"), r6("sd").alias("sd"), "low", "high")
+
+
+@query()
+def reranker_model(spark, sf):
+    """(feature, weight, sd): the model of all labelled headings, averaged over eight negative samples, in input space."""
+    t = ranker_tables(spark, sf)
+    rows = L.training_rows(t["pairs"], t["positives"], t["excluded"], SEEDS, NEGATIVES)
+    scores = G.fold_scores(t["graphs"].where("without is null"), rows.select("h_id", "id"), t["units"])
+    mean = L.averaged(L.fit_by(G.with_fold_feature(rows, scores, t["cuts"], None), ("seed",), P.ALL_FEATURES))
+    names = F.array(*[F.lit(f) for f in P.ALL_FEATURES])
+    weights = mean.select(F.explode(F.arrays_zip(names.alias("feature"), F.col("weights").alias("weight"), F.col("spread").alias("sd"))).alias("x")).select("x.*")
+    return weights.unionByName(mean.select(F.lit("bias").alias("feature"), F.col("bias").alias("weight"), F.lit(None).cast("double").alias("sd"))).select("feature", r6("weight").alias("weight"), r6("sd").alias("sd"))
+
+
 @query()
 def reranker_crossfit(spark, sf):
-    """Even and odd headings: the learned ranker of the other half, best rank of each heading's partners."""
-    pairs = P.feature_frame(view.role_pairs(spark, sf)).select("h_id", "id", *P.STATIC_FEATURES)
-    _, _, edges = graph_edges(spark, sf)
-    positives = edges.select(F.col("heading").alias("h_id"), F.col("partner").alias("id"))
-    folds = E.folds(pairs.select("h_id").distinct())
-    rows = L.training_rows(pairs, positives, positives, seeds=4, negatives=50).join(folds, "h_id")
-    models = L.cross_fit(rows, P.STATIC_FEATURES)
-    scored = pairs.join(folds, "h_id").join(models, "fold").withColumn("score", F.col("bias") + V.dot(F.array(*P.STATIC_FEATURES), F.col("weights")))
-    ranks = E.partner_ranks(P.ranked(scored, "score").select("h_id", "id", "rank"), edges.withColumnRenamed("heading", "h_id"))
+    """Even and odd headings: the ranker of the other half, its graph without the tested half; best rank of each heading's partners."""
+    t = ranker_tables(spark, sf)
+    folds = t["folds"].select("h_id", (F.col("fold") % 2).alias("fold"))
+    rows = L.training_rows(t["pairs"], t["positives"], t["excluded"], SEEDS, NEGATIVES).join(folds, "h_id").withColumn("held", 1 - F.col("fold"))
+    rows = kept(rows)
+    found = []
+    for held in (0, 1):
+        inside = folds.where(F.col("fold") != held).select(F.col("h_id").alias("heading"))
+        graphs, cuts = G.fold_graphs(t["heads"], t["edges"].join(inside, "heading", "left_semi"), t["units"])
+        whole = kept(graphs.where("without is null"))
+        own = rows.where(F.col("held") == held)
+        model = L.averaged(L.fit_by(G.with_fold_feature(own, G.fold_scores(whole, own.select("h_id", "id"), t["units"]), cuts, None), ("seed",), P.ALL_FEATURES)).withColumn("held", F.lit(held).cast("long"))
+        test = t["pairs"].join(folds.where(F.col("fold") == held).select("h_id", F.col("fold").alias("held")), "h_id")
+        featured = G.with_fold_feature(test, G.fold_scores(whole, test.select("h_id", "id"), t["units"]), cuts, None)
+        found.append(L.scored(featured, model, P.ALL_FEATURES, ["held"]).select("h_id", "id", "score"))
+    ranks = E.ranks_by_count(found[0].unionByName(found[1]), t["positives"].withColumnRenamed("id", "partner"))
     return E.per_heading(ranks, 50).select("h_id", "n", "best", "hits")
 
 
+@query()
+def bilinear_crossfit(spark, sf):
+    """The learned bilinear metric on 32 standardized components, alone and added to the hand score: best ranks on the other half of the headings."""
+    c, _, edges = graph_edges(spark, sf)
+    edges, pairs = kept(edges), kept(view.role_pairs(spark, sf).drop("h_unit", "unit"))
+    positives = edges.select(F.col("heading").alias("h_id"), F.col("partner").alias("id"))
+    labelled = positives.groupBy("h_id").agg(F.count("*").alias("n"))
+    folds = E.folds(labelled.select("h_id"))
+    x = L.standardized(c, "unit").select("id", "x")
+    known = pairs.join(folds, "h_id").select("h_id", "fold", "id", P.hand_score().alias("hand")).join(x.withColumnRenamed("id", "h_id"), "h_id").join(x.select("id", F.col("x").alias("z")), "id")
+    rows = L.training_rows(known, positives, positives, 1, NEGATIVES).withColumn("_n", F.row_number().over(Window.partitionBy("h_id", "y").orderBy(F.xxhash64("id"), "id")))
+    rows = rows.join(labelled, "h_id").where("y = 1 or _n <= n").withColumn("held", 1 - F.col("fold"))  # as many negatives as positives
+    scored = L.metric_scores(known.withColumnRenamed("fold", "held"), L.fit_metric_by(rows, ("held",)), ["held"])
+    scored = L.z_scored(scored, "metric", ("h_id",), "z")
+    ranks = lambda score, out: E.ranks_by_count(scored.select("h_id", "id", score.alias("score")), positives.withColumnRenamed("id", "partner")).groupBy("h_id").agg(F.min("rank").alias(out))
+    return ranks(F.col("metric"), "metric_best").join(ranks(F.col("hand") + 0.5 * F.col("z"), "blend_best"), "h_id")
+
+
 def queries() -> dict[str, Query]:
+    from . import extended  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extended  # noqa: F401
+
     return dict(_SQL)

@@ -21,6 +21,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"), F.col("p_brand").alias("family"), F.col("p_type").alias("category"), (300 + 100 * (size % 7)).alias("weight"),
         F.when(size % 2 == 0, "normal").otherwise("italic").alias("style"), (F.col("p_type") != "PROMO").alias("eligible"), F.col("p_type").isin("ECONOMY", "STANDARD").alias("serif"),
         missing(17, F.lit(0.4) + (size % 10) / 40.0).alias("xh"), missing(19, F.lit(0.8) + (key % 13) / 20.0).alias("width"), missing(23, (key % 101) / 100.0).alias("legibility"),
+        missing(29, (key % 53) / 50.0).alias("stroke"), missing(31, (key % 71) / 70.0).alias("aperture"),
         F.when(key % 11 == 0, "local").otherwise("google").alias("source"),
     )
 
@@ -47,6 +48,7 @@ catalog AS (
     CASE WHEN p_partkey % 17 <> 0 THEN CAST(0.4 AS DOUBLE) + (p_size % 10) / CAST(40 AS DOUBLE) END AS xh,
     CASE WHEN p_partkey % 19 <> 0 THEN CAST(0.8 AS DOUBLE) + (p_partkey % 13) / CAST(20 AS DOUBLE) END AS width,
     CASE WHEN p_partkey % 23 <> 0 THEN (p_partkey % 101) / CAST(100 AS DOUBLE) END AS legibility,
+    CASE WHEN p_partkey % 29 <> 0 THEN (p_partkey % 53) / CAST(50 AS DOUBLE) END AS stroke, CASE WHEN p_partkey % 31 <> 0 THEN (p_partkey % 71) / CAST(70 AS DOUBLE) END AS aperture,
     CASE WHEN p_partkey % 11 = 0 THEN 'local' ELSE 'google' END AS source
   FROM part)"""
 
@@ -60,8 +62,8 @@ canonical AS (
 
 PAIRS = CORPUS + """,
 met AS (
-  SELECT h.id AS h_id, h.family AS h_family, h.category AS h_category, h.weight AS h_weight, h.serif AS h_serif, h.xh AS h_xh, h.width AS h_width, h.legibility AS h_legibility, h.unit AS h_unit,
-    c.id, c.family, c.category, c.weight, c.style, c.serif, c.xh, c.width, c.legibility, c.unit, list_transform(list_zip(h.unit, c.unit), lambda z: z[1] * z[2]) AS m
+  SELECT h.id AS h_id, h.family AS h_family, h.category AS h_category, h.weight AS h_weight, h.serif AS h_serif, h.xh AS h_xh, h.width AS h_width, h.legibility AS h_legibility, h.stroke AS h_stroke, h.aperture AS h_aperture, h.unit AS h_unit,
+    c.id, c.family, c.category, c.weight, c.style, c.serif, c.xh, c.width, c.legibility, c.stroke, c.aperture, c.unit, list_transform(list_zip(h.unit, c.unit), lambda z: z[1] * z[2]) AS m
   FROM canonical h JOIN corpus c ON h.family <> c.family WHERE c.eligible),
 parts AS (SELECT *, list_sum(list_transform(m, lambda x: greatest(x, CAST(0 AS DOUBLE)))) AS p, list_sum(list_transform(m, lambda x: greatest(-x, CAST(0 AS DOUBLE)))) AS n, list_sum(m) AS cos FROM met),
 pairs AS (SELECT * EXCLUDE (m), p * n AS contrast FROM parts)"""

@@ -88,15 +88,19 @@ class _Page(InputPartition):
 
 
 class PagedSource(DataSource):
-    """Batch source over ``fetch(offset, limit) -> list of tuples``: pages are read in parallel once the count is known."""
+    """Batch source over ``fetch(offset, limit) -> list of tuples``.
+
+    With a known ``count`` pages are read in parallel, a partition each. Without one (None) a single task asks
+    for page after page until one is short, since only the last page tells that it is the last.
+    """
 
     fetch = None
-    count = 0
+    count: int | None = None
     limit = 1000
     fields = "value string"
 
     @classmethod
-    def of(cls, name: str, fetch, count: int, schema: str, limit: int = 1000) -> type[PagedSource]:
+    def of(cls, name: str, fetch, schema: str, count: int | None = None, limit: int = 1000) -> type[PagedSource]:
         return type(f"Paged_{name}", (cls,), {"fetch": staticmethod(fetch), "count": count, "fields": schema, "limit": limit, "name": classmethod(lambda _: name)})
 
     def schema(self) -> str:
@@ -107,9 +111,175 @@ class PagedSource(DataSource):
 
         class Reader(DataSourceReader):
             def partitions(self):
-                return [_Page(at) for at in range(0, max(count, 1), limit)]
+                return [_Page(-1)] if count is None else [_Page(at) for at in range(0, max(count, 1), limit)]
 
             def read(self, partition):
-                yield from fetch(partition.offset, limit)
+                if partition.offset >= 0:
+                    yield from fetch(partition.offset, limit)
+                    return
+                at, page = 0, None
+                while page is None or len(page) == limit:
+                    page = list(fetch(at, limit))
+                    yield from page
+                    at += limit
 
         return Reader()
+
+
+class UnexpectedStatus(OSError):
+    """An HTTP answer that isn't a success."""
+
+
+def fetch_text(url: str, opener=None, timeout: float = 60.0) -> str:
+    """The text of a GET; any status outside 200 to 299 is an error. ``opener(url, timeout)`` gives (status, bytes)."""
+
+    def plain(address: str, seconds: float) -> tuple[int, bytes]:
+        import urllib.error
+        import urllib.request
+
+        try:
+            with urllib.request.urlopen(address, timeout=seconds) as answer:
+                return answer.status, answer.read()
+        except urllib.error.HTTPError as error:
+            return error.code, b""
+
+    status, body = (opener or plain)(url, timeout)
+    if not 200 <= status < 300:
+        raise UnexpectedStatus(f"{url}: HTTP {status}")
+    return body.decode("utf-8")
+
+
+def fetch_pages(urls: DataFrame, opener=None) -> DataFrame:
+    """(url, html, error) of rows (url): pages are fetched where the rows lie; one that fails keeps its error."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                try:
+                    rows.append((url, fetch_text(url, opener), None))
+                except (OSError, ValueError) as error:
+                    rows.append((url, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["url", "html", "error"])
+
+    return urls.select("url").mapInPandas(run, "url string, html string, error string")
+
+
+def cached(path: str | None, cache: str, download) -> str:
+    """The path of a source: the one given, else the cache, which ``download()`` (bytes) fills where it is missing."""
+    import os
+
+    if path:
+        return path
+    if not os.path.exists(cache):
+        os.makedirs(os.path.dirname(cache) or ".", exist_ok=True)
+        data, part = download(), f"{cache}.part"
+        with open(part, "wb") as out:
+            out.write(data)
+        os.replace(part, cache)  # a broken download never looks like a cache
+    return cache
+
+
+def checked(spark: SparkSession, root: str, expected: dict[str, str], download) -> DataFrame:
+    """Files of a folder by name, those that are missing downloaded, all of them with the expected sha256 or an error.
+
+    ``expected`` maps names to checksums, ``download(name)`` gives bytes.
+    """
+    import os
+
+    for name in sorted(expected):
+        cached(None, os.path.join(root, name), lambda name=name: download(name))
+    files = spark.read.format("binaryFile").load([os.path.join(root, n) for n in sorted(expected)])
+    wrong = verify_checksums(files, spark.createDataFrame(sorted(expected.items()), "name string, sha256 string")).where("not ok")
+    if bad := [r["name"] for r in wrong.collect()]:  # one row a listed file
+        raise ValueError(f"checksums differ: {', '.join(sorted(bad))}")
+    return files
+
+
+def resolve_root(given: str | None, candidates: list[str], marker: str) -> str:
+    """The folder given, else the first candidate that holds the marker file; neither is an error that names what was tried."""
+    import os
+
+    for root in [given] if given else candidates:
+        if os.path.exists(os.path.join(root, marker)):
+            return root
+    raise FileNotFoundError(f"no {marker} below {given or ', '.join(candidates)}")
+
+
+def revision(root: str) -> str | None:
+    """The commit that a checkout stands at, None where that can't be told."""
+    import subprocess
+
+    try:
+        return subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, check=True, timeout=30).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def decode_image(raw: bytes, channels: int = 3):
+    """(height, width, channels) bytes of a PNG with 8-bit gray, RGB or RGBA pixels and no interlacing."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, data, head = 8, b"", None
+    while at + 8 <= len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        body = raw[at + 8 : at + 8 + size]
+        head, data = struct.unpack(">IIBBBBB", body) if kind == b"IHDR" else head, data + body if kind == b"IDAT" else data
+        at += 12 + size
+    width, height, depth, color, _, _, interlaced = head
+    samples = {0: 1, 2: 3, 6: 4}.get(color)
+    if depth != 8 or interlaced or samples is None:
+        raise ValueError(f"PNG with {depth} bits, color type {color}")
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * samples)
+    out = np.zeros((height, width * samples), np.uint8)
+    above = np.zeros(width * samples, np.int64)
+    for y, line in enumerate(lines):
+        kind, row = int(line[0]), line[1:].astype(np.int64)
+        if kind in (0, 2):
+            row = row + above if kind == 2 else row
+        else:
+            for x in range(len(row)):
+                a, b, c = (row[x - samples] if x >= samples else 0), above[x], (above[x - samples] if x >= samples else 0)
+                if kind == 4:
+                    p = a + b - c
+                    best = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                row[x] = (row[x] + (a if kind == 1 else (a + b) // 2 if kind == 3 else best)) & 0xFF
+        above = row & 0xFF
+        out[y] = above
+    image = out.reshape(height, width, samples)
+    image = np.repeat(image, 3, axis=2) if samples == 1 else image[:, :, :3]
+    return image[:, :, :1] if channels == 1 else image
+
+
+def image_pixels(files: DataFrame) -> DataFrame:
+    """(path, height, width, pixels, error) of image files (path, content): RGB bytes row by row; a broken file keeps its error."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch["path"], batch["content"]):
+                try:
+                    image = decode_image(bytes(raw))
+                    rows.append((path, image.shape[0], image.shape[1], image.tobytes(), None))
+                except Exception as error:  # noqa: BLE001  any broken file is a row with an error
+                    rows.append((path, None, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "pixels", "error"]).astype(object)
+
+    return files.select("path", "content").mapInPandas(run, "path string, height int, width int, pixels binary, error string")
+
+
+def load_quantized(spark: SparkSession, path: str, dim: int, scales: list[float]) -> DataFrame:
+    """(id, q, scale) of a file of signed bytes, ``dim`` a row, and a scale a row; the file is cut into records where it lies."""
+    rows = spark.sparkContext.binaryRecords(path, dim).zipWithIndex()  # the only reader of fixed-length records
+    frame = rows.map(lambda r: (r[1], [b - 256 if b > 127 else b for b in r[0]])).toDF("id long, q array<tinyint>")
+    known = spark.createDataFrame(list(enumerate(map(float, scales))), "id long, scale double")
+    return frame.join(known, "id")

@@ -80,9 +80,14 @@ def parse_families(texts: DataFrame, text: str = "value", carry: tuple[str, ...]
 
 
 def load_catalog(spark: SparkSession, pattern: str) -> DataFrame:
-    """All files of a glob, with their folder, in no order."""
-    raw = spark.read.text(pattern, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("dir"))
-    return parse_families(raw, carry=("dir",))
+    """All files of a glob, with their folder, in the order of their paths."""
+    raw = spark.read.text(pattern, wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]+$", "").alias("dir"), F.col("_metadata.file_path").alias("_path"))
+    return parse_families(raw, carry=("dir", "_path")).orderBy("_path").drop("_path")
+
+
+def first(values, default):
+    """The first of a list column, the default where there is none."""
+    return F.coalesce(F.try_element_at(values, F.lit(1)), F.lit(default))
 
 
 def normalize_family(df: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +8,6 @@ from loomrank.operators import corpus as C
 from loomrank.operators import evaluate as E
 from loomrank.operators import graph as G
 from loomrank.operators import integrity as I
-from loomrank.operators import learn as L
 from loomrank.operators import mining as M
 from loomrank.operators import nulls as U
 from loomrank.operators import pairing as P
@@ -50,7 +48,10 @@ def test_text_functions(spark):
     s = lambda x: F.lit(x)
     assert one(spark, T.slug(s("--Two  Words_3!"))) == "two-words-3"
     assert one(spark, T.kin(s("Noto Sans"), s("Noto Serif"))) and not one(spark, T.kin(s("Noto Sans"), s("Roboto"))) and not one(spark, T.kin(s("Open Sans"), s("Open Circle")))
-    assert one(spark, T.prefixes_without_qualifiers(s("Work  Sans Semibold Italic"))) == ["Work Sans Semibold Italic", "Work Sans Semibold", "Work Sans"]
+    assert one(spark, T.prefixes_without_qualifiers(s("Work  Sans Semi-Bold Italic"))) == ["Work Sans Semi-Bold Italic", "Work Sans Semi-Bold", "Work Sans"]
+    assert one(spark, T.prefixes_without_qualifiers(s("Work Sans Semibold Italic"))) == ["Work Sans Semibold Italic", "Work Sans Semibold"]
+    assert one(spark, T.kin(s("Space Grotesk"), s("Space Mono"))) and one(spark, T.kin(s("Alegreya SC"), s("Alegreya"))) and not one(spark, T.kin(s("Roboto Flex"), s("Roboto Mono")))
+    assert one(spark, T.cleaned_name(s(" A &amp; B&nbsp; C ;.!"))) == "A & B C" and one(spark, T.cleaned_name(s("Old (trial) Face,"), parentheses=False)) == "Old Face"
     assert one(spark, T.prefixes_without_qualifiers(s("Bold"))) == ["Bold"]
     assert one(spark, T.families_of_stylesheet(s("https://x/css2?family=Open+Sans:wght@400&family=A%20B"))) == ["Open Sans", "A B"]
     assert one(spark, T.css_families(s("h1{font-family: 'Alpha X', serif} p{font-family:Beta}"))) == ["Alpha X", "Beta"]
@@ -59,14 +60,19 @@ def test_text_functions(spark):
     assert one(spark, T.name_words(s("MyFont-BoldItalic2"))) == ["my", "font", "bold", "italic"]
     assert one(spark, T.weight_of_words(s("X extrabold"))) == 800 and one(spark, T.weight_of_words(s("Bolder"))) == 400
     assert one(spark, T.style_of(s("A"), F.lit(2), F.lit(0))) == "italic" and one(spark, T.style_of(s("Oblique"), F.lit(0), F.lit(0))) == "italic"
-    assert one(spark, T.category_guess(F.lit(1), F.lit(2), F.lit(2))) == "monospace" and one(spark, T.category_guess(F.lit(0), F.lit(2), F.lit(5))) == "serif"
+    guess = lambda *v: one(spark, T.category_guess(*[F.lit(x).cast("int") for x in v]))
+    assert [guess(1, 2, 2), guess(0, 2, 5), guess(0, 2, 12), guess(0, 3, 5), guess(None, None, None)] == ["monospace", "serif", "sans-serif", "sans-serif", "sans-serif"]
+    assert one(spark, T.family_name(F.array(s("."), s(" Real ")), s("Folder"), s("stem"))) == "Real" and one(spark, T.family_name(F.array(s("")), s("--"), s("..."))) == "..."
+    words = (("compressed", "mono", "x"), ("bold", "trial"))
+    assert one(spark, T.file_qualifier(s("ZX Wide Trial"), s("ZX-Wide-X-Compressed-Bold-Trial"), *words)) == "X Compressed"
+    assert one(spark, T.file_qualifier(s("ZX"), s("ZX-X-Bold"), *words)) is None and one(spark, T.file_qualifier(s("ZX"), s("ZX-Odd-Mono"), *words)) is None
     assert one(spark, T.pair_key(s("b"), s("a"))) == "a|b"
 
 
 def test_eligibility(spark):
-    rows = [(["latin", "menu"], "", True), (["japanese", "latin"], "Jpan", False), (["devanagari", "latin"], "Deva", True), (["menu"], "", False), (["latin"], None, True)]
+    rows = [(["cyrillic", "latin"], "Cyrl", True), (["latin", "korean"], "Kore", False), (["latin-ext", "greek"], "", False), (["latin"], "Hant", False), (["latin"], None, True), ([], "", False)]
     df = spark.createDataFrame(rows, "subsets array<string>, script string, want boolean")
-    assert df.where(C.pairing_eligible(F.col("subsets"), F.col("script")) == F.col("want")).count() == 5
+    assert df.where(C.pairing_eligible(F.col("subsets"), F.col("script")) == F.col("want")).count() == len(rows)
 
 
 def test_ladder(spark):
@@ -108,6 +114,11 @@ def test_ranks_and_metrics(spark):
     heads = E.per_heading(E.partner_ranks(ranked, partners), 1)
     s = E.summary(heads, 1).first()
     assert (s["headings"], s["hit"], s["recall"], s["ndcg"], s["median_upper"], s["median_true"]) == (2, 1, 0.5, 0.5, 2, 1)
+    counted = {(r["h_id"], r["partner"]): (r["rank"], r["pool"]) for r in E.ranks_by_count(ranked.select("h_id", "id", (-F.col("rank")).cast("double").alias("score")), partners).collect()}
+    assert counted == {(0, 2): (2, 3), (0, 77): (4, 3), (9, 1): (1, 1)}
+    roles = E.role_summary(heads.withColumn("role", F.when(F.col("h_id") == 0, "body").otherwise("head"))).collect()
+    assert {r["role"]: (r["headings"], r["recall"]) for r in roles} == {"body": (1, 0.0), "head": (1, 1.0), None: (2, 0.5)}
+    assert [E.upper_median(spark.createDataFrame([(float(x),) for x in v], "v double"), "v") for v in ([3, 1], [5, 1, 3], [2, 2, 2, 9], [])] == [3.0, 3.0, 2.0, None]
     empty = E.summary(heads.limit(0), 10).first()
     assert empty["headings"] == 0 and empty["hit"] == 0 and empty["median_upper"] is None
 
@@ -150,7 +161,13 @@ def test_integrity(spark):
     df = spark.createDataFrame([(0, "google", bytearray(b"ab"), 1.0), (2, "private", bytearray(b"ab"), None)], "id long, source string, q binary, scale double").withColumn("q", F.array(F.lit(1), F.lit(2)))
     assert not I.dense_ids(df).first()["dense"]
     bad = {r["check"] for r in I.failures(df, {"count": 2, "dim": 3, "houseFaces": 0, "contracts": {"backbone": ["a", "b"]}}).collect()}
-    assert bad == {"dim", "least dim", "scales", "ids", "source", "contract"}
+    assert bad == {"dim", "least dim", "scales", "ids", "source", "contract", "bytes", "pca"} - {"pca"}
+    nested = {"grid": {"cols": 6, "size": 224}, "glyphs": "v1"}
+    assert I.contract_differences(nested, {"grid": {"cols": 6, "size": 128}, "glyphs": "v1", "new": 1}) == ["grid.size", "new"] and I.contract_differences(nested, dict(nested)) == []
+    more = {r["detail"] for r in I.failures(df.where("id = 0"), {"count": 1, "dim": 2, "houseFaces": 0, "catalog": 3, "bytes": 9, "pca": {"rows": 7}, "contracts": {"grid": [nested, {**nested, "glyphs": "v2"}]}}).collect()}
+    assert more == {"2 is not 9", "3 is not 1", "7 is not 2", "grid.glyphs"}
+    assert [tuple(r) for r in I.unlike_dims(df, df.withColumn("q", F.array(F.lit(1), F.lit(2), F.lit(3))), "q").collect()] == [(3, 2)] and I.unlike_dims(df, df, "q").count() == 0
+    assert I.repeated_run(lambda: df, "id", "source").count() == 0
     a, b = I.content_hash(df, "id", "source"), I.content_hash(df.where("id = 0").withColumn("source", F.lit("x")), "id", "source")
     assert sorted(map(tuple, I.drifted(a, b, "id").collect())) == [(0, "changed"), (2, "added")]
 
@@ -159,41 +176,80 @@ def test_null_draws(spark):
     weights = spark.createDataFrame([(1, 1), (2, 0), (3, 9)], "id long, weight long")
     n = {r["id"]: r["count"] for r in U.weighted_draws(weights, 2000).groupBy("id").count().collect()}
     assert sum(n.values()) == 2000 and 2 not in n and n[3] > 1600
+    heavy = spark.createDataFrame([(i, 10**9 if i == 7 else 1) for i in range(50)], "id long, weight long")
+    assert {r["id"] for r in U.weighted_draws(heavy, 500).collect()} == {7}
+    drawn = U.uniform_pairs(spark.range(5), 4000).collect()
+    assert len(drawn) == 4000 and all(r["a"] != r["b"] for r in drawn)
+    counts = np.bincount([5 * r["a"] + r["b"] for r in drawn], minlength=25).reshape(5, 5)
+    assert (counts[~np.eye(5, dtype=bool)] > 120).all() and U.uniform_pairs(spark.range(1), 10).count() == 0
+    assert U.hashed_sample(spark.range(100), "id", 7).count() == 7 == U.hashed_sample(spark.range(100).repartition(5), "id", 7).join(U.hashed_sample(spark.range(100), "id", 7), "id").count()
 
 
-def test_learning():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((400, 3)) * [1, 5, 0.1]
-    y = (x @ [2, -0.3, 0] + rng.standard_normal(400) * 0.1 > 0).astype(float)
-    w, b = L.fit_standardized(x, y)
-    assert (((x @ w + b) > 0) == y).mean() > 0.97
-    a, p, n = rng.standard_normal((100, 4)), rng.standard_normal((100, 4)), rng.standard_normal((100, 4))
-    lower, bilinear = L.fit_bilinear(pd.DataFrame({"x": list(a), "y": list(a + 0.1 * p), "z": list(n)}), 4, steps=100)
-    score = lambda u, v: np.einsum("ij,ij->i", u @ (np.eye(4) + bilinear), v) - ((u - v) ** 2).sum(1) - (((u - v) @ lower) ** 2).sum(1)
-    assert (score(a, a + 0.1 * p) > score(a, n)).mean() > 0.9
-
-
-def test_bilinear_score_column(spark):
-    df = spark.createDataFrame([([1.0, 2.0], [0.5, -1.0])], "u array<double>, v array<double>")
-    lower, bilinear = [[0.3, 0.1]], [[0.2, 0.0], [0.1, -0.4]]
-    u, v = np.array([1.0, 2.0]), np.array([0.5, -1.0])
-    want = u @ v + u @ np.array(bilinear) @ v - ((u - v) ** 2).sum() - (np.array(lower) @ (u - v)) @ (np.array(lower) @ (u - v))
-    assert df.select(L.bilinear_score(F.col("u"), F.col("v"), lower, bilinear).alias("s")).first()["s"] == pytest.approx(want)
+def drawn(**boxes):
+    """A sheet with rectangles (left, top, width, height) in the cells of glyphs; several of a glyph are given by a list."""
+    image = np.full((R.SIZE, R.SIZE), 255, np.uint8)
+    for glyph, parts in boxes.items():
+        left, top, _, _ = R.cell_bounds(R.GLYPHS[glyph])
+        for x, y, w, h in parts:
+            image[top + y : top + y + h, left + x : left + x + w] = 0
+    return image
 
 
 def test_render_features(spark):
     assert R.runs(np.array([0, 1, 1, 0, 1], bool)).tolist() == [2, 1] and R.runs(np.zeros(3, bool)).tolist() == []
-    image = np.full((R.SIZE, R.SIZE), 255, np.uint8)
-    assert R.glyph_features(image) == {"xh": None, "contrast": None, "aperture": None, "o_aspect": None}
-    for i, high in ((0, 40), (1, 28), (2, 28)):
-        left, top, _, _ = R.cell_bounds(i)
-        image[top + 5 : top + 5 + high, left + 5 : left + 19] = 0
+    assert R.cell_bounds(7) == (37, 56, 75, 112) and R.cell_center(7) == (56.0, 84.0)
+    nothing = {"xh": None, "contrast": None, "aperture": None, "o_aspect": None}
+    assert R.glyph_features(drawn()) == nothing == R.glyph_features(drawn(A=[(2, 4, 10, 40)]))
+    # A from row 4 and n from row 16 down to the baseline at 44: 28 / 40; an o of strokes 6 wide and 3 high; an e open at the right in 9 of 28 rows
+    image = drawn(A=[(2, 4, 10, 40)], n=[(2, 16, 10, 28)], o=[(2, 16, 28, 3), (2, 41, 28, 3), (2, 16, 6, 28), (24, 16, 6, 28)], e=[(2, 16, 20, 19), (2, 35, 8, 9)])
     found = R.glyph_features(image)
-    assert found["xh"] == pytest.approx(0.7) and found["o_aspect"] == 0.5
+    assert found == {"xh": 0.7, "contrast": 0.5, "aperture": round(9 / 28, 4), "o_aspect": 1.0}
+    assert R.legibility_of(1.0, 0.5, 0.0) == pytest.approx(2.5 / 3)
     rows = spark.createDataFrame([(1, bytearray(image.tobytes())), (2, bytearray(b"broken")), (3, None)], "id long, pixels binary")
+    assert {r["id"]: r["xh"] for r in R.feature_rows(rows).collect()} == {1: 0.7, 2: None, 3: None}
     got = {r["id"]: r for r in R.embed_images(rows, R.stub_embedder(16)).collect()}
-    assert len(got[1]["embedding"]) == 16 and got[1]["error"] is None and got[2]["embedding"] is None and got[3]["error"]
-    assert R.preprocess(np.full((2, 2, 3), 255, np.uint8), "raw01").max() == 1.0
+    assert len(got[1]["embedding"]) == 16 and got[1]["error"] is None and got[2]["embedding"] is None and got[2]["error"] and got[3]["error"]
+
+
+def test_embedder_gets_batches_and_fails_alone(spark):
+    images = [bytearray(np.full((R.SIZE, R.SIZE), i, np.uint8).tobytes()) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(images)), "id long, pixels binary").coalesce(1)
+
+    def embedder(stack):
+        if (stack[:, 0, 0] == 21).any():
+            raise ValueError("cannot read 21")
+        return np.column_stack([stack[:, 0, 0].astype(float), np.full(len(stack), float(len(stack)))])
+
+    got = {r["id"]: r for r in R.embed_images(df, embedder).collect()}
+    assert got[21]["embedding"] is None and "cannot read 21" in got[21]["error"]
+    assert all(got[i]["embedding"][0] == i for i in range(40) if i != 21) and got[3]["embedding"][1] == 16 and got[20]["embedding"][1] == 1 and got[39]["embedding"][1] == 8
+
+
+def test_preparation_modes():
+    """Expectations from the published channel constants: blue first means 103.939 is taken from the first channel in both modes."""
+    pixel = np.array([[[10, 100, 200]]], np.uint8)
+    take = lambda mode: R.preprocess(pixel, mode)[:, 0, 0].tolist()
+    assert take("caffe") == pytest.approx([200 - 103.939, 100 - 116.779, 10 - 123.68], abs=1e-4)
+    assert take("rgb_mean") == pytest.approx([10 - 103.939, 100 - 116.779, 200 - 123.68], abs=1e-4)
+    assert take("imagenet") == pytest.approx([(10 / 255 - 0.485) / 0.229, (100 / 255 - 0.456) / 0.224, (200 / 255 - 0.406) / 0.225], abs=1e-5)
+    assert take("raw255") == [10, 100, 200] and take("raw01") == pytest.approx([10 / 255, 100 / 255, 200 / 255])
+    with pytest.raises(ValueError):
+        R.preprocess(pixel, "other")
+
+
+def test_sheets_sizes_faces_and_spaces(spark):
+    sheet = R.grid_image(lambda glyph, high: np.zeros((30, 10), np.uint8), "ab")
+    left, top, right, _ = R.cell_bounds(1)
+    assert (sheet[top + 14 : top + 44, left + 14 : left + 24] == 0).all() and (sheet < 128).sum() == 600 and sheet[top + 44, left + 15] == 255
+    assert R.fitted_size(lambda px: (px * 3, px)) == (64, (16, 80)) and R.fitted_size(lambda px: (999, 1)) is None
+    rows = [(0, "A", 400, "normal", True, "a"), (1, "A", 400, "normal", True, "a2"), (2, "B", 700, "normal", True, "b"), (3, "C", 400, "normal", False, "c"), (4, "D", 400, "normal", True, "gone")]
+    instances = spark.createDataFrame(rows, "id long, family string, weight int, style string, eligible boolean, file string")
+    wanted = spark.createDataFrame([(f,) for f in "ABCDE"], "family string")
+    faces, missing = R.wanted_faces(instances, wanted, spark.createDataFrame([("a",), ("a2",), ("b",), ("c",)], "file string"))
+    assert [tuple(r) for r in faces.collect()] == [("A", 0, "a")] and sorted(r["family"] for r in missing.collect()) == list("BCDE")
+    pixels = [(i, bytearray(np.random.default_rng(i).integers(0, 255, 3 * 64, dtype=np.uint8).tobytes())) for i in range(3)] + [(9, None)]
+    spaces = R.space_sweep(spark.createDataFrame(pixels, "id long, pixels binary"), lambda x: x.reshape(len(x), -1)[:, :5], size=8).collect()
+    assert len(spaces) == 3 * 2 * 5 and all(abs(np.linalg.norm(r["vector"]) - 1) < 1e-9 for r in spaces if r["scaled"])
 
 
 def test_running_before(spark):
