@@ -1,4 +1,9 @@
-"""Suffix arrays by induced sorting in bulk, on disk-backed scratch beyond a memory bound."""
+"""Suffix arrays with common prefixes by recursive induced sorting, on disk-backed scratch beyond a memory bound.
+
+Every induction runs through a priority queue with a lane for each symbol (``_induce``); its suffix tuples carry
+what they share with the tuple popped before (``Prefixes``), so the order of all suffixes comes with its common
+prefixes and no two suffixes are compared again.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ MEMORY = 16 << 20
 CHUNK = 1 << 17
 #: Slots that one run pops at most.
 RUN = 1 << 16
+#: Common prefixes are told up to this length, and the mark of a slot that has none.
+CAP, NONE = 200, 255
 _BASE = 0xD1342543DE82EF95
 
 
@@ -59,8 +66,9 @@ class Spool:
             return np.asarray(np.memmap(file, dtype=self.dtype, mode="r+", shape=(self.n,)))
 
 
-def chunks(n: int) -> list[tuple[int, int]]:
-    return [(a, min(a + CHUNK, n)) for a in range(0, n, CHUNK)]
+def chunks(n: int, size: int = 0) -> list[tuple[int, int]]:
+    size = max(size or CHUNK, 1)
+    return [(a, min(a + size, n)) for a in range(0, n, size)]
 
 
 def index_type(n: int):
@@ -110,9 +118,9 @@ def _shifted(edges: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
-def _ranks(symbols: np.ndarray) -> np.ndarray:
-    """Occurrences before each entry of the same symbol."""
-    order = symbols.argsort(kind="stable")
+def _ranks(symbols: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Occurrences before each entry of the same symbol; ``order`` sorts the symbols, equal ones as they stand."""
+    order = symbols.argsort(kind="stable") if order is None else order
     run = symbols[order]
     first = np.empty(len(run), bool)
     first[:1] = True
@@ -124,57 +132,242 @@ def _ranks(symbols: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _induce(queue: np.ndarray, text: np.ndarray, small: np.ndarray, wanted: bool, places: np.ndarray, step: int) -> None:
-    """Pop suffixes in order and push their predecessors of the wanted type behind (step 1) or before (-1).
+class RangeMin:
+    """Least values of ranges of a byte array that is filled from its start: minima of blocks, of blocks of blocks, and so on."""
+
+    WIDTH = 64
+
+    def __init__(self, values: np.ndarray):
+        self.levels, self.full = [values], [0]
+        while len(self.levels[-1]) > self.WIDTH:
+            self.levels.append(scratch(-(-len(self.levels[-1]) // self.WIDTH), np.uint8, NONE))
+            self.full.append(0)
+
+    def extend(self, upto: int) -> None:
+        """Entries before ``upto`` are final."""
+        for level in range(1, len(self.levels)):
+            a, b = self.full[level], upto // self.WIDTH
+            for x, y in ((a + x, a + y) for x, y in chunks(b - a, CHUNK // self.WIDTH)):
+                self.levels[level][x:y] = self.levels[level - 1][x * self.WIDTH : y * self.WIDTH].reshape(-1, self.WIDTH).min(axis=1)
+            self.full[level], upto = b, b
+
+    def _some(self, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Minima of ranges of at most a block."""
+        out = np.full(len(a), NONE, np.uint8)
+        values, step = self.levels[level], np.arange(self.WIDTH)
+        for x, y in chunks(len(a), CHUNK // self.WIDTH):
+            at = a[x:y, None] + step
+            inside = at < b[x:y, None]
+            out[x:y] = np.where(inside, values[np.where(inside, at, 0)], NONE).min(axis=1)
+        return out
+
+    def query(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The least value of each range from a to before b, ``NONE`` of an empty one; all entries before b are final."""
+        out = np.full(len(a), NONE, np.uint8)
+        open_, a, b = np.arange(len(a)), a.copy(), b.copy()
+        for level in range(len(self.levels)):
+            top = level == len(self.levels) - 1
+            head = b if top else np.minimum(b, -(-a // self.WIDTH) * self.WIDTH)
+            out[open_] = np.minimum(out[open_], self._some(level, a, head))
+            if top:
+                break
+            tail = np.maximum(head, b // self.WIDTH * self.WIDTH)
+            out[open_] = np.minimum(out[open_], self._some(level, tail, b))
+            go = np.flatnonzero(head < tail)
+            open_, a, b = open_[go], head[go] // self.WIDTH, tail[go] // self.WIDTH
+            if not len(open_):
+                break
+        return out
+
+
+def _table_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least values of ranges (a, b] of a short array, from minima of all ranges of powers of two."""
+    span = np.frexp((b - a).astype(float))[1] - 1
+    rows = [values]
+    for power in range(int(span.max(initial=0))):
+        rows.append(np.minimum(rows[-1][: len(rows[-1]) - (1 << power)], rows[-1][1 << power :]))
+    out = np.empty(len(a), np.uint8)
+    for power, row in enumerate(rows):
+        own = np.flatnonzero(span == power)
+        out[own] = np.minimum(row[a[own] + 1], row[b[own] + 1 - (1 << power)])
+    return out
+
 
-    The queue is laid out by first symbol; ``places`` has the next free slot of each symbol. A run of slots is
-    popped at once up to the first slot that the run itself fills, which gives the order of single pops.
+class Prefixes:
+    """Common-prefix values of one induction, kept beside its queue: what every entry shares with the entry popped before.
+
+    Two neighbours of one lane that the induction put there share their symbol and what the entries that put
+    them share, the least value between those. Where a lane begins, and where entries that were there before
+    follow those of the induction, neighbours were put in different ways: these junctions, two a lane at most,
+    are read from the text when they are popped. ``weight`` is how much a symbol counts in the lowest text.
+    """
+
+    def __init__(self, values: np.ndarray, weight: np.ndarray, begins: np.ndarray, filled: np.ndarray, bytes_at: np.ndarray, lowest: np.ndarray):
+        self.values, self.weight, self.begins, self.bytes_at, self.lowest = values, weight, begins, bytes_at, lowest
+        self.old = _lane_firsts(filled, begins)
+        self.least = RangeMin(values)
+        self.last = scratch(len(weight), np.int64, -1)
+        self.before = -1, -1  # slot and position of the entry popped last
+
+    def popped(self, block: np.ndarray, done: int) -> None:
+        """Settle the junctions among the slots that are popped."""
+        at = np.flatnonzero(block >= 0)
+        if not len(at):
+            return
+        at += done
+        slot, position = self.before
+        lanes = self.begins[slice(*np.searchsorted(self.begins, (slot + 1, done + len(block))))]
+        old = self.old[slice(*np.searchsorted(self.old, (done, done + len(block))))]
+        some = np.unique(np.searchsorted(at, np.concatenate([lanes, old])))
+        some = some[some < len(at)]
+        for a, b in chunks(len(some)):
+            pick = some[a:b]
+            earlier = block[at[np.maximum(pick - 1, 0)] - done].astype(np.int64)
+            earlier[pick == 0] = position
+            here = block[at[pick] - done].astype(np.int64)
+            shared = shared_symbols(self.lowest, self.bytes_at[np.maximum(earlier, 0)], self.bytes_at[here])
+            self.values[at[pick]] = np.where(earlier < 0, 0, shared)
+        self.before = int(at[-1]), int(block[at[-1] - done])
+
+    def pushed(self, at: np.ndarray, symbol: np.ndarray, order: np.ndarray, done: int, size: int) -> np.ndarray:
+        """What each pushed entry shares with the one before it in its lane; ``at`` are the slots of the run that push them, ``order`` sorts them by symbol."""
+        ordered = symbol[order]
+        first = np.ones(len(order), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        before = np.empty(len(order), np.int64)
+        before[order[1:]] = at[order[:-1]] + done
+        before[order[first]] = self.last[ordered[first]]
+        shared = np.full(len(order), NONE, np.int64)  # the first of a lane is a junction
+        own = self.values[done : done + size]
+        inside = np.flatnonzero(before >= done)
+        shared[inside] = _table_min(own, before[inside] - done, at[inside])
+        across = np.flatnonzero((before < done) & (before >= 0))
+        if len(across):
+            self.least.extend(done)
+            shared[across] = np.minimum(self.least.query(before[across] + 1, np.full(len(across), done)), np.minimum.accumulate(own)[at[across]])
+        out = np.minimum(shared + self.weight[symbol], CAP)
+        out[before < 0] = NONE
+        ends = np.append(np.flatnonzero(first)[1:] - 1, len(order) - 1) if len(order) else np.zeros(0, np.int64)
+        self.last[ordered[ends]] = at[order[ends]] + done
+        return out.astype(np.uint8)
+
+
+def _induce(queue: np.ndarray, text: np.ndarray, small: np.ndarray, wanted: bool, places: np.ndarray, prefixes: Prefixes | None) -> None:
+    """Pop suffix tuples from a priority queue in order and push their predecessors of the wanted type.
+
+    The queue is a disk-backed array with a lane for each symbol, as long as the symbol is frequent: a tuple's
+    priority is its symbol, then its turn, and ``places`` has the next free slot of each lane. A tuple is a
+    position, and beside it (``prefixes``) the common prefix with the tuple before. A run of slots is popped at
+    once up to the first slot that the run itself fills, which gives the order of single pops.
     """
     n, done, size = len(queue), 0, 4096
     while done < n:
         size = min(size, n - done)
-        block = queue[done : done + size] if step == 1 else queue[n - done - size : n - done][::-1]
+        block = queue[done : done + size]
         at = np.flatnonzero(block > 0)
         before = block[at] - 1
         keep = small[before] == wanted
         at, before = at[keep], before[keep]
-        if not len(at):
-            done += size
-            size = min(size * 2, RUN)
-            continue
-        symbol = text[before]
-        target = places[symbol] + step * _ranks(symbol)
-        reach = int((target if step == 1 else n - 1 - target).min()) - done
-        if reach < size:
-            part = np.searchsorted(at, reach)
-            target, before, symbol = target[:part], before[:part], symbol[:part]
-            size = reach
-        queue[target] = before
-        places[symbol] = target + step  # of a symbol's targets the last one stays
+        if len(at):
+            symbol = text[before]
+            order = symbol.argsort(kind="stable")
+            target = places[symbol] + _ranks(symbol, order)
+            reach = int(target.min()) - done
+            if reach < size:
+                part = np.searchsorted(at, reach)
+                at, target, before, symbol, order = at[:part], target[:part], before[:part], symbol[:part], order[order < part]
+                size = reach
+        if prefixes is not None:
+            prefixes.popped(queue[done : done + size], done)
+        if len(at):
+            if prefixes is not None:
+                prefixes.values[target] = prefixes.pushed(at, symbol, order, done, size)
+            queue[target] = before
+            places[symbol] = target + 1  # of a symbol's targets the last one stays
         done += size
         size = min(max(96, size * 2), RUN)
 
 
-def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """All suffixes in order, induced from the leftmost small ones in the order given."""
+def _lane_firsts(filled: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The first taken slot of each lane that has one."""
+    slots, seen = Spool(np.int64), -1
+    for a, b in chunks(len(filled)):
+        at = np.flatnonzero(filled[a:b] >= 0) + a
+        lane = np.searchsorted(begins, at, side="right") - 1
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = lane[1:] != lane[:-1]
+        fresh[:1] = lane[:1] != seen
+        slots.add(at[fresh])
+        seen = int(lane[-1]) if len(lane) else seen
+    return slots.array()
+
+
+def _turned(edges: np.ndarray) -> np.ndarray:
+    """Where lanes begin in the queue turned round, the largest symbol's lane first."""
+    out, n = scratch(len(edges) - 1, np.int64), int(edges[-1])
+    for a, b in chunks(len(out)):
+        out[a:b] = n - edges[len(edges) - 1 - np.arange(a, b)]
+    return out
+
+
+def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray, shared: np.ndarray | None = None, weight: np.ndarray | None = None, bytes_at: np.ndarray | None = None, lowest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """All suffixes in order, induced from the leftmost small ones in the order given; with ``shared`` also their common prefixes.
+
+    ``shared`` is what each of ``starts`` shares with the one before. The first induction runs up the queue, the
+    second one down it, as the same induction over the queue turned round.
+    """
     n = len(text)
     queue = scratch(n, index_type(n), -1)
     places = _shifted(edges[1:], -1)
+    values = None if shared is None else scratch(n, np.uint8, NONE)
     for a, b in reversed(chunks(len(starts))):
         block = starts[a:b][::-1]
         symbol = text[block]
         target = places[symbol] - _ranks(symbol)
         queue[target] = block
         places[symbol] = target - 1
-    _induce(queue, text, small, False, _shifted(edges[:-1], 0), 1)
+        if values is not None:
+            values[target] = shared[a:b][::-1]
+    prefixes = None if values is None else Prefixes(values, weight, edges[:-1], queue, bytes_at, lowest)
+    _induce(queue, text, small, False, _shifted(edges[:-1], 0), prefixes)
+    del prefixes
     for a, b in chunks(n):
         part = queue[a:b]
         part[(part >= 0) & small[part]] = -1
     queue[0] = n - 1
-    places = _shifted(edges[1:], -1)
-    places[text[n - 1]] = 0
-    _induce(queue, text, small, True, places, -1)
-    return queue
+    down = None
+    if values is not None:
+        above = scratch(n, np.uint8, NONE)  # what an entry shares with the next larger one
+        for a, b in chunks(n - 1):
+            there = np.flatnonzero((queue[a:b] >= 0) & (queue[a + 1 : b + 1] >= 0)) + a
+            above[there] = values[there + 1]
+        down = Prefixes(above[::-1], weight, _turned(edges), queue[::-1], bytes_at, lowest)
+    places = scratch(len(edges) - 1, np.int64)
+    for a, b in chunks(len(places)):
+        places[a:b] = n - edges[a + 1 : b + 1]
+    places[text[n - 1]] = n  # the last symbol is in its place
+    _induce(queue[::-1], text, small, True, places, down)
+    if values is None:
+        return queue, None
+    for a, b in reversed(chunks(n)):
+        values[max(a, 1) : b] = above[max(a, 1) - 1 : b - 1]
+    values[0] = 0
+    return queue, values
+
+
+def shared_symbols(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols agree from a and from b on, up to ``CAP``; the last symbol is unique."""
+    out = np.zeros(len(a), np.uint8)
+    open_, step, n = np.arange(len(a)), np.arange(8), len(text)
+    for at in range(0, CAP, 8):
+        x, y = a[open_, None] + at + step, b[open_, None] + at + step
+        same = (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)]) & (x < n) & (y < n)
+        agree = np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
+        out[open_] = at + agree
+        open_ = open_[agree == 8]
+        if not len(open_):
+            break
+    return np.minimum(out, CAP)
 
 
 def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -202,20 +395,46 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray, order: np.nd
     return out, name + 1
 
 
+def _weights(reduced: np.ndarray, names: int, bytes_at: np.ndarray) -> np.ndarray:
+    """How many symbols of the lowest text each name stands for: from its place to the next one's, up to ``CAP``."""
+    out = scratch(names, np.int64, 1)
+    for a, b in chunks(len(reduced) - 1):
+        out[reduced[a:b]] = np.minimum(bytes_at[a + 1 : b + 1] - bytes_at[a:b], CAP)
+    return out
+
+
+def suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start positions of all suffixes in order, what each shares with the one before, up to ``CAP``).
+
+    ``text`` holds small non-negative integers; its last symbol must be 0 and stand nowhere else.
+    """
+    n = len(text)
+    places = scratch(n, np.int64)
+    for a, b in chunks(n):
+        places[a:b] = np.arange(a, b)
+    top = max(int(text[a:b].max()) for a, b in chunks(n))
+    return _suffixes(text, scratch(top + 1, np.int64, 1), places, text)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes in order.
+    """Start positions of all suffixes in order."""
+    return suffixes(text)[0]
 
-    ``text`` holds small non-negative integers; its last symbol must be 0 and stand nowhere else. Leftmost
-    small suffixes are sorted by one round of induction, named, and ordered by recursion on their names; a
-    second round induces the rest. All arrays of the text's length are scratch, worked on in chunks.
+
+def _suffixes(text: np.ndarray, weight: np.ndarray, bytes_at: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level of the recursion; ``bytes_at`` are its positions in the lowest text, ``weight`` what its symbols count there.
+
+    Leftmost small suffixes are sorted by one round of induction, named, and ordered by recursion on their names,
+    which also tells what they share; a second round induces the order of all suffixes and what those share. All
+    arrays of the text's length are scratch, worked on in chunks.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int32)
+        return np.zeros(1, np.int32), np.zeros(1, np.uint8)
     small = _types(text)
     starts = _starts(small)
     edges = _edges(text)
-    queue = _sorted_from(text, small, starts, edges)
+    queue, _ = _sorted_from(text, small, starts, edges)
     found = Spool(index_type(n))
     for a, b in chunks(n):
         at = queue[a:b][queue[a:b] > 0]
@@ -224,25 +443,18 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     order = found.array()
     del found
     reduced, names = _names(text, small, starts, order)
+    inner_bytes = scratch(len(starts), np.int64)
+    for a, b in chunks(len(starts)):
+        inner_bytes[a:b] = bytes_at[starts[a:b]]
     if names < len(order):
-        inner = suffix_array(reduced)
+        inner, shared = _suffixes(reduced, _weights(reduced, names, inner_bytes), inner_bytes, lowest)
         order = scratch(len(starts), index_type(n))
         for a, b in chunks(len(starts)):
             order[a:b] = starts[inner[a:b]]
         del inner
-    del reduced
-    return _sorted_from(text, small, order, edges)
-
-
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` bytes (eight at least) from a and from b agree, eight at a time; both must have as many bytes left."""
-    same = np.ones(len(a), bool)
-    if not len(a):
-        return same
-    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        open_ = np.flatnonzero(same)
-        if not len(open_):
-            break
-        same[open_] = words[a[open_] + at] == words[b[open_] + at]
-    return same
+    else:  # names tell the order, and neighbours part within them
+        shared = scratch(len(order), np.uint8, 0)
+        for a, b in chunks(len(order) - 1):
+            shared[a + 1 : b + 1] = shared_symbols(lowest, bytes_at[order[a:b]], bytes_at[order[a + 1 : b + 1]])
+    del reduced, inner_bytes
+    return _sorted_from(text, small, order, edges, shared, weight, bytes_at, lowest)

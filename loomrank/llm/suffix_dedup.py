@@ -12,13 +12,13 @@ windows have equal anchors. Runs of windows with one anchor make a segment.
    by where the anchor stands in the window, and the parts counted under all the bytes that their windows
    have in common, 191 of 200 and then all. So no shard grows with the number of texts around an anchor.
 3. The bytes of the different segments of the other such anchors make the shards. A shard is read in batches
-   and its suffixes are sorted by induced sorting (``_suffix``), whose queues are laid out by symbol. Its
-   bytes, text, types, names, order and queues lie in unnamed temporary files beyond a memory bound an array;
-   neighbours that share 200 bytes are repeated windows.
+   and its suffixes are sorted by recursive induced sorting (``_suffix``): priority queues with a lane for each
+   symbol carry suffixes with what they share with their neighbour. Bytes, text, types, names, order, queues and
+   common prefixes lie in unnamed temporary files beyond a memory bound an array; neighbours that share 200
+   bytes are repeated windows.
 4. Each text's repeated windows, from all steps, are put together and cut out.
 
-The common-prefix values are compared from the sorted order, eight bytes at a time, instead of being carried
-through the queues: only the question "200 or more" matters here. Hashes of 64 bits stand for segments.
+Hashes of 64 bits stand for segments.
 
 Results for odd input: a null, empty or short text (under 200 bytes) loses nothing; a text that repeats
 itself or another (also as a repeated row) loses every byte that such a string covers, in all its places;
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ._runtime import _forget, bound_batches, table_path, trimmed, written
 from ._shared_arrays import SharedArrays
-from ._suffix import Spool, chunks, scratch, shared_prefix, suffix_array
+from ._suffix import Spool, chunks, scratch, suffixes
 from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
@@ -330,17 +330,16 @@ def _twice(joined: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     for a, b in chunks(len(starts)):
         text[starts[a:b] + lengths[a:b]] = 1  # after each string; smaller than any byte
     text[n] = 0
-    order = suffix_array(text)
+    order, shared = suffixes(text)
     del text
     twice = scratch(n, bool, False)
     for a, b in chunks(n - 1):  # pairs of neighbours behind the end, which comes first
         at = order[a + 1 : b + 2].astype(np.int64)
         owner = np.searchsorted(starts, at, side="right") - 1
         whole = at + WINDOW <= starts[owner] + lengths[owner]
-        near = np.flatnonzero(whole[1:] & whole[:-1])
-        same = near[shared_prefix(joined, at[near], at[near + 1], WINDOW)]
-        twice[at[same]] = True
-        twice[at[same + 1]] = True
+        near = np.flatnonzero(whole[1:] & whole[:-1] & (shared[a + 2 : b + 2] >= WINDOW))
+        twice[at[near]] = True
+        twice[at[near + 1]] = True
     return twice
 
 

@@ -90,16 +90,43 @@ def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(docs).count() == 0
 
 
-@given(st.lists(st.integers(1, 4), max_size=200), st.booleans())
-@settings(max_examples=200, deadline=None)
-def test_suffix_array(values, on_disk):
-    text = np.array([*values, 0], dtype=np.int64)
-    memory, _suffix.MEMORY = _suffix.MEMORY, 0 if on_disk else _suffix.MEMORY
+def shared(a, b):
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return min(n, _suffix.CAP)
+
+
+@given(st.lists(st.integers(1, 4), max_size=200), st.integers(1, 4), st.sampled_from([(32 << 20, 1 << 17, 1 << 16), (0, 7, 96), (0, 64, 3)]))
+@settings(max_examples=300, deadline=None)
+def test_order_and_common_prefixes(values, times, bounds):
+    """Against plain sorting, also where every array lies on disk and is worked on in small chunks and runs."""
+    text = np.array([*(values * times), 0], dtype=np.int64)
+    kept = _suffix.MEMORY, _suffix.CHUNK, _suffix.RUN
+    _suffix.MEMORY, _suffix.CHUNK, _suffix.RUN = bounds
     try:
-        got = _suffix.suffix_array(text).tolist()
+        order, prefixes = _suffix.suffixes(text)
     finally:
-        _suffix.MEMORY = memory
-    assert got == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        _suffix.MEMORY, _suffix.CHUNK, _suffix.RUN = kept
+    plain = [text[i:].tolist() for i in range(len(text))]
+    want = sorted(range(len(text)), key=plain.__getitem__)
+    assert order.tolist() == want
+    assert prefixes.tolist() == [0, *(shared(plain[a], plain[b]) for a, b in zip(want, want[1:]))]
+
+
+@given(st.lists(st.integers(0, 254), min_size=1, max_size=300), st.data())
+@settings(max_examples=100, deadline=None)
+def test_range_minima(values, data):
+    array = np.array(values, np.uint8)
+    least = _suffix.RangeMin(array)
+    for upto in sorted(data.draw(st.lists(st.integers(0, len(values)), max_size=3))):
+        least.extend(upto)
+    pairs = data.draw(st.lists(st.tuples(st.integers(0, len(values)), st.integers(0, len(values))), max_size=20))
+    a, b = np.array([min(p) for p in pairs], np.int64), np.array([max(p) for p in pairs], np.int64)
+    least.extend(len(values))
+    assert least.query(a, b).tolist() == [min(values[x:y], default=_suffix.NONE) for x, y in zip(a, b)]
+    some = [(x, y) for x, y in zip(a, b) if x < y]
+    if some:
+        x, y = map(np.array, zip(*some))
+        assert _suffix._table_min(array, x - 1, y - 1).tolist() == [min(values[i:j]) for i, j in some]
 
 
 def test_repeated_windows():
