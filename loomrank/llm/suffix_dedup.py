@@ -6,8 +6,8 @@ windows have equal anchors. Runs of windows with one anchor make a segment.
 
 1. Every task sends its (anchor, segment) hashes with counts in packed blocks, dealt by both. Their buckets
    store the segments that occur more than once (all their windows are repeated); how many different ones an
-   anchor has goes on to the anchor's bucket, which stores those with several, and the hot ones among these. An anchor that occurs once has no repeated window, so
-   most text is settled here.
+   anchor has goes on to the anchor's bucket, which stores those with several, and the hot ones among these.
+   An anchor that occurs once has no repeated window, so most text is settled here.
 2. A hot anchor (the edge of a passage that many texts share) is dealt by more content: its segments are cut
    by where the anchor stands in the window, and the parts counted under all the bytes that their windows
    have in common, 191 of 200 and then all. So no shard grows with the number of texts around an anchor.
