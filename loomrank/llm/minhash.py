@@ -194,7 +194,7 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int, percent: int = PERCENT)
     hubs = written(central.groupBy("key").agg(F.max(F.struct("mass", "n", "node")).alias("top")).select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("hub_n")), "hubs", parts=parts)
     met = central.join(hubs, "key").where(F.col("node") != F.col("hub"))
     pairs = written(met.select(F.col("hub").alias("a"), F.col("node").alias("b"), _possible("n", "hub_n", percent).alias("fits")).distinct(), "pairs", parts=parts)
-    edges = written(_verified(pairs.where("fits").select("a", "b"), sets, percent), "edges", parts=parts)
+    edges = written(_verified(pairs.where("fits").select("a", "b"), sets, percent), "edges")  # parts of a split hub stay apart
     roots = written(components(edges), "roots", parts=parts)
 
     # a bucket is settled when all of it lies in its hub's component; the sets of all others are open
@@ -203,7 +203,7 @@ def links(docs: DataFrame, nodes: DataFrame, parts: int, percent: int = PERCENT)
     labelled = written(labelled, "labelled", parts=parts)
     hot = written(labelled.where("label_a <> label_b").select("a", "label_a").distinct(), "unsettled", parts=parts)
     open_ = labelled.join(hot.select("a"), "a", "left_semi").select(F.col("b").alias("node"), F.col("label_b").alias("label")).unionByName(hot.toDF("node", "label")).distinct()
-    more = written(_verified(written(_rest(open_, sets, parts, percent), "rest", parts=parts), sets, percent), "more_edges", parts=parts)
+    more = written(_verified(written(_rest(open_, sets, parts, percent), "rest", parts=parts), sets, percent), "more_edges")
     if not more.limit(1).count():
         return roots
     return written(components(edges.unionByName(more)), "roots", parts=parts)
