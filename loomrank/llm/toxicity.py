@@ -1,10 +1,10 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers case, splits accents off their letters and drops them, maps homoglyphs of other scripts to
-Latin letters, drops zero-width characters and reads a digit or sign as the letter it looks like where it
-stands between letters, or begins a word before a letter; everything else becomes single spaces. The lexicon
-is learned from a bounded sample of labelled rows: word beginnings and whole words that toxic texts use far
-more often, each weighted by the log ratio of its rates. A word counts once, with its heaviest entry;
+Folding lowers case, maps homoglyphs of other scripts to Latin letters, drops zero-width characters and reads
+a digit or sign as the letter it looks like where it stands between letters, or begins a word before a letter;
+everything else becomes single spaces. A word with accents is read as it is and without them. The lexicon is
+learned from a bounded sample of labelled rows: word beginnings and whole words that toxic texts use far more
+often, each weighted by the log ratio of its rates. A word counts once, with its heaviest entry;
 occurrences inside exception phrases (given, or learned as phrases with an entry that clean texts use) count
 nothing. The sum of weights is normalised by length and turned into a probability by a logistic fit on the
 same sample.
@@ -21,6 +21,8 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -61,13 +63,22 @@ def fold(text: str | None) -> str:
     """The folded words of a text with a single space around each."""
     low = (text or "").lower()
     if not low.isascii():
-        low = _MARKS.sub("", unicodedata.normalize("NFKD", low)).lower().translate(_TABLE)
+        low = _MARKS.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_TABLE)
     return f" {_GAP.sub(' ', _STAND_IN.sub(lambda m: m.group().translate(_LETTERS), low)).strip()} "
 
 
-def _entries(word: str) -> list[str]:
-    """Patterns that match a word: its beginnings, and itself."""
-    return [f" {word[:n]}" for n in PREFIXES if n <= len(word)] + [f" {word} "]
+@lru_cache(1 << 16)
+def bare(word: str) -> str:
+    """A folded word without accents, itself if that leaves no letter or more than one word."""
+    if word.isascii():
+        return word
+    plain = _GAP.sub("", _MARKS.sub("", unicodedata.normalize("NFKD", word)).translate(_TABLE))
+    return plain or word
+
+
+def _entries(word: str) -> set[str]:
+    """Patterns that match a word: beginnings of it and the whole, as it is and without accents."""
+    return {f" {w[:n]}" for w in {word, bare(word)} for n in PREFIXES if n <= len(w)} | {f" {w} " for w in {word, bare(word)}}
 
 
 @dataclass
@@ -94,22 +105,34 @@ class Lexicon:
     def __setstate__(self, state):
         self.__dict__.update(state, tree=None)
 
-    def hits(self, folded: str) -> dict[int, float]:
-        """Start of each matched word (the space before it) and its weight, without exception phrases."""
-        if self.built() is None:
-            return {}
+    def _scan(self, folded: str) -> tuple[dict[int, float], set[int]]:
+        """Weights of matched words and the words of exception phrases, by where the space before a word stands."""
         found: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: set[int] = set()
         for end, (kind, length, weight) in self.tree.iter(folded):
             start = end - length + 1
             if kind == "hit":
                 found[start] = max(weight, found.get(start, 0.0))
             else:
-                spared.append((start, end))
-        for a, b in spared:
-            for at in [p for p in found if a <= p < b]:
-                del found[at]
-        return found
+                spared |= {i for i in range(start, end) if folded[i] == " "}
+        return found, spared
+
+    def hits(self, folded: str) -> dict[int, float]:
+        """Start of each matched word (the space before it) and its weight, without exception phrases."""
+        if self.built() is None:
+            return {}
+        found, spared = self._scan(folded)
+        if not folded.isascii():
+            words = folded.split()
+            plain = [bare(w) for w in words]
+            if plain != words:
+                own, other = ([0, *accumulate(len(w) + 1 for w in ws)] for ws in (words, plain))
+                place = dict(zip(other, own))
+                more, further = self._scan(f" {' '.join(plain)} ")
+                for at, weight in more.items():
+                    found[place[at]] = max(weight, found.get(place[at], 0.0))
+                spared |= {place[at] for at in further}
+        return {at: weight for at, weight in found.items() if at not in spared}
 
     def measures(self, text: str | None) -> tuple[float, float]:
         """Sum of weights by the square root of the number of words, and its logarithm by length."""

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 from loomrank.llm import toxicity
-from loomrank.llm.toxicity import Lexicon, fold
+from loomrank.llm.toxicity import Lexicon, bare, fold
 
 
 def test_held_out_accuracy(spark):
@@ -32,7 +32,7 @@ def test_fold():
     assert fold("l\u200bo\u00adser") == " loser " and fold("ｌｏｓｅｒ") == " loser "
     assert fold("you idiot!") == " you idiot " and fold("paid $100, 3 times! (4)") == " paid times "
     assert fold("sh1t $cum @ss idi0t! wh4t!? a55") == " shit scum ass idiot what a "
-    assert fold("ídïòt İstanbul e\u0301a") == " idiot istanbul ea "
+    assert fold("ídïòt e\u0301a x\u0332y") == " ídïòt éa xy " and [bare(w) for w in ("ídïòt", "éa", "plain", "日本")] == ["idiot", "ea", "plain", "日本"]
     assert fold("wow!!great a|b") == " wowiigreat alb "
     assert fold(None) == fold("") == fold(" .,- ") == "  "
 
@@ -41,6 +41,7 @@ def test_hits_exceptions_and_length():
     lexicon = Lexicon({" scum": 2.0, " scum ": 3.0}, {"pond scum"}, (-2.0, 1.0, 1.0))
     assert lexicon.hits(fold("Scum scummy")) == {0: 3.0, 5: 2.0}
     assert lexicon.hits(fold("pond 5cum is scum")) == {fold("pond scum is").rindex(" "): 3.0}
+    assert lexicon.hits(fold("é sçum sčummy ü")) == {2: 3.0, 7: 2.0} and lexicon.hits(fold("pönd scúm")) == {}
     short, long = lexicon.score(["you scum", "you scum " + "word " * 500])
     assert short > long > lexicon.score(["nothing"])[0] == lexicon.score([None])[0]
 
@@ -65,7 +66,7 @@ def test_learned_exceptions_and_odd_rows(spark):
 
 def plain_fold(text):
     """Folding one character at a time."""
-    low = "".join(c for c in unicodedata.normalize("NFKD", (text or "").lower()) if not unicodedata.combining(c)).lower()
+    low = "".join(c for c in unicodedata.normalize("NFKC", (text or "").lower()) if not unicodedata.combining(c)).lower()
     low = "".join(toxicity.HOMOGLYPHS.get(c, c) for c in low if c not in toxicity.ZERO_WIDTH)
     letter = lambda c: c.isalnum() and not c.isnumeric() or c.isalpha()
     out, i = [], 0
@@ -91,7 +92,8 @@ def test_scores_against_plain_python(spark):
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     label = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] in text}
     folded = {i: plain_fold(t).split() for i, t in text.items()}
-    entries = lambda w: {f" {w[:n]}" for n in range(4, 11) if n <= len(w)} | {f" {w} "}
+    without = lambda w: "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
+    entries = lambda w: {e for x in {w, without(w)} for e in [f" {x[:n]}" for n in range(4, 11) if n <= len(x)] + [f" {x} "]}
     hits, texts, words = {0: Counter(), 1: Counter()}, Counter(), Counter()
     for i, y in label.items():
         words[y] += len(folded[i])
@@ -109,7 +111,7 @@ def test_scores_against_plain_python(spark):
     def matched(ws, spared=frozenset()):
         out = [max([weights[e] for e in entries(w) if e in weights], default=None) for w in ws]
         for k in range(len(ws) - 1):
-            if f"{ws[k]} {ws[k + 1]}" in spared:
+            if f"{ws[k]} {ws[k + 1]}" in spared or f"{without(ws[k])} {without(ws[k + 1])}" in spared:
                 out[k] = out[k + 1] = None
         return out
 
