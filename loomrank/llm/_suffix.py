@@ -1,8 +1,8 @@
 """Suffix arrays with common prefixes by recursive induced sorting, on disk-backed scratch beyond a memory bound.
 
-Every induction runs through a priority queue with a lane for each symbol (``_induce``); its suffix tuples carry
-what they share with the tuple popped before (``Prefixes``), so the order of all suffixes comes with its common
-prefixes and no two suffixes are compared again.
+Every induction runs through a priority queue with a lane for each symbol (``_induce``); in the last one the
+suffix tuples carry what they share with the tuple popped before (``Prefixes``), so the order of all suffixes
+comes with its common prefixes and neighbours need not be compared again.
 """
 
 from __future__ import annotations
@@ -199,14 +199,14 @@ class Prefixes:
     Two neighbours of one lane that the induction put there share their symbol and what the entries that put
     them share, the least value between those. Where a lane begins, and where entries that were there before
     follow those of the induction, neighbours were put in different ways: these junctions, two a lane at most,
-    are read from the text when they are popped. ``weight`` is how much a symbol counts in the lowest text.
+    are read from the text when they are popped.
     """
 
-    def __init__(self, values: np.ndarray, weight: np.ndarray, begins: np.ndarray, filled: np.ndarray, bytes_at: np.ndarray, lowest: np.ndarray):
-        self.values, self.weight, self.begins, self.bytes_at, self.lowest = values, weight, begins, bytes_at, lowest
+    def __init__(self, values: np.ndarray, begins: np.ndarray, filled: np.ndarray, text: np.ndarray):
+        self.values, self.begins, self.text = values, begins, text
         self.old = _lane_firsts(filled, begins)
         self.least = RangeMin(values)
-        self.last = scratch(len(weight), np.int64, -1)
+        self.last = scratch(len(begins), np.int64, -1)  # by symbol: the slot that pushed its last entry
         self.before = -1, -1  # slot and position of the entry popped last
 
     def popped(self, block: np.ndarray, done: int) -> None:
@@ -225,7 +225,7 @@ class Prefixes:
             earlier = block[at[np.maximum(pick - 1, 0)] - done].astype(np.int64)
             earlier[pick == 0] = position
             here = block[at[pick] - done].astype(np.int64)
-            shared = shared_symbols(self.lowest, self.bytes_at[np.maximum(earlier, 0)], self.bytes_at[here])
+            shared = shared_symbols(self.text, np.maximum(earlier, 0), here)
             self.values[at[pick]] = np.where(earlier < 0, 0, shared)
         self.before = int(at[-1]), int(block[at[-1] - done])
 
@@ -245,7 +245,7 @@ class Prefixes:
         if len(across):
             self.least.extend(done)
             shared[across] = np.minimum(self.least.query(before[across] + 1, np.full(len(across), done)), np.minimum.accumulate(own)[at[across]])
-        out = np.minimum(shared + self.weight[symbol], CAP)
+        out = np.minimum(shared + 1, CAP)
         out[before < 0] = NONE
         ends = np.append(np.flatnonzero(first)[1:] - 1, len(order) - 1) if len(order) else np.zeros(0, np.int64)
         self.last[ordered[ends]] = at[order[ends]] + done
@@ -310,7 +310,7 @@ def _turned(edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray, shared: np.ndarray | None = None, weight: np.ndarray | None = None, bytes_at: np.ndarray | None = None, lowest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """All suffixes in order, induced from the leftmost small ones in the order given; with ``shared`` also their common prefixes.
 
     ``shared`` is what each of ``starts`` shares with the one before. The first induction runs up the queue, the
@@ -328,7 +328,7 @@ def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges:
         places[symbol] = target - 1
         if values is not None:
             values[target] = shared[a:b][::-1]
-    prefixes = None if values is None else Prefixes(values, weight, edges[:-1], queue, bytes_at, lowest)
+    prefixes = None if values is None else Prefixes(values, edges[:-1], queue, text)
     _induce(queue, text, small, False, _shifted(edges[:-1], 0), prefixes)
     del prefixes
     for a, b in chunks(n):
@@ -341,7 +341,7 @@ def _sorted_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges:
         for a, b in chunks(n - 1):
             there = np.flatnonzero((queue[a:b] >= 0) & (queue[a + 1 : b + 1] >= 0)) + a
             above[there] = values[there + 1]
-        down = Prefixes(above[::-1], weight, _turned(edges), queue[::-1], bytes_at, lowest)
+        down = Prefixes(above[::-1], _turned(edges), queue[::-1], text)
     places = scratch(len(edges) - 1, np.int64)
     for a, b in chunks(len(places)):
         places[a:b] = n - edges[a + 1 : b + 1]
@@ -395,66 +395,87 @@ def _names(text: np.ndarray, small: np.ndarray, starts: np.ndarray, order: np.nd
     return out, name + 1
 
 
-def _weights(reduced: np.ndarray, names: int, bytes_at: np.ndarray) -> np.ndarray:
-    """How many symbols of the lowest text each name stands for: from its place to the next one's, up to ``CAP``."""
-    out = scratch(names, np.int64, 1)
-    for a, b in chunks(len(reduced) - 1):
-        out[reduced[a:b]] = np.minimum(bytes_at[a + 1 : b + 1] - bytes_at[a:b], CAP)
-    return out
+def _order_of_starts(text: np.ndarray, small: np.ndarray, starts: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the leftmost small suffixes as numbers of ``starts``, name of each): sorted by one induction up to the next one, named, and ordered by recursion on the names."""
+    n = len(text)
+    queue, _ = _sorted_from(text, small, starts, edges)
+    found = Spool(index_type(n))
+    for a, b in chunks(n):
+        at = queue[a:b][queue[a:b] > 0]
+        found.add(at[small[at] & ~small[at - 1]])
+    del queue
+    order = found.array()
+    del found
+    reduced, names = _names(text, small, starts, order)
+    if names < len(order):
+        return suffix_array(reduced), reduced
+    inner = scratch(len(starts), index_type(n))
+    for a, b in chunks(len(starts)):
+        inner[a:b] = np.searchsorted(starts, order[a:b])
+    return inner, reduced
 
 
-def suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start positions of all suffixes in order, what each shares with the one before, up to ``CAP``).
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Start positions of all suffixes in order.
 
-    ``text`` holds small non-negative integers; its last symbol must be 0 and stand nowhere else.
+    ``text`` holds small non-negative integers; its last symbol must be 0 and stand nowhere else. The leftmost
+    small suffixes are ordered by induction and recursion, a second induction gives the order of all suffixes.
+    All arrays of the text's length are scratch, worked on in chunks.
     """
     n = len(text)
-    places = scratch(n, np.int64)
-    for a, b in chunks(n):
-        places[a:b] = np.arange(a, b)
-    top = max(int(text[a:b].max()) for a, b in chunks(n))
-    return _suffixes(text, scratch(top + 1, np.int64, 1), places, text)
+    if n == 1:
+        return np.zeros(1, np.int32)
+    small = _types(text)
+    starts, edges = _starts(small), _edges(text)
+    inner, _ = _order_of_starts(text, small, starts, edges)
+    order = _taken(starts, inner)
+    del inner
+    return _sorted_from(text, small, order, edges)[0]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes in order."""
-    return suffixes(text)[0]
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = scratch(len(at), values.dtype)
+    for a, b in chunks(len(at)):
+        out[a:b] = values[at[a:b]]
+    return out
 
 
-def _suffixes(text: np.ndarray, weight: np.ndarray, bytes_at: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level of the recursion; ``bytes_at`` are its positions in the lowest text, ``weight`` what its symbols count there.
+def _shared_by_names(text: np.ndarray, starts: np.ndarray, reduced: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """What each of the ordered leftmost small suffixes shares with the one before: equal names first, then the text behind them."""
+    out = scratch(len(inner), np.uint8, 0)
+    m, step = len(reduced), np.arange(8)
+    for a, b in chunks(len(inner) - 1):
+        x, y = inner[a:b].astype(np.int64), inner[a + 1 : b + 1].astype(np.int64)
+        names = np.zeros(b - a, np.int64)
+        open_ = np.arange(b - a)
+        while len(open_):
+            i, j = (v[open_, None] + names[open_, None] + step for v in (x, y))
+            same = (reduced[np.minimum(i, m - 1)] == reduced[np.minimum(j, m - 1)]) & (i < m) & (j < m)
+            agree = np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
+            names[open_] += agree
+            done = starts[x[open_] + names[open_]].astype(np.int64) - starts[x[open_]]  # the last name is unique
+            open_ = open_[(agree == 8) & (done < CAP)]
+        length = starts[x + names].astype(np.int64) - starts[x]
+        rest = np.flatnonzero(length < CAP)
+        length[rest] += shared_symbols(text, starts[x[rest] + names[rest]].astype(np.int64), starts[y[rest] + names[rest]].astype(np.int64))
+        out[a + 1 : b + 1] = np.minimum(length, CAP)
+    return out
 
-    Leftmost small suffixes are sorted by one round of induction, named, and ordered by recursion on their names,
-    which also tells what they share; a second round induces the order of all suffixes and what those share. All
-    arrays of the text's length are scratch, worked on in chunks.
+
+def suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start positions of all suffixes in order, what each shares with the one before, up to ``CAP``).
+
+    As ``suffix_array``; the last induction also carries the common prefixes, from those of the leftmost small
+    suffixes, which the names of the recursion tell.
     """
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32), np.zeros(1, np.uint8)
     small = _types(text)
-    starts = _starts(small)
-    edges = _edges(text)
-    queue, _ = _sorted_from(text, small, starts, edges)
-    found = Spool(index_type(n))
-    for a, b in chunks(n):
-        at = queue[a:b][queue[a:b] > 0]
-        found.add(at[small[at] & ~small[at - 1]])
-    del queue
-    order = found.array()
-    del found
-    reduced, names = _names(text, small, starts, order)
-    inner_bytes = scratch(len(starts), np.int64)
-    for a, b in chunks(len(starts)):
-        inner_bytes[a:b] = bytes_at[starts[a:b]]
-    if names < len(order):
-        inner, shared = _suffixes(reduced, _weights(reduced, names, inner_bytes), inner_bytes, lowest)
-        order = scratch(len(starts), index_type(n))
-        for a, b in chunks(len(starts)):
-            order[a:b] = starts[inner[a:b]]
-        del inner
-    else:  # names tell the order, and neighbours part within them
-        shared = scratch(len(order), np.uint8, 0)
-        for a, b in chunks(len(order) - 1):
-            shared[a + 1 : b + 1] = shared_symbols(lowest, bytes_at[order[a:b]], bytes_at[order[a + 1 : b + 1]])
-    del reduced, inner_bytes
-    return _sorted_from(text, small, order, edges, shared, weight, bytes_at, lowest)
+    starts, edges = _starts(small), _edges(text)
+    inner, reduced = _order_of_starts(text, small, starts, edges)
+    shared = _shared_by_names(text, starts, reduced, inner)
+    del reduced
+    order = _taken(starts, inner)
+    del inner
+    return _sorted_from(text, small, order, edges, shared)
