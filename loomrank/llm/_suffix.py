@@ -220,7 +220,7 @@ class Prefixes:
         old = self.old[slice(*np.searchsorted(self.old, (done, done + len(block))))]
         some = np.unique(np.searchsorted(at, np.concatenate([lanes, old])))
         some = some[some < len(at)]
-        for a, b in chunks(len(some)):
+        for a, b in chunks(len(some), CHUNK // 8):
             pick = some[a:b]
             earlier = block[at[np.maximum(pick - 1, 0)] - done].astype(np.int64)
             earlier[pick == 0] = position
@@ -444,7 +444,7 @@ def _shared_by_names(text: np.ndarray, starts: np.ndarray, reduced: np.ndarray,
     """What each of the ordered leftmost small suffixes shares with the one before: equal names first, then the text behind them."""
     out = scratch(len(inner), np.uint8, 0)
     m, step = len(reduced), np.arange(8)
-    for a, b in chunks(len(inner) - 1):
+    for a, b in chunks(len(inner) - 1, CHUNK // 8):
         x, y = inner[a:b].astype(np.int64), inner[a + 1 : b + 1].astype(np.int64)
         names = np.zeros(b - a, np.int64)
         open_ = np.arange(b - a)
