@@ -21,7 +21,7 @@ from ..operators import pages as G
 from ..operators import pairing as P
 from ..operators import render as R
 from . import view
-from .queries import LABELS, NEAR, RANKS, TRIPLES, label_ids, lifted, pair_mediums, query, r6, triples
+from .queries import LABELS, TRIPLES, label_ids, query, r6, triples
 from .view import CATALOG, CORPUS, PAIRS, ROLE, load
 
 # --- candidate families ---------------------------------------------------------------------------------------

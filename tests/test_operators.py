@@ -81,6 +81,14 @@ def test_ladder(spark):
     assert len([r for r in rows if r[0] == "Widget"]) == 8 and ("Static", 500, "normal") in rows and ("Narrow", 480, "normal") in rows
 
 
+def test_served_instances_and_counts(spark):
+    rows = [("A", 400, "normal", True), ("A", 700, "normal", True), ("B", 400, "italic", False), ("C", 400, "normal", True)]
+    instances = spark.createDataFrame(rows, "family string, weight int, style string, eligible boolean")
+    served = spark.createDataFrame([("A", 400, "normal"), ("B", 400, "italic"), ("B", 400, "italic"), ("Z", 400, "normal")], "family string, weight int, style string")
+    assert sorted(r["family"] for r in C.served_only(instances, served).collect()) == ["A", "B"]
+    assert C.release_counts(instances, served).first().asDict() == {"families": 3, "published": 3, "families_kept": 2, "unpublished": 1, "cuts_dropped": 2, "instances": 2, "eligible": 1}
+
+
 def test_name_matching(spark, tiny):
     labels = spark.createDataFrame([("Alph",), ("Alpha",), ("Zeta",)], "label string")
     got = sorted(map(tuple, C.match_families(labels, tiny).collect()))

@@ -59,6 +59,13 @@ def test_family_defaults_and_nulls(spark):
     assert rows[2]["family"] is None and rows[3]["family"] is None
 
 
+def test_lists_of_one_and_json_documents(spark, tmp_path):
+    lists = spark.createDataFrame([(["a", "b"],), ([],), (None,)], "v array<string>")
+    assert [r["x"] for r in lists.select(textproto.first(F.col("v"), "none").alias("x")).collect()] == ["a", "none", "none"]
+    sinks.write_json(str(tmp_path / "deep" / "d.json"), {"name": "é", "rows": [{"id": 1}, {"id": 2}]})
+    assert [tuple(r) for r in tables.load_json(spark, str(tmp_path / "deep" / "d.json"), "name string, rows array<struct<id:long>>").selectExpr("name", "size(rows)").collect()] == [("é", 2)]
+
+
 def test_served_index(spark, tmp_path):
     doc = {"familyMetadataList": [{"family": "A", "primaryScript": "Jpan", "fonts": {"400": {}, "700i": {}, "x1": {}}}, {"family": "B", "fonts": {"400": {}}}]}
     (tmp_path / "served.json").write_text(json.dumps({"familyMetadataList": [{**f, "fonts": {k: "" for k in f["fonts"]}} for f in doc["familyMetadataList"]]}))
