@@ -44,6 +44,8 @@ from ._text import _P, _P_INV, mix, powers, string_slices
 WINDOW, ANCHOR = 200, 128
 #: Segments that a task gathers before it packs them, and UTF-8 bytes of text that a bucket is meant for.
 GATHER, BUCKET_BYTES = 400_000, 2 << 20
+#: UTF-8 bytes of text for each task that sorts shards.
+TASK_BYTES = 16 << 20
 #: An anchor with more different segments is dealt by more content, ...
 HOT = 2_048
 #: ... with parts of so many places of the anchor in the window, level by level.
@@ -482,8 +484,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return rows.mapInArrow(_plain, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
         if not found["hot"]:
             break
-    shards = texts.mapInArrow(trimmed(_gather(settled)), "bucket int, head binary, bytes binary")
-    parts = written(shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long"), "parts", parts=1 << bits)
+    # sorting costs far more than its bytes tell, so its tasks follow the size of the texts
+    tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    shards = texts.mapInArrow(trimmed(_gather(settled)), "bucket int, head binary, bytes binary").repartition(int(tasks), "bucket")
+    parts = written(shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long"), "parts")
     parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").count()
     return rows.mapInArrow(trimmed(_cut(settled)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
