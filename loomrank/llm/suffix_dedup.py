@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import _forget, bound_batches, table_path, trimmed, written
+from ._runtime import _forget, bound_batches, table_path, trimmed
 from ._shared_arrays import SharedArrays
 from ._suffix import Spool, chunks, scratch, suffixes
 from ._text import _P, _P_INV, mix, powers, string_slices
@@ -487,7 +487,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # sorting costs far more than its bytes tell, so its tasks follow the size of the texts
     tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
     shards = texts.mapInArrow(trimmed(_gather(settled)), "bucket int, head binary, bytes binary").repartition(int(tasks), "bucket")
-    parts = written(shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long"), "parts")
+    parts = shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long")
     parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").count()
     return rows.mapInArrow(trimmed(_cut(settled)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
