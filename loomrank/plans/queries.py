@@ -208,15 +208,14 @@ def null_z_and_auc(spark, sf):
     return E.z_and_auc(scores.select("score", F.coalesce("label", F.lit(0)).alias("label")))
 
 
-def draw_sql(salt: int, n: str) -> str:
-    """A counter's draw in SQL; i is the counter."""
-    u = f"((i + {salt}) * 48271 % 2147483647)"
-    v = f"(({u} * {u} + {salt}) % 2147483647 * 16807 % 2147483647)"
-    return f"(({v} * {v} + {u}) % 2147483647 % {n})"
+def draw_sql(place: str, n: str) -> str:
+    """The generator's draw at a place of its sequence in SQL."""
+    times = lambda x, y: f"((({x}) * (({y}) & 65535) + ((((({x}) * (({y}) >> 16)) & 65535)) << 16)) & 4294967295)"
+    return f"""(SELECT ((xor(u, u >> 14) * ({n})) >> 32) FROM (SELECT xor((t + {times('xor(t, t >> 7)', 't | 61')}) & 4294967295, t) AS u FROM (SELECT {times('xor(s, s >> 15)', 's | 1')} AS t FROM (SELECT ((CAST({place} AS BIGINT) + 1) * 1831565813) & 4294967295 AS s))))"""
 
 
 @query(f"""WITH {CORPUS}, pool AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM corpus WHERE eligible), n AS (SELECT count(*) AS n FROM pool),
-d AS (SELECT i, n, {draw_sql(1, 'n')} AS x, {draw_sql(7919, 'n')} AS y, {draw_sql(104729, '(n - 1)')} AS z FROM range(20000) t(i), n),
+d AS (SELECT i, n, {draw_sql('3 * i', 'n')} AS x, {draw_sql('3 * i + 1', 'n')} AS y, {draw_sql('3 * i + 2', 'n - 1')} AS z FROM range(20000) t(i), n),
 e AS (SELECT i, x, CASE WHEN x <> y THEN y ELSE (x + 1 + z) % n END AS y FROM d)
 SELECT i AS draw, a.id AS a, b.id AS b FROM e JOIN pool a ON a.at = e.x JOIN pool b ON b.at = e.y""")
 def uniform_null_pairs(spark, sf):
@@ -623,7 +622,7 @@ def evenly_spaced_sample(spark, sf):
 
 
 @query(f"""WITH w AS (SELECT label AS id, count(*) AS weight FROM embeddings GROUP BY 1), s AS (SELECT id, sum(weight) OVER (ORDER BY id) - weight AS a, sum(weight) OVER (ORDER BY id) AS b FROM w), n AS (SELECT sum(weight) AS n FROM w),
-d AS (SELECT i AS draw, {draw_sql(13, 'CAST(n AS BIGINT)')} AS u FROM range(20000) t(i), n) SELECT draw, id FROM d JOIN s ON u >= a AND u < b""")
+d AS (SELECT i AS draw, {draw_sql('i', 'CAST(n AS BIGINT)')} AS u FROM range(20000) t(i), n) SELECT draw, id FROM d JOIN s ON u >= a AND u < b""")
 def weighted_null_draws(spark, sf):
     return U.weighted_draws(load(spark, sf, "embeddings").groupBy(F.col("label").alias("id")).agg(F.count("*").alias("weight")), 20_000)
 

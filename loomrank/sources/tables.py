@@ -51,10 +51,10 @@ def scan_images(spark: SparkSession, root: str, suffix: str = "png") -> DataFram
 
 
 def font_rows(files: DataFrame, reader) -> DataFrame:
-    """Typed name and metric fields of font files through ``reader(bytes) -> dict``; a file that fails keeps its error."""
+    """Typed names, metrics and variation axes of font files through ``reader(bytes) -> dict``; a file that fails keeps its error."""
     import pandas as pd
 
-    fields = "family string, subfamily string, weight int, mac_style int, selection int, fixed_pitch int, panose array<int>, error string"
+    fields = "family string, subfamily string, weight int, mac_style int, selection int, fixed_pitch int, panose array<int>, axes array<struct<tag:string,low:double,default:double,high:double>>, error string"
 
     def run(batches):
         for batch in batches:
@@ -64,7 +64,7 @@ def font_rows(files: DataFrame, reader) -> DataFrame:
                     rows.append({"error": None} | reader(bytes(raw)))
                 except Exception as error:  # noqa: BLE001  any broken file is a row with an error
                     rows.append({"error": f"{type(error).__name__}: {error}"})
-            frame = pd.DataFrame(rows, columns=["family", "subfamily", "weight", "mac_style", "selection", "fixed_pitch", "panose", "error"]).astype(object)
+            frame = pd.DataFrame(rows, columns=["family", "subfamily", "weight", "mac_style", "selection", "fixed_pitch", "panose", "axes", "error"]).astype(object)
             frame.insert(0, "path", batch["path"].to_numpy())
             yield frame.where(frame.notna(), None)
 

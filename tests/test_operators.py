@@ -180,6 +180,18 @@ def test_integrity(spark):
     assert sorted(map(tuple, I.drifted(a, b, "id").collect())) == [(0, "changed"), (2, "added")]
 
 
+def test_generator_against_its_sequence(spark):
+    """One number after the other, as a generator with a state gives them."""
+    for seed in (0, 42, 2**31 + 7):
+        state, want = seed, []
+        for _ in range(50):
+            state = (state + 0x6D2B79F5) % 2**32
+            t = (state ^ state >> 15) * (state | 1) % 2**32
+            t = ((t + (t ^ t >> 7) * (t | 61)) % 2**32) ^ t
+            want.append(t ^ t >> 14)
+        assert [r["x"] for r in spark.range(50).orderBy("id").select(U.mulberry(F.col("id"), seed).alias("x")).collect()] == want
+
+
 def test_null_draws(spark):
     weights = spark.createDataFrame([(1, 1), (2, 0), (3, 9)], "id long, weight long")
     n = {r["id"]: r["count"] for r in U.weighted_draws(weights, 2000).groupBy("id").count().collect()}

@@ -96,6 +96,9 @@ def test_font_folder_checksums_and_manifest(spark, tmp_path):
     assert dict(map(tuple, tables.verify_checksums(files, expected).collect())) == {"a.TTF": True, "b.woff2": False, "none": False}
     assert [tuple(r) for r in sinks.manifest(files).collect()][0] == ("a.TTF", 11, sha)
     assert tables.font_rows(files, lambda raw: {"family": raw.decode()[:5]} if raw.endswith(b"F") else {}["x"]).where("error is null").first()["family"] == "fonts"
+    axes = [{"tag": "wght", "low": 100.0, "default": 400.0, "high": 900.0}]
+    row = tables.font_rows(files, lambda raw: {"weight": 250, "panose": [2, 5], "axes": axes}).first()
+    assert row["axes"][0].asDict() == axes[0] and row["panose"] == [2, 5] and row["family"] is None and row["error"] is None
 
 
 def test_paged_source(spark):
