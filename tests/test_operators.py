@@ -12,6 +12,7 @@ from loomrank.operators import mining as M
 from loomrank.operators import nulls as U
 from loomrank.operators import pairing as P
 from loomrank.operators import render as R
+from loomrank.operators import stages as S
 
 TINY = "id long, family string, weight int, style string, category string, serif boolean, eligible boolean, xh double, width double, legibility double, unit array<double>"
 
@@ -288,3 +289,27 @@ def test_evenly_spaced_and_folds(spark):
     df = spark.range(10)
     assert sorted(r["id"] for r in E.evenly_spaced(df, "id", 4).collect()) == [0, 2, 5, 7]
     assert [r["fold"] for r in E.folds(df.withColumnRenamed("id", "h_id")).orderBy("h_id").collect()] == [0, 1] * 5
+
+
+def test_shared_folder_is_the_sessions_own(spark, tmp_path, monkeypatch):
+    """The configured folder, else the session's checkpoint folder; a cluster with neither is an error, local mode gets one."""
+
+    class Context:
+        def __init__(self, conf, known, master):
+            self.conf, self.known, self.master, self.applicationId, self.set = conf, known, master, f"app-{conf}-{known}-{master}", []
+            self._jsc = self
+
+        sc = getConf = getCheckpointDir = lambda self: self
+        isDefined = lambda self: self.known is not None
+        setCheckpointDir = lambda self, path: self.set.append(path)
+
+        def get(self, key=None):
+            return self.conf if key else self.known
+
+    folder = lambda *a: S.shared_folder(type("Session", (), {"sparkContext": Context(*a)})())
+    assert folder("hdfs://one/", "file:/two", "yarn") == "hdfs://one" and folder(None, "file:/two", "yarn") == "file:/two"
+    assert folder(None, None, "local[2]").startswith("file:///")
+    with pytest.raises(ValueError, match="checkpoint"):
+        folder(None, None, "spark://host:7077")
+    rows = S.kept(spark.range(5).withColumn("x", F.lit("a")))
+    assert rows.count() == 5 and rows.inputFiles() and rows.schema.simpleString() == "struct<id:bigint,x:string>"
