@@ -5,34 +5,12 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, else the session's checkpoint folder.
-
-    Where the session has neither, a temporary folder of this machine is used in local mode, in which every
-    worker shares it; on a cluster that is an error, since executors would write where nobody reads.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
-    if not root:
-        given = sc._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            root = given.get()
-        elif sc.master.startswith("local"):
-            root = "file://" + tempfile.mkdtemp(prefix="loomrank-")
-            sc.setCheckpointDir(root)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _OWN[sc.applicationId] = root
-    return root.rstrip("/")
+from ..operators.stages import _forget, shared_folder
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -68,16 +46,7 @@ def trimmed(function):
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomrank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone when the process ends
-        pass
+    return f"{shared_folder(spark)}/loomrank/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def parts_for(rows: int, each: int = 10_000) -> int:
