@@ -52,19 +52,29 @@ MIN_PHRASE = 5
 
 _TABLE = str.maketrans({**HOMOGLYPHS, **dict.fromkeys(map(ord, ZERO_WIDTH))})
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
-_SIGNS = "".join(map(re.escape, STAND_INS))
-_DIGITS = "".join(c for c in STAND_INS if c.isdigit()) + re.escape("@$")
-_STAND_IN = re.compile(rf"(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])|(?<![\w{_SIGNS}])[{_DIGITS}]+(?=[^\W\d_])")
+_LOOKS = re.compile(f"[{''.join(HOMOGLYPHS)}{ZERO_WIDTH}]")
+#: a run of digits and signs before a letter
+_RUN = re.compile(rf"[{''.join(map(re.escape, STAND_INS))}]+(?=[^\W\d_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_BEGINS = frozenset(c for c in STAND_INS if c.isdigit()) | {"@", "$"}
 _LETTERS = str.maketrans(STAND_INS)
 _GAP = re.compile(r"[\W\d_]+")
 
 
+def _read(run: re.Match) -> str:
+    """The letters of a run of digits and signs between letters or at the beginning of a word, else the run."""
+    before = run.string[run.start() - 1] if run.start() else " "
+    begins = not (before.isalnum() or before == "_") and _BEGINS.issuperset(run.group())
+    return run.group().translate(_LETTERS) if begins or _LETTER.match(before) else run.group()
+
+
 def fold(text: str | None) -> str:
     """The folded words of a text with a single space around each."""
     low = (text or "").lower()
     if not low.isascii():
-        low = _MARKS.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_TABLE)
-    return f" {_GAP.sub(' ', _STAND_IN.sub(lambda m: m.group().translate(_LETTERS), low)).strip()} "
+        low = _MARKS.sub("", unicodedata.normalize("NFKC", low)).lower()
+        low = low.translate(_TABLE) if _LOOKS.search(low) else low
+    return f" {_GAP.sub(' ', _RUN.sub(_read, low)).strip()} "
 
 
 @lru_cache(1 << 16)
@@ -88,6 +98,7 @@ class Lexicon:
     #: intercept and the weights of the two length-normalised sums
     fit: tuple[float, float, float] = (0.0, 0.0, 0.0)
     tree: object = None
+    bare_matches: dict[str, bool] = field(default_factory=dict)
 
     def built(self):
         if self.tree is None and self.weights:
@@ -103,7 +114,7 @@ class Lexicon:
         return {"weights": self.weights, "exceptions": self.exceptions, "fit": self.fit}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, tree=None)
+        self.__dict__.update(state, tree=None, bare_matches={})
 
     def _scan(self, folded: str) -> tuple[dict[int, float], set[int]]:
         """Weights of matched words and the words of exception phrases, by where the space before a word stands."""
@@ -117,6 +128,15 @@ class Lexicon:
                 spared |= {i for i in range(start, end) if folded[i] == " "}
         return found, spared
 
+    def _matches_bare(self, word: str) -> bool:
+        """Whether an entry matches a word without its accents; kept, since texts repeat their words."""
+        if word not in self.bare_matches:
+            if len(self.bare_matches) > 1 << 18:
+                self.bare_matches.clear()
+            plain = bare(word)
+            self.bare_matches[word] = plain != word and any(e in self.weights for e in _entries(plain))
+        return self.bare_matches[word]
+
     def hits(self, folded: str) -> dict[int, float]:
         """Start of each matched word (the space before it) and its weight, without exception phrases."""
         if self.built() is None:
@@ -124,7 +144,8 @@ class Lexicon:
         found, spared = self._scan(folded)
         if not folded.isascii():
             words = folded.split()
-            plain = [bare(w) for w in words]
+            # without a match in either reading there is nothing to spare, and no need to scan the other one
+            plain = [bare(w) for w in words] if found or any(self._matches_bare(w) for w in set(words) if not w.isascii()) else words
             if plain != words:
                 own, other = ([0, *accumulate(len(w) + 1 for w in ws)] for ws in (words, plain))
                 place = dict(zip(other, own))
