@@ -34,6 +34,8 @@ from ._shared_arrays import SharedArrays
 
 #: Rows of a group of code blocks and of a block of queries; they bound the memory of a task.
 CANDIDATES, QUERIES = 16_384, 256
+#: Searches of a block of queries in a group that one task makes.
+SEARCHES = 4
 #: Best guesses whose exact cosines set the bar, for each neighbour asked for.
 FIRST = 4
 #: Width of the error bound in standard deviations.
@@ -206,6 +208,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     parts = max(1, -(-asked.count() // queries))
     met = spark.createDataFrame(list(groups) or [(0, 0)], "d int, g int")
     dealt = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")).join(F.broadcast(met), "d")  # a row for each group of blocks
-    found = dealt.groupBy("d", "qb", "g").applyInArrow(_search_group(store, dict(groups), k), "query_id long, vec_id long, score double")
+    # a search costs far more than its bytes tell, so its tasks follow the number of searches
+    tasks = max(2 * spark.sparkContext.defaultParallelism, len(groups) * parts // SEARCHES)
+    found = dealt.repartition(tasks, "d", "qb", "g").groupBy("d", "qb", "g").applyInArrow(_search_group(store, dict(groups), k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
