@@ -20,6 +20,18 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(c.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
+OP5 = """
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT r, s, array_slice(t, s + 1, s + 200) AS k FROM (SELECT r, t, unnest(range(0, octet_length(t) - 199)) AS s FROM b WHERE octet_length(t) >= 200)),
+d AS (SELECT r, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM d),
+i AS (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM g),
+x AS (SELECT r, run, min(s) AS a, max(s) + 200 AS z FROM i GROUP BY 1, 2),
+n AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY 1),
+p AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS u FROM x UNION ALL SELECT b.r, coalesce(max(z), 0), any_value(octet_length(t)) FROM b LEFT JOIN x ON x.r = b.r GROUP BY b.r),
+k AS (SELECT r, string_agg(CASE WHEN u > f THEN hex(array_slice(t, f + 1, u)) ELSE '' END, '' ORDER BY f) AS kept FROM p JOIN b USING (r) GROUP BY 1)
+SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM b JOIN k USING (r) LEFT JOIN n USING (r)"""
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format(pattern=r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format(pattern=r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
