@@ -66,8 +66,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
     Slots are gapless from 0 in each shard. They are numbered without gathering a shard in one task: rows
-    are dealt to hashed buckets, numbered within (bucket, shard), and shifted by the sizes of the shard's
-    earlier buckets. Texts are read once, for a table of id, size and checksum; only that is shuffled.
+    are dealt to buckets by key and checksum, numbered within (bucket, shard), and shifted by the sizes of the
+    shard's earlier buckets. Texts are read once, for a table of id, size and checksum; only that is shuffled.
     """
     rows = docs.select(
         key_of(docs, id_col).alias("key"),
@@ -76,7 +76,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     buckets = max(32, docs.count() // BUCKET_ROWS)
-    rows = rows.withColumns({"jump": shards_of(F.col("key"), shards, shards + 1), "bucket": F.pmod(F.xxhash64("key", "text_crc32"), F.lit(buckets)).cast("int")})
+    rows = rows.withColumns({"jump": shards_of(F.col("key"), shards, shards + 1), "bucket": F.pmod(F.pmod("key", F.lit(buckets)) + F.pmod("text_crc32", F.lit(buckets)), F.lit(buckets)).cast("int")})
     rows = written(rows.select("doc_id", "size", "text_crc32", "bucket", F.col("jump.n0").alias("shard"), F.col("jump.n1").alias("grown_shard")), "sharded")
     sizes = rows.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -32,6 +32,21 @@ p AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS
 k AS (SELECT r, string_agg(CASE WHEN u > f THEN hex(array_slice(t, f + 1, u)) ELSE '' END, '' ORDER BY f) AS kept FROM p JOIN b USING (r) GROUP BY 1)
 SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM b JOIN k USING (r) LEFT JOIN n USING (r)"""
 
+OP6 = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+d AS (SELECT r, doc_id, octet_length(raw) + 1 AS size, xor(list_reduce(list_transform(regexp_extract_all(hex(raw), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM b, tab),
+k AS (SELECT r, CAST(CASE WHEN doc_id IS NULL THEN 11400714819323198485 WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE doc_id END AS UBIGINT) AS k FROM b),
+m1 AS (SELECT r, CAST(CAST(xor(k, k >> 30) AS UHUGEINT) * 13787848793156543929 % 18446744073709551616 AS UBIGINT) AS k FROM k),
+m2 AS (SELECT r, CAST(CAST(xor(k, k >> 27) AS UHUGEINT) * 10723151780598845931 % 18446744073709551616 AS UBIGINT) AS k FROM m1),
+j AS (SELECT r, n, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS reach, xor(k, k >> 31) AS state FROM m2, (VALUES (8), (9)) v(n)
+  UNION ALL SELECT r, n, reach, CAST(floor((reach + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(state2 >> 33 AS DOUBLE) + 1))) AS BIGINT), state2
+  FROM (SELECT *, CAST((CAST(state AS UHUGEINT) * 2862933555777941757 + 1) % 18446744073709551616 AS UBIGINT) AS state2 FROM j WHERE reach < n)),
+e AS (SELECT r, max(shard) FILTER (n = 8) AS shard, max(shard) FILTER (n = 9) AS grown_shard FROM j GROUP BY 1),
+o AS (SELECT greatest(32, count(*) // 50000) AS n FROM documents),
+s AS (SELECT d.*, shard, grown_shard, (((coalesce(doc_id, -7046029254386353131) % n) + n) % n + text_crc32 % n) % n AS bucket FROM d JOIN e USING (r), o)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s"""
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS.format(pattern=r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format(pattern=r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')} AS w FROM benchmark),
