@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import running_before
+from .stages import kept
 
 
 def partner_ranks(ranked: DataFrame, partners: DataFrame, missing: bool = True) -> DataFrame:
@@ -38,12 +39,17 @@ def true_median(x: str) -> Column:
     return F.percentile(x, F.lit(0.5)).cast("int")
 
 
-def summary(headings: DataFrame, k: int) -> DataFrame:
-    middle = upper_median(headings, "best")
-    return headings.agg(
+def summary(headings: DataFrame, k: int, medians: bool = True) -> DataFrame:
+    """Counts, recall and nDCG over per-heading rows, and the two medians of the best rank where they are asked for.
+
+    The medians take several steps, so the rows (one a heading) are written once for them.
+    """
+    headings = kept(headings) if medians else headings
+    figures = headings.agg(
         F.count("*").alias("headings"), F.count_if(F.col("best") <= k).alias("hit"), F.round(F.avg(F.col("hits") / F.col("n")), 6).alias("recall"),
-        F.round(F.avg(F.col("dcg") / F.col("idcg")), 6).alias("ndcg"), true_median("best").alias("median_true"),
-    ).withColumn("median_upper", F.lit(middle).cast("int"))
+        F.round(F.avg(F.col("dcg") / F.col("idcg")), 6).alias("ndcg"), *([true_median("best").alias("median_true")] if medians else []),
+    )
+    return figures.withColumn("median_upper", F.lit(upper_median(headings, "best")).cast("int")) if medians else figures
 
 
 def role_summary(headings: DataFrame) -> DataFrame:

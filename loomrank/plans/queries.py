@@ -176,7 +176,7 @@ def hit_at_k(spark, sf):
 
 @query(f"WITH {RANKS} SELECT round(avg(hits / n), 6) AS recall, round(avg(dcg / idcg), 6) AS ndcg FROM heads")
 def recall_and_ndcg(spark, sf):
-    return E.summary(E.per_heading(label_ranks(spark, sf), 100), 100).select("recall", "ndcg")
+    return E.summary(E.per_heading(label_ranks(spark, sf), 100), 100, medians=False).select("recall", "ndcg")
 
 
 @query(f"WITH {RANKS} SELECT list_sort(list(best))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median_upper, CAST(trunc(median(best)) AS INTEGER) AS median_true, count(*) AS headings FROM heads")
@@ -192,7 +192,7 @@ def breaks_and_fixes(spark, sf):
 
 @query(f"WITH {RANKS}, f AS (SELECT *, (row_number() OVER (ORDER BY h_id) - 1) % 2 AS fold FROM heads) SELECT fold, count(*) AS headings, count(*) FILTER (best <= 50) AS hit FROM f GROUP BY 1")
 def even_odd_split(spark, sf):
-    heads = E.folds(E.per_heading(label_ranks(spark, sf), 50))
+    heads = E.folds(kept(E.per_heading(label_ranks(spark, sf), 50)))
     return heads.groupBy("fold").agg(F.count("*").alias("headings"), F.count_if(F.col("best") <= 50).alias("hit"))
 
 
