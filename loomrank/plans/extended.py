@@ -178,7 +178,7 @@ p AS (SELECT role, l.h_id, partner, coalesce(rank, n + 1) AS rank FROM (SELECT D
   UNION ALL SELECT role, l.h_id, partner, n + 1 FROM (SELECT DISTINCT role, h_id, pool AS n FROM r) q JOIN l USING (h_id) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.role = q.role AND r.h_id = l.h_id AND r.id = partner)),
 h AS (SELECT role, h_id, count(*) AS n, count(*) FILTER (rank <= 100) AS hits, coalesce(sum(1 / log2(rank + CAST(1 AS DOUBLE))) FILTER (rank <= 100), 0) AS dcg, list_sum(list_transform(range(1, least(count(*), 100) + 1), lambda p: 1 / log2(p + CAST(1 AS DOUBLE)))) AS idcg FROM p GROUP BY 1, 2),
 e AS (SELECT role, count(*) AS headings, avg(hits / n) AS recall, avg(dcg / idcg) AS ndcg FROM h GROUP BY 1)
-SELECT role, headings, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM e UNION ALL SELECT NULL, sum(headings), round(avg(recall), 6), round(avg(ndcg), 6) FROM e""")
+SELECT role, headings, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM e UNION ALL SELECT NULL, CAST(sum(headings) AS BIGINT), round(avg(recall), 6), round(avg(ndcg), 6) FROM e""")
 def role_ndcg(spark, sf):
     pairs = view.role_pairs(spark, sf)
     scores = {"head": pairs.select("h_id", "id", P.role_score("head").alias("score")), "body": C.role_guard(pairs, "body", C.body_suitable(F.col("weight"))).select("h_id", "id", P.role_score("body").alias("score"))}
