@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": sql.OP1, "op2_ann": sql.OP2, "op5_suffix_dedup": sql.OP5, "op6_sharding": sql.OP6, "op8_decontam": sql.OP8}
+    return {"op1_minhash": sql.OP1, "op2_ann": sql.OP2, "op4_secrets": sql.OP4, "op5_suffix_dedup": sql.OP5, "op6_sharding": sql.OP6, "op8_decontam": sql.OP8}

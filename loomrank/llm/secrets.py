@@ -58,9 +58,10 @@ def _random_strings(spark: SparkSession) -> DataFrame:
 
 def _identifiers(spark: SparkSession) -> DataFrame:
     words = F.array(*[F.lit(p) for p in _PARTS])
-    word = lambda salt: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(_PARTS))) + 1).cast("int"))
+    pick = lambda salt: (F.col("id") * 9 + salt) * 48_271 % 2_147_483_647  # noqa: E731  a counter's number, the same on every engine
+    word = lambda salt: F.element_at(words, (pick(salt) % len(_PARTS) + 1).cast("int"))
     four = [word(i) for i in range(4)]
-    number = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(1000)).cast("string")
+    number = (pick(8) % 1000).cast("string")
     kinds = F.array(F.concat_ws("_", *four), F.concat_ws("-", *four), F.concat(four[0], *[F.initcap(w) for w in four[1:]]), F.upper(F.concat_ws("_", *four)), F.concat_ws("/", *four), F.concat(F.concat_ws("_", *four), F.lit("_"), number))
     return spark.range(GENERATED).select(F.explode(kinds).alias("s"), F.lit(0).alias("label"))
 

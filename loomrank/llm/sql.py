@@ -20,6 +20,38 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(c.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
+_SECRET_RULES = {
+    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "random": "[A-Za-z0-9+/_=-]{20,}",
+}
+_PARTS = "get set user name list item file path data index count value table token cache node time date type page total first last read write parse build make load open close start stop max min order line key map row column test config default handler manager service request response session context buffer stream"
+_WORD = "w[((id * 9 + {}) * 48271 % 2147483647) % len(w) + 1]"
+
+OP4 = f"""
+WITH letters AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-', '')) AS c),
+b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+chance AS (SELECT base64(unhex(sha256('r' || id))) AS code, regexp_replace(base64(unhex(sha256('r' || id))), '[+/=]', '', 'g') AS plain, sha256('h' || id) AS h FROM range(1500) x(id)),
+parts AS (SELECT string_split('{_PARTS}', ' ') AS w),
+four AS (SELECT {_WORD.format(0)} AS a, {_WORD.format(1)} AS b, {_WORD.format(2)} AS c, {_WORD.format(3)} AS d, ((id * 9 + 8) * 48271 % 2147483647) % 1000 AS n FROM range(1500) x(id), parts),
+samples AS (SELECT 1 AS label, unnest([substr(code, 1, 40), substr(plain, 1, 32), substr(upper(plain), 1, 24), substr(lower(plain), 1, 28), substr(h, 1, 40)]) AS s, 1 AS n FROM chance
+  UNION ALL SELECT 0, unnest([concat_ws('_', a, b, c, d), concat_ws('-', a, b, c, d), a || upper(b[1]) || b[2:] || upper(c[1]) || c[2:] || upper(d[1]) || d[2:], upper(concat_ws('_', a, b, c, d)), concat_ws('/', a, b, c, d), concat_ws('_', a, b, c, d, n)]), 1 FROM four
+  UNION ALL SELECT 0, s, count(*) FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]+')) AS s FROM b) WHERE regexp_full_match(s, '[A-Za-z+/_=-]{{6,}}') AND NOT regexp_matches(s, '[0-9a-f]{{16,}}') GROUP BY s),
+met AS (SELECT label, substr(s, i, 1) AS x, substr(s, i + 1, 1) AS y, sum(n) AS n FROM (SELECT label, s, n, unnest(range(1, length(s))) AS i FROM samples) GROUP BY 1, 2, 3),
+grid AS (SELECT l.label, p.c AS x, q.c AS y, coalesce(n, 0) AS n FROM (VALUES (0), (1)) l(label), letters p, letters q LEFT JOIN met ON met.label = l.label AND met.x = p.c AND met.y = q.c),
+chances AS (SELECT label, x, y, (n + 0.5) / CAST(sum(n) OVER (PARTITION BY label, x) + 0.5 * 67 AS DOUBLE) AS p FROM grid),
+ratios AS (SELECT x, y, round(ln(max(p) FILTER (label = 1) / max(p) FILTER (label = 0)), 6) AS ratio FROM chances GROUP BY 1, 2),
+cut AS ({' UNION ALL '.join(f"SELECT r, {k} AS rank, '{name}' AS kind, regexp_extract_all(t, '{rule}') AS hits, string_split_regex(t, '{rule}') AS gaps FROM b" for k, (name, rule) in enumerate(_SECRET_RULES.items()))}),
+hit AS (SELECT r, rank, kind, i, hits[i] AS hit, length(gaps[i]) + length(hits[i]) AS step FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM cut WHERE len(hits) > 0)),
+span AS (SELECT r, rank, kind, hit, CAST(sum(step) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS e, length(hit) AS n FROM hit),
+base AS (SELECT r, rank, kind, e - n AS s, e FROM span WHERE kind IN ('access', 'hex') OR (kind = 'assign' AND length(regexp_extract(hit, '{_SECRET_RULES["assign"]}', 2)) >= 12)),
+runs AS (SELECT r, e - n AS s, e, hit FROM span WHERE kind = 'random' AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]')),
+likely AS (SELECT r, s, e FROM (SELECT r, s, e, sum(ratio) AS z FROM (SELECT r, s, e, hit, unnest(range(1, length(hit))) AS i FROM runs) JOIN ratios ON x = substr(hit, i, 1) AND y = substr(hit, i + 1, 1) GROUP BY 1, 2, 3) WHERE z >= 11),
+free AS (SELECT l.r, l.s, p FROM (SELECT r, s, e, unnest(range(s, e)) AS p FROM likely) l WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = l.r AND base.s <= p AND p < base.e)),
+added AS (SELECT r, min(p) AS s, max(p) + 1 AS e FROM (SELECT r, s, p, p - row_number() OVER (PARTITION BY r, s ORDER BY p) AS run FROM free) GROUP BY r, s, run),
+every AS (SELECT r, rank, kind, s, e, true AS own FROM base UNION ALL SELECT r, 3, 'random', s, e, false FROM added),
+told AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (own) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM every GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM b LEFT JOIN told USING (r)"""
+
 OP5 = """
 WITH b AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
 w AS (SELECT r, s, array_slice(t, s + 1, s + 200) AS k FROM (SELECT r, t, unnest(range(0, octet_length(t) - 199)) AS s FROM b WHERE octet_length(t) >= 200)),
