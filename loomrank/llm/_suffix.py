@@ -408,13 +408,36 @@ def _order_of_starts(text: np.ndarray, small: np.ndarray, starts: np.ndarray, ed
     del found
     reduced, names = _names(text, small, starts, order)
     if names < len(order):
-        return suffix_array(reduced), reduced
+        return _doubled(reduced) if len(reduced) * 16 <= MEMORY else suffix_array(reduced), reduced
     inner = scratch(len(starts), index_type(n))
     for a, b in chunks(len(starts)):
         inner[a:b] = np.searchsorted(starts, order[a:b])
     return inner, reduced
 
 
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Start positions of all suffixes of a short row of names in order, by prefix doubling; the last name must be 0 and stand nowhere else.
+
+    The end of the recursion, for names within the memory bound: an induction over them would pop runs of a few each.
+    """
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    rank, slots, key, reach = np.empty(n, np.int64), np.arange(n), names[order], 1
+    while len(slots):
+        first = np.ones(len(slots), bool)
+        np.not_equal(key[1:], key[:-1], out=first[1:])
+        rank[order[slots]] = np.maximum.accumulate(np.where(first, slots, 0))  # a group's first slot
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        slots = slots[~alone]
+        at = order[slots]
+        key = rank[at] * n + rank[np.minimum(at + reach, n - 1)]  # a suffix that meets the end is alone before
+        by = key.argsort()
+        order[slots], key = at[by], key[by]
+        reach *= 2
+    return order.astype(index_type(n))
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Start positions of all suffixes in order.
 
@@ -443,14 +466,18 @@ def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _shared_by_names(text: np.ndarray, starts: np.ndarray, reduced: np.ndarray, inner: np.ndarray) -> np.ndarray:
     """What each of the ordered leftmost small suffixes shares with the one before: equal names first, then the text behind them."""
     out = scratch(len(inner), np.uint8, 0)
-    m, step = len(reduced), np.arange(8)
+    m = len(reduced)
+    padded = scratch(m + 7, reduced.dtype)
+    for a, b in chunks(m):
+        padded[a:b] = reduced[a:b]
+    padded[m:] = -np.arange(1, 8)  # equal to no name, nor to each other
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
     for a, b in chunks(len(inner) - 1, CHUNK // 8):
         x, y = inner[a:b].astype(np.int64), inner[a + 1 : b + 1].astype(np.int64)
         names = np.zeros(b - a, np.int64)
         open_ = np.arange(b - a)
         while len(open_):
-            i, j = (v[open_, None] + names[open_, None] + step for v in (x, y))
-            same = (reduced[np.minimum(i, m - 1)] == reduced[np.minimum(j, m - 1)]) & (i < m) & (j < m)
+            same = eight[x[open_] + names[open_]] == eight[y[open_] + names[open_]]
             agree = np.where(same.all(axis=1), 8, np.argmin(same, axis=1))
             names[open_] += agree
             done = starts[x[open_] + names[open_]].astype(np.int64) - starts[x[open_]]  # the last name is unique

@@ -42,8 +42,12 @@ from ._suffix import Spool, chunks, scratch, suffixes
 from ._text import _P, _P_INV, mix, powers, string_slices
 
 WINDOW, ANCHOR = 200, 128
-#: Segments that a task gathers before it packs them, and UTF-8 bytes of text that a bucket is meant for.
-GATHER, BUCKET_BYTES = 400_000, 2 << 20
+#: Segments that a task gathers before it packs them.
+GATHER = 400_000
+#: UTF-8 bytes of text that a bucket of hashes is meant for, and those whose unsettled segments make one shard.
+BUCKET_BYTES, SHARD_BYTES = 32 << 20, 8 << 20
+#: UTF-8 bytes of text whose segments are looked up at once; a lookup goes through all buckets.
+LOOKUP = 16 << 20
 #: UTF-8 bytes of text for each task that sorts shards.
 TASK_BYTES = 16 << 20
 #: An anchor with more different segments is dealt by more content, ...
@@ -178,36 +182,35 @@ class Settled:
     @property
     def hot(self) -> list:
         """For each counted level but the last possible one, which keys go to the next."""
-        return [lambda keys, level=level: self.has("hot", level, keys, keys) for level in range(min(self.levels, len(PARTS) - 1))]
-
-    def has(self, name: str, level: int, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Whether each value is in the sorted array of its key's bucket."""
-        out = np.zeros(len(values), bool)
-        home, kind = _top(keys, self.bits), "same" if name == "same" else "keys"
-        order = np.lexsort((values, home))
-        for a, b in _cuts(home[order]):
-            own = order[a:b]
-            group = self.store.get(f"{kind}-{level}-{home[own[0]]}")
+        return [lambda keys, level=level: self.has("hot", level, keys) for level in range(min(self.levels, len(PARTS) - 1))]
+
+    def has(self, name: str, level: int, values: np.ndarray) -> np.ndarray:
+        """Whether each value is in the sorted array of its bucket."""
+        out, kind = np.zeros(len(values), bool), "same" if name == "same" else "keys"
+        order = values.argsort()
+        values = values[order]
+        home = _top(values, self.bits)
+        for a, b in _cuts(home):
+            group = self.store.get(f"{kind}-{level}-{home[a]}")
             have = group[name] if group else ()
             if len(have):
-                at = np.searchsorted(have, values[own])
+                at = np.searchsorted(have, values[a:b])
                 at[at == len(have)] = 0
-                out[own] = have[at] == values[own]
+                out[order[a:b]] = have[at] == values[a:b]
         return out
 
-    def by_level(self, name: str, level: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def by_level(self, name: str, level: np.ndarray, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(values), bool)
         for n in range(self.levels):
             own = np.flatnonzero(level == n)
-            out[own] = self.has(name, n, keys[own], values[own])
+            out[own] = self.has(name, n, values[own])
         return out
 
     def mixed(self, level: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return self.by_level("mixed", level, keys, keys)
+        return self.by_level("mixed", level, keys)
 
     def same(self, level: np.ndarray, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        pair = _pair(keys, segment)
-        return self.by_level("same", level, pair, pair)
+        return self.by_level("same", level, _pair(keys, segment))
 
 
 def _pair(keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -282,7 +285,30 @@ def _settle_keys(settled: Settled):
     return settle
 
 
-def _gather(settled: Settled):
+def _slices(batches, column: int, settled: Settled):
+    """Lists of (batch, first row, end row, bytes, offsets, segments) of slices of texts, about ``LOOKUP`` bytes together."""
+    held, size = [], 0
+    for batch in batches:
+        for a, b, data, offsets in string_slices(batch.column(column), SLICE):
+            held.append((batch, a, b, data, offsets, segments(data, offsets, settled.hot)))
+            size += len(data)
+            if size >= LOOKUP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _joined(slices: list, *columns: int) -> list[np.ndarray]:
+    return [np.concatenate([s[5][c] for s in slices]) for c in columns]
+
+
+def _each(slices: list, values: np.ndarray) -> list[np.ndarray]:
+    """Values of all slices' segments by slice."""
+    return np.split(values, np.cumsum([len(s[5][0]) for s in slices])[:-1])
+
+
+def _gather(settled: Settled, bits: int):
     """Blocks of the bytes of unsettled segments by bucket: those that occur once, and one copy a task of others."""
 
     def pack(bucket, rows):
@@ -299,13 +325,15 @@ def _gather(settled: Settled):
             rows = [pack(b, r) for b, r in held.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "head", "bytes"])
 
-        for batch in batches:
-            for _, _, data, offsets in string_slices(batch.column(0), SLICE):
-                first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
-                home = _top(key, settled.bits)
-                open_ = np.flatnonzero(settled.mixed(level, key))
-                again = settled.same(level[open_], key[open_], segment[open_])
-                for i, twice in zip(open_.tolist(), again.tolist()):
+        for slices in _slices(batches, 0, settled):
+            level, key, segment = _joined(slices, 4, 2, 3)
+            mixed = settled.mixed(level, key)
+            same = np.zeros(len(mixed), bool)
+            same[mixed] = settled.same(level[mixed], key[mixed], segment[mixed])
+            for (_, _, _, data, offsets, (first, last, key, segment, _, whole, number)), open_, again in zip(slices, _each(slices, mixed), _each(slices, same)):
+                home = _top(key, bits)
+                open_ = np.flatnonzero(open_)
+                for i, twice in zip(open_.tolist(), again[open_].tolist()):
                     if twice:
                         if (s := int(segment[i])) in seen:
                             continue
@@ -422,11 +450,10 @@ def _store_parts(store: SharedArrays):
     return write
 
 
-def covered(data: np.ndarray, offsets: np.ndarray, settled: Settled) -> np.ndarray:
-    """Which bytes of a slice of texts go."""
-    first, last, key, segment, level, whole, number = segments(data, offsets, settled.hot)
+def covered(data: np.ndarray, offsets: np.ndarray, found: tuple[np.ndarray, ...], twice: np.ndarray, settled: Settled) -> np.ndarray:
+    """Which bytes of a slice of texts go; ``found`` are its segments, ``twice`` tells those that occur more than once."""
+    first, last, _, _, _, whole, number = found
     marks = np.zeros(len(data) + 1, np.int64)
-    twice = settled.same(level, key, segment)
     np.add.at(marks, first[twice], 1)
     np.add.at(marks, last[twice] + WINDOW, -1)
     some = np.concatenate([[True], number[1:] != number[:-1]]) if len(number) else np.zeros(0, bool)
@@ -442,9 +469,10 @@ def covered(data: np.ndarray, offsets: np.ndarray, settled: Settled) -> np.ndarr
 
 def _cut(settled: Settled):
     def cut(batches):
-        for batch in batches:
-            for a, b, data, offsets in string_slices(batch.column(1), SLICE):
-                gone = covered(data, offsets, settled)
+        for slices in _slices(batches, 1, settled):
+            level, key, segment = _joined(slices, 4, 2, 3)
+            for (batch, a, b, data, offsets, found), twice in zip(slices, _each(slices, settled.same(level, key, segment))):
+                gone = covered(data, offsets, found, twice, settled)
                 upto = np.concatenate([[0], np.cumsum(gone)])
                 enter = gone.copy()
                 enter[1:] &= ~gone[:-1]
@@ -471,7 +499,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = int(np.ceil(np.log2(max(64, size // BUCKET_BYTES))))
+    bits, shard_bits = (int(np.ceil(np.log2(max(64, size // each)))) for each in (BUCKET_BYTES, SHARD_BYTES))
     store = SharedArrays(table_path(spark, "repeats"))
     atexit.register(_forget, spark, store.uri)
     settled = Settled(store, bits)
@@ -486,7 +514,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             break
     # sorting costs far more than its bytes tell, so its tasks follow the size of the texts
     tasks = max(2 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
-    shards = texts.mapInArrow(trimmed(_gather(settled)), "bucket int, head binary, bytes binary").repartition(int(tasks), "bucket")
+    shards = texts.mapInArrow(trimmed(_gather(settled, shard_bits)), "bucket int, head binary, bytes binary").repartition(int(tasks), "bucket")
     parts = shards.groupBy("bucket").applyInArrow(trimmed(_search(bits)), "home int, key long, begin long, end long")
     parts.groupBy("home").applyInArrow(_store_parts(store), "bucket int").count()
     return rows.mapInArrow(trimmed(_cut(settled)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -72,3 +72,26 @@ def test_shard_much_larger_than_its_memory(monkeypatch):
         tracemalloc.stop()
     print("peak", peak)
     assert found == 800 and peak < len(noise)
+
+
+def test_buckets_are_read_once_for_many_slices(monkeypatch):
+    """A slice of text has segments in all buckets; reading each of them for every slice made time grow with both."""
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 12)
+    asked = []
+
+    class Store:
+        def get(self, name):
+            asked.append(name)
+
+    settled = suffix_dedup.Settled(Store(), 6, 1)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=2000)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": texts[a : a + 50]}) for a in range(0, 200, 50)]
+    got = [r for b in suffix_dedup._cut(settled)(iter(batches)) for r in b.to_pylist()]
+    assert [r["kept"].decode() for r in got] == texts and not any(r["n_removed"] for r in got)
+    assert len([n for n in asked if n.startswith("same-")]) <= 64
+
+
+@pytest.mark.parametrize("names", [[0], [1, 0], [3, 3, 3, 3, 0], [5, 1, 5, 1, 5, 1, 0], [2, 7, 2, 7, 9, 2, 7, 2, 7, 9, 0]])
+def test_order_of_names_in_memory(names):
+    assert _suffix._doubled(np.array(names, np.int32)).tolist() == sorted(range(len(names)), key=lambda i: names[i:])
