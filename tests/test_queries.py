@@ -50,3 +50,13 @@ def test_query_without_sql_runs(spark, name):
 def test_registry_without_the_llm_package():
     assert not any("llm" in str(getattr(f, "__module__", "")) for f in Q.queries().values())
     assert os.path.exists(SF)
+
+
+def test_instance_order_of_tied_instances(spark, tmp_path):
+    """Parts repeated with shifted keys tie in all but the id, which lies in no order; a part without a brand comes last."""
+    path = f"{tmp_path}/part.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE part AS SELECT * REPLACE (p_partkey + 1000000 * k AS p_partkey, CASE WHEN p_partkey % 50 > 0 THEN p_brand END AS p_brand) FROM '{SF}/part.parquet', range(40) t(k) ORDER BY hash(p_partkey, k)")
+    con.execute(f"COPY part TO '{path}' (FORMAT parquet)")
+    got = [tuple(r) for r in Q.queries()["instance_order"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(Q.oracle_sql()["instance_order"]).fetchall()
