@@ -51,6 +51,10 @@ GATHER, UNIT_BYTES = 2_000_000, 32 << 20
 HOT = 2_000_000
 #: UTF-8 bytes of text that are scored at once.
 SLICE = 4 << 20
+#: UTF-8 bytes of text whose words are hashed at once.
+HASHED = 1 << 20
+#: Rows that search the range of one context from which on it is searched by itself.
+MANY = 16
 SMOOTHING = 0.1
 _CLASSES = 4
 
@@ -114,6 +118,17 @@ def _summed(counts: np.ndarray | None, *keys: np.ndarray) -> tuple[np.ndarray, .
     return (*(k[first] for k in keys), total)
 
 
+def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct value, values rising; which of them each row has)."""
+    order = values.argsort()
+    run = values[order]
+    first = np.ones(len(run), bool)
+    np.not_equal(run[1:], run[:-1], out=first[1:])
+    back = np.empty(len(run), np.int32 if len(run) < 1 << 31 else np.int64)
+    back[order] = np.cumsum(first, dtype=back.dtype) - 1
+    return order[first], back
+
+
 def _blocks(unit: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     """One packed block for each unit of rows whose units rise."""
     cuts = np.flatnonzero(np.diff(unit, prepend=-1, append=-1)) if len(unit) else np.zeros(1, np.int64)
@@ -133,8 +148,13 @@ def _merged(table: pa.Table, columns: int) -> tuple[np.ndarray, ...]:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hashes, text numbers, place in the text) of a slice of texts, end marks included."""
-    words, text = word_hashes(data, offsets)
-    count = len(offsets) - 1
+    count, parts, at = len(offsets) - 1, [], 0
+    while at < count:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + HASHED, side="right")) - 1)
+        words, text = word_hashes(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        parts.append((words, text + at))
+        at = end
+    words, text = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     out = np.full(len(words) + count, END, dtype=np.uint64)
     out[np.arange(len(words)) + text] = words
     sizes = np.bincount(text, minlength=count) + 1
@@ -204,9 +224,10 @@ class Words:
         """The number of the start mark, a context of the last unit."""
         return int(self.offsets[-1])
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Word number of each hash; -1 for words that training never saw."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers of the distinct hashes, -1 for words that training never saw; which of them each hash has)."""
+        own, back = _unique(hashes)
+        distinct = hashes[own]
         out = np.full(len(distinct), -1, dtype=np.int64)
         unit = _top(distinct, self.bits)
         cuts = np.flatnonzero(np.diff(unit, prepend=-1, append=-1))
@@ -217,7 +238,7 @@ class Words:
                 at = np.searchsorted(have, distinct[a:b])
                 at[at == len(have)] = 0
                 out[a:b] = np.where(have[at] == distinct[a:b], at + self.offsets[u], -1)
-        return out[back]
+        return out, back
 
     def gather(self, numbers: np.ndarray, *names: tuple[str, str]) -> list[np.ndarray]:
         """Values of narrow arrays (group, name) kept beside the words; 0 for unknown words."""
@@ -283,11 +304,12 @@ class Level:
         unit, hot = self.home(context[known], rank[known])
         for u, at in _runs(unit):
             rows = known[at]
+            span = slice(int(rows[0]), int(rows[-1]) + 1) if rows[-1] - rows[0] + 1 == len(rows) else rows  # a unit's rows rise
             group = self.store.read(f"gram{self.n}-{u}")
             begin, ranks = group["begin"], group["rank"]
-            own = context[rows] - self.base(u)
+            own = context[span] - self.base(u)
             low, high = begin[own].astype(np.int64), begin[own + 1].astype(np.int64)
-            place = _within(ranks, low, high, rank[rows])
+            place = _within(ranks, low, high, rank[span])
             got = np.flatnonzero(place >= 0)
             out["id"][rows[got]] = place[got] + self.offsets[u]
             out["rank"][rows[got]] = place[got] - low[got]
@@ -295,8 +317,8 @@ class Level:
                 side = self.store.read(f"{stats}{self.n}-{u}")
                 out["count"][rows[got]] = widened(group if stats == "gram" else side, "count", place[got])
                 for name in ("sum", "ones", "twos"):
-                    out[name][rows] = widened(side, name, own)
-                out["kinds"][rows] = high - low
+                    out[name][span] = widened(side, name, own)
+                out["kinds"][span] = high - low
             split = np.flatnonzero(hot[at] >= 0)
             if len(split):  # ranks go on from part to part, and figures are those of all parts
                 h = hot[at[split]]
@@ -331,16 +353,31 @@ class Level:
 
 def _within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted value between low and high, where the values rise; -1 where it isn't there."""
-    low, stop = low.copy(), high
-    open_ = np.flatnonzero((low < stop) & (wanted >= 0))
-    a, b, w = low[open_], stop[open_].copy(), wanted[open_]
     out = np.full(len(low), -1)
+    open_ = np.flatnonzero((low < high) & (wanted <= np.iinfo(values.dtype).max) & (wanted >= 0))
+    if not len(open_):
+        return out
+    narrow_ = np.int32 if len(values) < 1 << 31 else np.int64
+    a, b, w = low[open_].astype(narrow_), high[open_].astype(narrow_), wanted[open_].astype(values.dtype)
+    # ranges that many rows search one after the other are searched by themselves
+    edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]]))
+    many = np.flatnonzero(np.diff(edge) >= MANY)
+    wide = np.zeros(len(a), bool)
+    for x, y in zip(edge[many].tolist(), edge[many + 1].tolist()):
+        begin, end = int(a[x]), int(b[x])
+        own = values[begin:end]
+        at = np.searchsorted(own, w[x:y])
+        hit = np.flatnonzero(own[np.minimum(at, end - begin - 1)] == w[x:y])
+        out[open_[x:y][hit]] = at[hit] + begin
+        wide[x:y] = True
+    rest = np.flatnonzero(~wide)
+    open_, a, b, w = open_[rest], a[rest], b[rest], w[rest]
     while len(open_):
         middle = (a + b) >> 1
-        have = values[middle].astype(np.int64)
+        have = values[middle]
+        less = have < w
         hit = have == w
         out[open_[hit]] = middle[hit]
-        less = have < w
         a = np.where(less, middle + 1, a)
         b = np.where(less, b, middle)
         go = np.flatnonzero((a < b) & ~hit)
@@ -357,7 +394,8 @@ class Grams:
 
     def chain(self, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(contexts, ranks) of the n-grams one token longer than the longest counted, that end at each token."""
-        ids = ranks = self.words.numbers(hashes)
+        number, back = self.words.numbers(hashes)
+        ids = ranks = number[back]
         for length in range(2, len(self.levels) + 3):
             before = np.concatenate([[-1], ids[:-1]]) if len(ids) else ids
             if length == 2:
@@ -386,8 +424,7 @@ class Grams:
 def _distinct(context: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row of each distinct pair and the way back to all rows."""
     if _fits(context, rank):
-        _, own, back = np.unique(_joined(context + 1, rank + 1), return_index=True, return_inverse=True)
-        return own, back
+        return _unique(_joined(context + 1, rank + 1))
     every = np.arange(len(context))
     return every, every
 
@@ -538,8 +575,7 @@ class Model:
     def probabilities(self, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(p(token | context), training count of the token) of a run of tokens."""
         words = self.grams.words
-        number = words.numbers(hashes)
-        distinct, back = np.unique(number, return_inverse=True)
+        distinct, back = words.numbers(hashes)
         names = [("words", "count"), ("kinds", "count")] if self.kinds else [("words", "count")]
         got = words.gather(distinct, *names)
         c = got[0][back]
@@ -548,7 +584,7 @@ class Model:
             k = got[1].astype(float)
             p = np.maximum(k - self.word_discounts[np.minimum(k, 3).astype(int)], 0) / self.kinds + self.spread * p
         p = p[back]
-        ids = ranks = number
+        ids = ranks = distinct[back]
         for i, level in enumerate(self.grams.levels):
             before = np.concatenate([[-1], ids[:-1]]) if len(ids) else ids
             before = np.where(place == 0, words.start, before) if i == 0 else np.where(place < i, -1, before)
@@ -558,7 +594,7 @@ class Model:
             front = np.maximum(f["count"] - d[np.minimum(f["count"], 3)], 0)
             rest = d[1] * f["ones"] + d[2] * f["twos"] + d[3] * (f["kinds"] - f["ones"] - f["twos"])
             total = np.maximum(f["sum"], 1)
-            p = np.where((f["sum"] > 0)[back], (front / total)[back] + (rest / total)[back] * p, p)
+            p = (front / total)[back] + np.where(f["sum"] > 0, rest / total, 1.0)[back] * p
             ids, ranks = f["id"][back], f["rank"][back]
         return p, c
 

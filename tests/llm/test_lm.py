@@ -137,3 +137,27 @@ def test_narrow_values_come_back(values):
     group = narrow("n", np.array(values, np.int64))
     assert widened(group, "n", np.arange(len(values))).tolist() == values
     assert widened(group, "n", slice(3, None)).tolist() == values[3:]
+
+
+def test_words_are_hashed_in_pieces_of_whole_texts(monkeypatch):
+    """A slice's words were hashed at once, over powers too long to be kept; pieces give the same tokens."""
+    texts = ["a b  c", "", "d" * 50, " e\tF ", "g h i j k"] * 7
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    whole, sizes, hashed = lm.tokens(data, offsets), [], lm.word_hashes
+    monkeypatch.setattr(lm, "HASHED", 20, raising=False)
+    monkeypatch.setattr(lm, "word_hashes", lambda d, o: (sizes.append((len(d), len(o) - 1)), hashed(d, o))[1])
+    assert all((a == b).all() for a, b in zip(whole, lm.tokens(data, offsets)))
+    assert len(sizes) > 1 and all(size <= 20 or count == 1 for size, count in sizes)
+
+
+def test_wide_and_narrow_ranges_are_searched_alike():
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 300, 3, 0, 40, 7]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.concatenate([np.sort(rng.choice(400, s, replace=False)) for s in sizes]).astype(np.uint16)
+    context, wanted = np.sort(rng.integers(0, len(sizes), 400)), rng.integers(-1, 70_000, 400)
+    wanted[::2] %= 400
+    got = lm._within(values, begin[context], begin[context + 1], wanted)
+    want = [next((i for i in range(begin[c], begin[c + 1]) if values[i] == w), -1) for c, w in zip(context, wanted)]
+    assert got.tolist() == want and (got >= 0).any()
