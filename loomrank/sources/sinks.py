@@ -37,7 +37,7 @@ def refuse(path: str, forbidden: tuple[str, ...] = (), checkouts: bool = False)
         return
     parts = Path(clean)
     for folder in (parts, *parts.parents):
-        if (folder / ".git").exists():
+        if os.path.exists(folder / ".git"):  # false too for a folder that can't be searched, below which nothing can be written
             raise ValueError(f"{path} lies in the checkout {folder}")
         if folder.name.lower() in SYNCED:
             raise ValueError(f"{path} lies in the synced folder {folder}")

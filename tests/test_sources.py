@@ -299,3 +299,17 @@ def test_streams(spark, corpus, tmp_path):
     assert sorted(r["twice"] for r in spark.read.parquet(out).collect()) == list(range(0, 16, 2))
     incremental.stream_blocks(spark, source, schema, block, str(tmp_path / "c2")).awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(block).collect()) == [3, 7]
+
+
+def test_guard_passes_folders_that_cannot_be_searched(monkeypatch):
+    import os
+
+    stat = os.stat
+
+    def closed(path, *rest, **more):
+        if str(path) == "/data/sites/x/.git":
+            raise PermissionError(13, "Permission denied", str(path))
+        return stat(path, *rest, **more)
+
+    monkeypatch.setattr(os, "stat", closed)
+    sinks.refuse("/data/sites/x", ("/data/site",))
